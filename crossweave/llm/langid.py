@@ -121,10 +121,10 @@ def train_table(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str
 
 def known_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """The documents, all columns as they are, without those that have no language (und): null texts and texts without a letter."""
-    named = docs.select(*[F.col(c).alias(f"c{k}") if c not in ("text", "doc_id") else F.col(c) for k, c in enumerate(docs.columns)])
-    extra = [c for c in named.columns if c != "doc_id"]
-    judged = identify(named.withColumn("lang", docs["lang"]) if "lang" not in named.columns else named, dimensions, tuple(extra))
-    return judged.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for n, c in zip(named.columns, docs.columns, strict=True)])
+    spare = {c: f"kept_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    named = docs.select("doc_id", "text", "lang", *[F.col(c).alias(n) for c, n in spare.items()])
+    judged = identify(named, dimensions, ("text", *spare.values()))
+    return judged.where("lang_pred <> 'und'").select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
