@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.shared import bit_position, bits_set, components, membership_bits, mix64, pieces, save, shingle_sets
+from crossweave.llm.shared import bit_position, bits_set, components, dense_table, membership_bits, mix64, pieces, save, shingle_sets
 
 WIDTH = 5
 #: Links are 100 * |A & B| >= PERCENT * |A | B|.
@@ -252,11 +252,9 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
             slots, n = np.unique(np.concatenate(keys) % SLOTS, return_counts=True)
             yield pa.record_batch([pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int32))], names=["slot", "n"])
 
-    # a slot that one block alone has needs no row; the table that reaches the driver has SLOTS rows at most
-    sums = rows.mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    table = np.zeros(SLOTS, np.int32)
-    table[sums["slot"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
-    return rows.sparkSession.sparkContext.broadcast(table.tobytes())
+    # a slot that one block alone has needs no row
+    sums = rows.mapInArrow(run, "slot int, n int").groupBy(F.col("slot").alias("at")).agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("value")).where("value > 1")
+    return rows.sparkSession.sparkContext.broadcast(dense_table(sums, SLOTS, "int32").tobytes())
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -134,16 +134,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
+def dense_table(rows: DataFrame, size: int, kind: str) -> np.ndarray:
+    """An array of a fixed size on the driver from (at, value) with distinct places; 0 where there is none.
+
+    Executors put it together in chunks of bytes, so that the driver gets no rows of single values."""
+    chunk = 1 << 13
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(chunk, kind)
+        out[part["at"].to_numpy() % chunk] = part["value"].to_numpy().astype(np.int64).astype(kind)
+        return pd.DataFrame({"chunk": [int(part["at"].iloc[0]) // chunk], "raw": [out.tobytes()]})
+
+    made = rows.withColumn("chunk", F.floor(F.col("at") / chunk)).groupBy("chunk").applyInPandas(fill, "chunk long, raw binary")
+    table = np.zeros(-(-size // chunk) * chunk, kind)
+    for row in made.collect():  # size / chunk rows at most
+        table[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["raw"], kind)
+    return table[:size]
+
+
 def membership_bits(ids: DataFrame, column: str, bits: int = 1 << 24):
     """A broadcast bit table of fixed size in which the positions of the given ids are set (see bit_position).
 
     It only spares work: an id may be found that was not given, never the other way round."""
-    spark = ids.sparkSession
     at = ids.select(bit_position(column, bits).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()
-    table = np.zeros(bits // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(table.tobytes())
+    words = at.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("value"))
+    return ids.sparkSession.sparkContext.broadcast(dense_table(words, bits // 64, "uint64").tobytes())
 
 
 def bit_position(column: str, bits: int = 1 << 24):
