@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossweave.functions.components import settle
 from crossweave.functions.text import fold_key
 from crossweave.operators.index import cooccurrence, pair_strength
 from crossweave.operators.trend import fragments
@@ -120,7 +121,8 @@ def induced_edges(kw_neighbor: DataFrame, nodes: DataFrame) -> DataFrame:
 def shortest_hops(nodes: DataFrame, found_edges: DataFrame, center: str, most: int = 6) -> DataFrame:
     """(keyword, hop): steps from the centre over the edges, else the hop at which the node was chosen.
 
-    A join for each step over the few chosen nodes; the number of steps is bounded by `most`."""
+    A join for each step over the few chosen nodes, which are broadcast; the number of steps is bounded by `most`."""
+    nodes, found_edges = settle(nodes, "nodes"), settle(found_edges, "edges")
     both = found_edges.select("a", "b").union(found_edges.select("b", "a")).toDF("u", "v")
     reached = nodes.where(F.col("keyword") == center).select("keyword", F.lit(0).alias("d"))
     for step in range(1, most + 1):
@@ -136,7 +138,10 @@ def suggest_keywords(kw_meta: DataFrame, part: str, limit: int = 10, stop_words:
     rows = kw_meta.where(F.col("keyword").contains(part)).orderBy(F.desc("df"), "keyword").limit(limit * 8)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(batches), ignore_index=True) if True else None
+        parts = list(batches)
+        if not parts:
+            return
+        found = pd.concat(parts, ignore_index=True)
         found = found.sort_values(["df", "keyword"], ascending=[False, True])
         words = [(k, n) for k, n in zip(found["keyword"], found["df"], strict=True) if k not in stop_words]
         out: list[tuple[str, int]] = []
