@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +24,45 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the least node that each node of an edge is connected with.
-
-    Rounds of two steps until nothing changes: every node's larger neighbours are tied to its least
-    neighbour, then its smaller ones. Least neighbours come from an aggregate with map-side combine
-    and a join that can split hot nodes; the number of rounds grows with the logarithm of the size."""
-    now = settle(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "edges")
-    if now.isEmpty():
-        return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    state = None
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as a star forest: every node tied to the least node that the task's edges lead to."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = at[: len(hi)], at[len(hi) :]
+    root = np.arange(len(nodes))
     while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    tied = root != np.arange(len(nodes))
+    yield pa.record_batch([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["hi", "lo"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the least node that each node of an edge is connected with; ids are longs.
+
+    Rounds until nothing changes: each task first joins up its own edges, then every node's larger
+    neighbours are tied to its least neighbour, then its smaller ones. Least neighbours come from an
+    aggregate with map-side combine and a join that can split hot nodes; a task holds its share of
+    the edges, and the number of rounds grows with the logarithm of the size."""
+    kind = "hi long, lo long"
+    now = settle(edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi <> lo").mapInArrow(_forest, kind), "edges")
+    state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
+    while state[0]:
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         tied = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
-        now = settle(tied.select("hi", F.col("m").alias("lo")).union(tied.select("lo", "m")).where("hi <> lo").distinct(), "edges")
+        joined = tied.select("hi", F.col("m").alias("lo")).union(tied.select("lo", "m")).where("hi <> lo").distinct()
+        now = settle(joined.mapInArrow(_forest, kind).distinct(), "edges")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
         if after == state and after[0] == after[2]:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo"), F.col("lo")).distinct())
+            break
         state = after
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo"), F.col("lo")).distinct())

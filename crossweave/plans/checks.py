@@ -181,7 +181,7 @@ def consistency(t):
 
 
 def _events(t):
-    return t.raw("events").select("event_id", "ts", "event_type")
+    return t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
 
 
 @query("stream_ingest", sql("SELECT source, count(*) AS n FROM base WHERE id % 50 <> 0 GROUP BY source", "base"))
