@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.shared import bit_position, bits_set, components, dense_table, membership_bits, mix64, pieces, save, shingle_sets
+from crossweave.llm.shared import bit_position, bits_set, components, dense_table, membership_bits, mix64, pieces, release, save, shingle_sets
 
 WIDTH = 5
 #: Links are 100 * |A & B| >= PERCENT * |A | B|.
@@ -279,6 +279,18 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _short(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which is what two sets are compared by: a false match among two sets of
+    20,000 shingles has a probability of one in 700,000."""
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _verify_tile(sids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, same_tile: bool, percent: int) -> list[tuple[int, int]]:
     """True links between a tile's sets that join what was not joined yet."""
     n = len(sids)
@@ -308,9 +320,9 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
     The sets are made again from the texts of one document for each, found by a bit table of fixed
     size and an exact join. A group of more than TILE sets is dealt into tiles that meet pair by pair,
     so that no task holds more than two tiles."""
-    chosen = sets.join(groups.withColumnRenamed("node", "sid"), "sid")
     n = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    chosen = save(chosen.select("sid", "first_doc", "root"), "groups")
+    chosen = sets.join(groups.withColumnRenamed("node", "sid"), "sid").select("sid", "first_doc", "root")
+    chosen = save(chosen.join(n, "root"), "groups")
     member = membership_bits(chosen, "first_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +333,13 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
                 if len(found) and (sid := set_id(found)) not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    raw.append(found.tobytes())
+                    raw.append(_short(found))
                     short.append(sketch(found))
             yield pa.record_batch([pa.array(sids, pa.int64()), pa.array(raw, pa.binary()), pa.array(short, pa.binary())], names=["sid", "found", "sketch"])
 
     rows = docs.select(bit_position("doc_id").alias("p"), "text")
     made = rows.mapInArrow(run, "sid long, found binary, sketch binary")
-    dealt = made.join(chosen.select("sid", "root"), "sid").join(n, "root").withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
+    dealt = made.join(chosen.select("sid", "root", "tiles"), "sid").withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("root", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "tile", "sid", "found", "sketch")
     dealt = dealt.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2", "sid")
@@ -339,7 +351,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
             once = {h[1]: h for h in held}
             if len(once) > 1:
                 sids = np.array(list(once), np.int64)
-                found = [np.frombuffer(h[2], np.uint64) for h in once.values()]
+                found = [_long(h[2]) for h in once.values()]
                 short = np.frombuffer(b"".join(h[3] for h in once.values()), np.uint64).reshape(len(once), -1)
                 links = _verify_tile(sids, np.array([h[0] for h in once.values()]), found, short, now[1] == now[2], percent)
                 if links:
@@ -373,6 +385,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     sets = save(sets, "sets")
 
     met = save(meet(_posted(rows, width, percent)), "met")
+    release(docs.sparkSession)
     hot = met.where("b is null").select(F.col("a").alias("sid"))
     pairs = met.where("b is not null").select("a", "b")
     glued = None
@@ -380,12 +393,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         member = membership_bits(sets.join(hot, "sid", "left_semi"), "first_doc")
         order = _frequencies(rows, width, percent, member)
         again = save(meet(_posted(rows, width, percent, member, order, glue=True), glue=True), "met_again")
+        release(docs.sparkSession)
         pairs = pairs.union(again.where("not glued").select("a", "b")).distinct()
         glued = again.where("glued").select("a", "b")
     close = sketch_filter(pairs, sets, percent)
     if glued is not None:
         close = close.union(glued)
     groups = components(close)
+    release(docs.sparkSession)
     links = verified_links(docs.where("doc_id is not null"), groups, sets, width, percent)
     roots = components(links).select(F.col("node").alias("sid"), "root")
     label = sets.select("sid", "first_doc").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.functions.components import components, settle
+
+__all__ = ["components", "save"]
+
 #: Python code gets its texts in pieces of about so many characters, whatever the size of Arrow's batches.
 PIECE_CHARS = 2_000_000
 
@@ -27,9 +32,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the table to the shared folder and read it back."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settle(df, name)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are saved: Spark's cleaner deletes them once the
+    driver has collected the garbage of their plans, which a quiet driver would put off until its disk fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -107,33 +117,6 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
             yield np.zeros(0, np.uint64)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): of each node of an edge, the smallest node that edges lead to.
-
-    Large-star and small-star rounds. Smallest neighbours are found by an aggregate with map-side
-    combine and joined back, so that the neighbours of one node never meet in one task's memory.
-    Every round is a table in the shared folder."""
-    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
-    now = save(now, "edges")
-    if now.isEmpty():
-        return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
-        small = joined.select("hi", F.col("m").alias("lo")).union(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now = save(small.where("hi <> lo").distinct(), "edges")
-        # a star forest has as many edges as it has nodes that are not roots, and its sum stays
-        after = now.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.countDistinct("hi")).first()
-        if after == state and after[0] == after[2]:
-            break
-        state = after
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
-
-
 def dense_table(rows: DataFrame, size: int, kind: str) -> np.ndarray:
     """An array of a fixed size on the driver from (at, value) with distinct places; 0 where there is none.
 
