@@ -136,8 +136,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, permutations: int = PERM
             with np.errstate(over="ignore"):
                 yield ngram_join._local(np.concatenate(keys), np.concatenate(sids), True)
 
-    met = save(ngram_join.meet(rows.mapInArrow(run, "key long, sid long, other long"), glue=True), "met")
-    close = ngram_join.sketch_filter(met.where("not glued").select("a", "b"), sets, percent).union(met.where("glued").select("a", "b"))
+    met = save(ngram_join.meet(rows.mapInArrow(run, "key long, sid long, other long"), members=True), "met")
+    hot = met.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key"))
+    close = ngram_join.sketch_filter(met.where("not hot").select("a", "b"), sets, percent).union(ngram_join.hot_pairs(hot, sets, percent))
     links = ngram_join.verified_links(rows, components(close), sets, width, percent)
     roots = components(links).select(F.col("node").alias("sid"), "root")
     label = sets.select("sid", "first_doc").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -14,7 +14,8 @@ verified on the sets themselves. No step is a guess: no link is lost, and none i
 Groups of copies: equal sets are one set from the start. A block's key shared by more than HOT sets
 is not paired up. Its sets are dealt anew with the blocks in order of how many sets have them, so
 that passages which many documents share come last and drop out; sets that still meet in a hot
-block form a group, whose pairs are compared in tiles, emitting a spanning forest of true links."""
+block are compared by their short sketches in tiles, which emit a spanning forest of the pairs that
+pass; what hangs together then is compared exactly, in tiles that emit a spanning forest of true links."""
 
 from __future__ import annotations
 
@@ -35,6 +36,8 @@ SKETCH_BITS = 1024
 HOT = 16
 #: Sets of a group are compared in tiles of so many.
 TILE = 512
+#: Short sketches of a hot key in tiles of so many.
+SKETCH_TILE = 4096
 #: Slots of the table that orders blocks by frequency, whatever the size of the input.
 SLOTS = 1 << 21
 #: Shingles to a block: a band's number of blocks is its least size divided by this.
@@ -109,11 +112,11 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, sid long, sketch binary")
 
 
-def _local(keys: np.ndarray, sids: np.ndarray, glue: bool) -> pa.RecordBatch:
+def _local(keys: np.ndarray, sids: np.ndarray, members: bool) -> pa.RecordBatch:
     """Postings of a batch, each (key, sid) once. A key with more than HOT sets here sends HOT + 1 of
-    them; of the others it sends that they are hot (glue: an edge to the key's first set).
+    them; of the others it sends that they are hot, so that no key gathers its rows in one task.
 
-    Rows: key >= 0 is a posting; key < 0 says that sid is hot (other: the set it is glued to)."""
+    Rows: key >= 0 is a posting; key < 0 says that sid is hot (members: in the key that is `other`)."""
     order = np.lexsort((sids, keys))
     keys, sids = keys[order], sids[order]
     new = np.ones(len(keys), bool)
@@ -124,33 +127,33 @@ def _local(keys: np.ndarray, sids: np.ndarray, glue: bool) -> pa.RecordBatch:
     start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
     over = np.arange(len(keys)) - start > HOT
     told = -1 - (mix64(sids[over].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    other = np.concatenate([np.zeros((~over).sum(), np.int64), sids[start[over]] if glue else np.zeros(over.sum(), np.int64)])
+    other = np.concatenate([np.zeros((~over).sum(), np.int64), keys[over] if members else np.zeros(over.sum(), np.int64)])
     return pa.record_batch([pa.array(np.concatenate([keys[~over], told])), pa.array(np.concatenate([sids[~over], sids[over]])), pa.array(other)], names=["key", "sid", "other"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], glue: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> (a, b): pairs of sets of a key that is not hot; (sid, null) for a set of a
-    hot one (glue: edges between a hot key's first set and the others). Keeps HOT + 2 rows between batches."""
+def _meet(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> (a, b, hot): pairs of sets of a key that is not hot; (sid, null) for a set of a
+    hot one (members: (sid, key)). Keeps HOT + 1 rows between batches."""
     left = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    hot_key, hot_first = None, 0
+    hot_key = None
 
-    def told(a: np.ndarray, b: np.ndarray | None, glued: bool = False) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), glued))], names=["a", "b", "glued"])
+    def told(a: np.ndarray, b: np.ndarray | None, hot: bool) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
+
+    def hot_rows(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+        return told(sids, keys, True) if members else told(np.unique(sids), None, True)
 
     def work(keys: np.ndarray, sids: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal hot_key, hot_first
+        nonlocal hot_key
         aside = keys < 0
         if aside.any():
-            yield told(sids[aside], others[aside] if glue else None, glue)
+            yield hot_rows(others[aside], sids[aside])
             keys, sids = keys[~aside], sids[~aside]
         if not len(keys):
             return
         if hot_key is not None and keys[0] == hot_key:  # more of a key that was found hot before
             more = int(np.searchsorted(keys, hot_key, "right"))
-            if glue:
-                yield told(sids[:more], np.full(more, hot_first), True)
-            else:
-                yield told(np.unique(sids[:more]), None)
+            yield hot_rows(keys[:more], sids[:more])
             keys, sids = keys[more:], sids[more:]
         order = np.lexsort((sids, keys))
         keys, sids = keys[order], sids[order]
@@ -164,13 +167,9 @@ def _meet(batches: Iterator[pa.RecordBatch], glue: bool) -> Iterator[pa.RecordBa
         hot = length > HOT
         if hot.any():
             inside = np.repeat(hot, length)
-            if glue:
-                firsts = np.repeat(sids[start], length)
-                yield told(sids[inside], firsts[inside], True)
-            else:
-                yield told(np.unique(sids[inside]), None)
+            yield hot_rows(keys[inside], sids[inside])
             if hot[-1]:
-                hot_key, hot_first = keys[-1], int(sids[start[-1]])
+                hot_key = keys[-1]
         run = np.repeat((length > 1) & ~hot, length)
         keys, sids = keys[run], sids[run]
         for k in range(1, HOT):
@@ -179,7 +178,7 @@ def _meet(batches: Iterator[pa.RecordBatch], glue: bool) -> Iterator[pa.RecordBa
             same = keys[k:] == keys[:-k]
             if not same.any():
                 break
-            yield told(sids[:-k][same], sids[k:][same])
+            yield told(sids[:-k][same], sids[k:][same], False)
 
     for batch in batches:
         now = tuple(np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(left))
@@ -197,15 +196,15 @@ def _meet(batches: Iterator[pa.RecordBatch], glue: bool) -> Iterator[pa.RecordBa
     yield from work(*left)
 
 
-def meet(postings: DataFrame, glue: bool = False) -> DataFrame:
-    """The distinct (a, b, glued) of `_meet` for a table (key, sid, other), one shuffle of the postings."""
+def meet(postings: DataFrame, members: bool = False) -> DataFrame:
+    """The distinct (a, b, hot) of `_meet` for a table (key, sid, other), one shuffle of the postings."""
     sorted_rows = postings.repartition("key").sortWithinPartitions("key")
-    found = sorted_rows.mapInArrow(lambda batches: _meet(batches, glue), "a long, b long, glued boolean")
-    low, high = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("b").isNotNull(), F.greatest("a", "b"))
-    return found.select(low.alias("a"), high.alias("b"), "glued").where("b is null or a <> b").distinct()
+    found = sorted_rows.mapInArrow(lambda batches: _meet(batches, members), "a long, b long, hot boolean")
+    low, high = F.when(F.col("hot"), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("hot"), F.col("b")).otherwise(F.greatest("a", "b"))
+    return found.select(low.alias("a"), high.alias("b"), "hot").distinct()
 
 
-def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None, glue: bool = False) -> DataFrame:
+def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None, members: bool = False) -> DataFrame:
     """(key, sid, other): the first D + 1 keys of each set; `order` has the blocks' frequencies by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +224,7 @@ def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None,
                         own = np.partition(own, most)[: most + 1]
                     keys.append(own)
                     sids.append(np.full(len(own), sid, np.int64))
-            yield _local(np.concatenate(keys), np.concatenate(sids), glue)
+            yield _local(np.concatenate(keys), np.concatenate(sids), members)
 
     return rows.mapInArrow(run, "key long, sid long, other long")
 
@@ -279,6 +278,61 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _close_forest(sids: np.ndarray, tile: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, same_tile: bool, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs that sizes and sketches allow, as many as join up what hangs together."""
+    n = len(sids)
+    comp = np.arange(n)
+    out_a, out_b = [], []
+    for i in range(n - 1):
+        rest = slice(i + 1, n)
+        may = (comp[rest] != comp[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+        if not same_tile:
+            may &= tile[rest] != tile[i]
+        spots = np.nonzero(may)[0] + i + 1
+        if not len(spots):
+            continue
+        spots = spots[_differing(sketches[spots], sketches[i]) * (100 + percent) <= (sizes[spots] + sizes[i]) * (100 - percent)]
+        groups, first = np.unique(comp[spots], return_index=True)
+        if len(groups):
+            out_a += [int(sids[i])] * len(groups)
+            out_b += sids[spots[first]].tolist()
+            comp[np.isin(comp, groups)] = comp[i]
+    return out_a, out_b
+
+
+def hot_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): of the sets of each hot key (sid, key) a spanning forest of the pairs that the short sketches allow.
+
+    A key with more than SKETCH_TILE sets is dealt into tiles that meet pair by pair."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SKETCH_TILE)).cast("int").alias("tiles"))
+    rows = members.join(n, "key").withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "tile", "sid")
+    rows = rows.join(sets.select("sid", "n_shingles", "sketch"), "sid").select("key", "t1", "t2", "tile", "sid", "n_shingles", "sketch")
+    rows = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            tile, sids, sizes = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            short = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+            a, b = _close_forest(sids, tile, sizes, short, now[1] == now[2], percent)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, t1, t2, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, t1, t2) != now:
+                    if now is not None:
+                        yield done()
+                    now, held = (key, t1, t2), []
+                held.append(row)
+        if now is not None:
+            yield done()
+
+    return rows.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _short(found: np.ndarray) -> bytes:
     """The upper 48 bits of each hash, which is what two sets are compared by: a false match among two sets of
     20,000 shingles has a probability of one in 700,000."""
@@ -386,19 +440,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     met = save(meet(_posted(rows, width, percent)), "met")
     release(docs.sparkSession)
-    hot = met.where("b is null").select(F.col("a").alias("sid"))
-    pairs = met.where("b is not null").select("a", "b")
-    glued = None
-    if not hot.isEmpty():
-        member = membership_bits(sets.join(hot, "sid", "left_semi"), "first_doc")
+    flagged = met.where("hot").select(F.col("a").alias("sid"))
+    pairs = met.where("not hot").select("a", "b")
+    tied = None
+    if not flagged.isEmpty():
+        member = membership_bits(sets.join(flagged, "sid", "left_semi"), "first_doc")
         order = _frequencies(rows, width, percent, member)
-        again = save(meet(_posted(rows, width, percent, member, order, glue=True), glue=True), "met_again")
+        again = save(meet(_posted(rows, width, percent, member, order, members=True), members=True), "met_again")
         release(docs.sparkSession)
-        pairs = pairs.union(again.where("not glued").select("a", "b")).distinct()
-        glued = again.where("glued").select("a", "b")
+        pairs = pairs.union(again.where("not hot").select("a", "b")).distinct()
+        tied = hot_pairs(again.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key")), sets, percent)
     close = sketch_filter(pairs, sets, percent)
-    if glued is not None:
-        close = close.union(glued)
+    if tied is not None:
+        close = close.union(tied)
     groups = components(close)
     release(docs.sparkSession)
     links = verified_links(docs.where("doc_id is not null"), groups, sets, width, percent)

@@ -204,14 +204,14 @@ def test_language_by_held_out_accuracy(spark, sf_dir):
 
 
 def test_language_of_odd_texts(spark):
-    rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "123 !?", "en", "s"), (4, "the thing and that is the way of it", "en", "s"), (5, "é", None, "s"), (6, "x" * 100_000, None, "s"), (None, "der die das", "de", "s")]
+    rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "123 !?", "en", "s"), (10, "the thing and that is the way of it", "en", "s"), (5, "é", None, "s"), (6, "x" * 100_000, None, "s"), (None, "der die das", "de", "s")]
     got = {r["doc_id"]: r for r in langid.identify(table(spark, rows)).collect()}
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3))
-    assert got[4]["lang_pred"] == "en" and got[5]["lang_pred"] in ("en", "de")
+    assert got[10]["lang_pred"] == "en" and got[5]["lang_pred"] in ("en", "de")
     assert not got[None]["held_out"]
     assert {r["lang_pred"] for r in langid.identify(table(spark, rows).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.known_languages(table(spark, rows))
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [4, 5, 6, None] and kept.columns == table(spark, rows).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([10, 5, 6, None], key=str) and kept.columns == table(spark, rows).columns
 
 
 def test_trigram_scores_are_those_of_the_bundles():
