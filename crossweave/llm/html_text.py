@@ -34,12 +34,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 #: Words in class, id or role that mark parts beside the article.
-APART_WORDS = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|gdpr|privacy|nav\w*|menu|breadcrumbs?|sidebar|side|rail|widget|related|recommended|share|sharing|social|"
-    r"comments?|comment-?\w*|disqus|replies|respond|reader-?comments?|footer|foot|header|masthead|subscribe|newsletter|signup|login|modal|popup|overlay|toolbar|pagination|pager|skip|copyright|complementary|contentinfo|search)(?:$|[\s_-])"
+APART_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored sponsors promo promos promotion banner banners cookie cookies
+    consent notice notices alert gdpr privacy disclaimer nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets
+    related recommended recommendations share sharing social comment comments commentlist disqus replies reply respond footer foot header masthead topbar subscribe
+    subscription newsletter signup login modal popup overlay toolbar pagination pager skip skiplink copyright complementary contentinfo search form forms dialog""".split()
 )
-#: Words that mark an article's own parts, whatever else the class says.
-OWN_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:article|post|entry|content|story|main|body)(?:$|[\s_-])")
+#: Words with which a part of the article itself may be called a header.
+OWN_WORDS = frozenset("article post entry content story main".split())
+#: First words of names that tell of the page's state rather than of a part.
+STATE_WORDS = frozenset("has with without no not is".split())
+_NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def set_apart(marks: str) -> bool:
+    """Whether a class, id or role names a part beside the article."""
+    for name in marks.split():
+        words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        if not words or words[0] in STATE_WORDS:
+            continue
+        hits = APART_WORDS.intersection(words)
+        if hits and not (hits == {"header"} and OWN_WORDS.intersection(words)):
+            return True
+    return False
+
 
 #: Bounds of the first pass: stop-word density, length in characters, link density.
 STOP_LOW, STOP_HIGH, LENGTH_LOW, LENGTH_HIGH, LINKS_MOST = 0.15, 0.25, 70, 200, 0.33
@@ -138,7 +156,7 @@ def blocks_of(page: str) -> list[Block]:
         marks = " ".join(a or b or c for a, b, c in _MARKS.findall(tag[3])) if tag[3] else ""
         is_main = name in MAIN
         is_apart = name in APART and not (name == "header" and depth_main > 0)
-        if marks and not is_main and name != "body" and APART_WORDS.search(marks) and not OWN_WORDS.search(re.sub(r"(?i)\S*comment\S*", "", marks) if not re.search("(?i)comment", marks) else ""):
+        if marks and not is_main and name not in ("body", "html") and set_apart(marks):
             is_apart = True
         if tag[3] and _HIDDEN.search(tag[3]):
             is_apart = True
