@@ -19,13 +19,17 @@ ROUNDS, LEAST = 6, 8
 #: Rows of a shard come in blocks of about so many characters; each block has its own grammar.
 BLOCK_CHARS = 2 * PIECE_CHARS
 FIRST_RULE = 1 << 17
+#: Slots of the table in which a round counts pairs.
+SLOT_BITS = 20
 
 
 def repair(ids: np.ndarray, doc_of: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document of each symbol, rules): frequent pairs of neighbours within a document become nonterminals.
 
-    A round counts all pairs and replaces every pair that occurs `least` times, the most frequent
-    first where they overlap. Rule k stands for symbol FIRST_RULE + k and is a pair of symbols."""
+    A round counts all pairs in a table of slots; of overlapping pairs that occur `least`
+    times the most frequent is chosen, and a pair that was chosen in two places is replaced there. Pairs that share a slot may be taken
+    for more frequent than they are, which only changes the choice. Rule k stands for symbol
+    FIRST_RULE + k and is a pair of symbols."""
     seq, owner = ids.astype(np.int64), doc_of
     rules: list[np.ndarray] = []
     made = 0
@@ -33,30 +37,29 @@ def repair(ids: np.ndarray, doc_of: np.ndarray, rounds: int = ROUNDS, least: int
         if len(seq) < 2:
             break
         pair = seq[:-1] << 32 | seq[1:]
-        inside = owner[:-1] == owner[1:]
-        order = np.sort(pair[inside])
-        edge = np.concatenate([[0], np.nonzero(np.diff(order))[0] + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-        counts = np.diff(edge)
-        often = np.nonzero(counts >= least)[0]
-        if not len(often):
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        outside = owner[:-1] != owner[1:]
+        slot[outside] = 1 << SLOT_BITS
+        counts = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
+        counts[counts < least] = 0
+        counts[-1] = 0
+        weight = counts[slot]
+        # a place is chosen if no overlapping neighbour is more frequent (the left one wins a tie)
+        chosen = weight > 0
+        chosen[1:] &= weight[1:] > weight[:-1]
+        chosen[:-1] &= weight[:-1] >= weight[1:]
+        places = np.nonzero(chosen)[0]
+        value, which, often = np.unique(pair[places], return_inverse=True, return_counts=True)
+        good = often >= 2
+        if not good.any():
             break
-        value, count = order[edge[often]], counts[often]
-        spot = np.minimum(np.searchsorted(value, pair), len(value) - 1)
-        weight = np.where((value[spot] == pair) & inside, count[spot], 0)
-        # a place is taken if no overlapping neighbour is more frequent (the left one wins a tie)
-        left, right = np.concatenate([[0], weight[:-1]]), np.concatenate([weight[1:], [0]])
-        take = (weight > 0) & (weight > left) & (weight >= right)
-        if not take.any():
-            break
-        # rules for the pairs that are replaced somewhere
-        used = np.unique(spot[take])
-        number = np.zeros(len(value), np.int64)
-        number[used] = FIRST_RULE + made + np.arange(len(used))
-        rules.append(np.stack([value[used] >> 32, value[used] & 0xFFFFFFFF], axis=1))
-        made += len(used)
-        places = np.nonzero(take)[0]
+        number = FIRST_RULE + made + np.cumsum(good) - 1
+        fine = good[which]
+        places, which = places[fine], which[fine]
+        rules.append(np.stack([value[good] >> 32, value[good] & 0xFFFFFFFF], axis=1))
+        made += int(good.sum())
         seq = seq.copy()
-        seq[places] = number[spot[places]]
+        seq[places] = number[which]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq, owner = seq[keep], owner[keep]
