@@ -3,8 +3,8 @@
 A document's set of shingles is hashed to 64 bits each. A sketch cuts the hash space into blocks, as
 many as suit the document's size band, and XORs each shingle into its block. Two sets that differ
 in D shingles differ in at most D blocks, so the number of differing blocks (a Hamming distance)
-never exceeds the symmetric difference; the same holds bit by bit for the short sketch of
-SKETCH_BITS bits in which a shingle flips one bit.
+never exceeds the symmetric difference; the same holds bit by bit for the short sketch, of about as
+many bits as the set has shingles, in which a shingle flips one bit.
 
 At 100 * |A & B| >= 80 * |A | B| the symmetric difference is at most (|A| + |B|) / 9. A set therefore
 shares one of its first D + 1 non-empty blocks, in any order that all sets keep, with every partner
@@ -92,8 +92,41 @@ def set_id(found: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    bits = np.bincount((mix64(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of shingles by bit, as many bits as the next power of two to the set's size, SKETCH_BITS at least."""
+    bits = max(SKETCH_BITS, 1 << (len(found) - 1).bit_length())
+    parity = np.bincount((mix64(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch in `size` bytes: a bit is the parity of those that fall on it, so that it is the shorter sketch of the same set."""
+    x = np.frombuffer(raw, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+class Sketches:
+    """Sketches of several lengths; two are compared at the shorter one's."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.at, self.rows = {}, {}
+        for size in np.unique(self.sizes).tolist():
+            there = np.nonzero(self.sizes >= size)[0]
+            self.at[size] = np.full(len(raw), -1)
+            self.at[size][there] = np.arange(len(there))
+            self.rows[size] = np.stack([folded(raw[k], size) for k in there.tolist()])
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which sketch i and each of the others differ."""
+        out = np.zeros(len(others), np.int64)
+        common = np.minimum(self.sizes[others], self.sizes[i])
+        for size in np.unique(common).tolist():
+            mine = common == size
+            rows, at = self.rows[size], self.at[size]
+            out[mine] = np.bitwise_count(rows[at[others[mine]]] ^ rows[at[i]]).sum(axis=-1, dtype=np.int64)
+        return out
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -256,10 +289,6 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
     return rows.sparkSession.sparkContext.broadcast(dense_table(sums, SLOTS, "int32").tobytes())
 
 
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
 def sketch_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs whose sizes and short sketches allow a link."""
     one = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
@@ -270,15 +299,15 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for k in (4, 5))
+            apart = [int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum()) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            fits = _differing(sa, sb) * (100 + percent) <= total * (100 - percent)
+            fits = np.array(apart) * (100 + percent) <= total * (100 - percent)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _close_forest(sids: np.ndarray, tile: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, same_tile: bool, percent: int) -> tuple[list[int], list[int]]:
+def _close_forest(sids: np.ndarray, tile: np.ndarray, sizes: np.ndarray, sketches: Sketches, same_tile: bool, percent: int) -> tuple[list[int], list[int]]:
     """Pairs that sizes and sketches allow, as many as join up what hangs together."""
     n = len(sids)
     comp = np.arange(n)
@@ -291,7 +320,7 @@ def _close_forest(sids: np.ndarray, tile: np.ndarray, sizes: np.ndarray, sketche
         spots = np.nonzero(may)[0] + i + 1
         if not len(spots):
             continue
-        spots = spots[_differing(sketches[spots], sketches[i]) * (100 + percent) <= (sizes[spots] + sizes[i]) * (100 - percent)]
+        spots = spots[sketches.apart(i, spots) * (100 + percent) <= (sizes[spots] + sizes[i]) * (100 - percent)]
         groups, first = np.unique(comp[spots], return_index=True)
         if len(groups):
             out_a += [int(sids[i])] * len(groups)
@@ -316,8 +345,7 @@ def hot_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
 
         def done() -> pa.RecordBatch:
             tile, sids, sizes = (np.array([h[k] for h in held], np.int64) for k in range(3))
-            short = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
-            a, b = _close_forest(sids, tile, sizes, short, now[1] == now[2], percent)
+            a, b = _close_forest(sids, tile, sizes, Sketches([h[3] for h in held]), now[1] == now[2], percent)
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -345,7 +373,7 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _verify_tile(sids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, same_tile: bool, percent: int) -> list[tuple[int, int]]:
+def _verify_tile(sids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], sketches: Sketches, same_tile: bool, percent: int) -> list[tuple[int, int]]:
     """True links between a tile's sets that join what was not joined yet."""
     n = len(sids)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -353,10 +381,13 @@ def _verify_tile(sids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], ske
     out = []
     for i in range(n - 1):
         rest = slice(i + 1, n)
-        may = (comp[rest] != comp[i]) & (_differing(sketches[rest], sketches[i]) * (100 + percent) <= (sizes[rest] + sizes[i]) * (100 - percent))
+        may = (comp[rest] != comp[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
         if not same_tile:
             may &= tile[rest] != tile[i]
-        for j in (np.nonzero(may)[0] + i + 1).tolist():
+        spots = np.nonzero(may)[0] + i + 1
+        if not len(spots):
+            continue
+        for j in spots[sketches.apart(i, spots) * (100 + percent) <= (sizes[spots] + sizes[i]) * (100 - percent)].tolist():
             if comp[j] == comp[i]:
                 continue
             a, b = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
@@ -406,7 +437,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
             if len(once) > 1:
                 sids = np.array(list(once), np.int64)
                 found = [_long(h[2]) for h in once.values()]
-                short = np.frombuffer(b"".join(h[3] for h in once.values()), np.uint64).reshape(len(once), -1)
+                short = Sketches([h[3] for h in once.values()])
                 links = _verify_tile(sids, np.array([h[0] for h in once.values()]), found, short, now[1] == now[2], percent)
                 if links:
                     yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
