@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.shared import bit_position, bits_set, components, dense_table, membership_bits, mix64, pieces, release, save, shingle_sets
+from crossweave.llm.shared import bit_position, bits_set, components, membership_bits, mix64, pieces, release, save, shingle_sets
 
 WIDTH = 5
 #: Links are 100 * |A & B| >= PERCENT * |A | B|.
@@ -271,9 +271,13 @@ def _members(batch: pa.RecordBatch, member) -> list[str | None]:
 
 
 def _frequencies(rows: DataFrame, width: int, percent: int, member):
-    """A broadcast table of SLOTS counters: how many sets have a block that falls in the slot."""
+    """A broadcast table of SLOTS counters: how many sets have a block that falls in the slot.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task counts all its rows in one table and sends that in chunks; chunks are added up as they come."""
+    chunk = 1 << 13
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, np.int64)
         for batch in pieces(batches, limit=8_000_000):
             keys = [np.zeros(0, np.int64)]
             seen: set[int] = set()
@@ -281,12 +285,25 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
                 if len(found) and (sid := set_id(found)) not in seen:
                     seen.add(sid)
                     keys += [own for _, own in all_keys(found, percent)]
-            slots, n = np.unique(np.concatenate(keys) % SLOTS, return_counts=True)
-            yield pa.record_batch([pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int32))], names=["slot", "n"])
-
-    # a slot that one block alone has needs no row
-    sums = rows.mapInArrow(run, "slot int, n int").groupBy(F.col("slot").alias("at")).agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("value")).where("value > 1")
-    return rows.sparkSession.sparkContext.broadcast(dense_table(sums, SLOTS, "int32").tobytes())
+            table += np.bincount(np.concatenate(keys) % SLOTS, minlength=SLOTS)
+        table = np.minimum(table, 2**31 - 1).astype(np.int32)
+        for k in range(0, SLOTS, chunk):
+            if table[k : k + chunk].any():
+                yield pa.record_batch([pa.array([k // chunk], pa.int32()), pa.array([table[k : k + chunk].tobytes()], pa.binary())], names=["chunk", "raw"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        for k, total in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["chunk", "raw"])
+
+    found = rows.mapInArrow(count, "chunk int, raw binary").repartition("chunk").mapInArrow(add, "chunk int, raw binary")
+    table = np.zeros(SLOTS, np.int32)
+    for row in found.collect():  # SLOTS / chunk rows at most
+        table[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["raw"], np.int32)
+    return rows.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def sketch_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
