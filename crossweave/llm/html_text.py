@@ -42,6 +42,9 @@ APART_WORDS = frozenset(
 )
 #: Words with which a part of the article itself may be called a header.
 OWN_WORDS = frozenset("article post entry content story main".split())
+#: Elements and words of parts that are beside the article even when they hold much of the text.
+BESIDE = frozenset("nav footer aside menu dialog".split())
+BESIDE_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: First words of names that tell of the page's state rather than of a part.
 STATE_WORDS = frozenset("has with without no not is".split())
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -64,7 +67,12 @@ STOP_LOW, STOP_HIGH, LENGTH_LOW, LENGTH_HIGH, LINKS_MOST = 0.15, 0.25, 70, 200,
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _MARKS = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:$|[\s=/])")
+_NOT_SHOWN = re.compile(r"(?i)\bstyle\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|[^\s\"'>]*?display:none)")
+_ARIA_HIDDEN = re.compile(r"(?i)\baria-hidden\s*=\s*[\"']?true")
+#: A part holds most of the page's text where it has so many times the text outside.
+MOST = 4
 
 
 @dataclass(slots=True)
@@ -75,29 +83,103 @@ class Block:
     apart: bool
     main: bool
 
+    def weight(self) -> int:
+        """Characters outside links; none where links make the block a menu."""
+        n = len("".join(self.text.split()))
+        return n - self.linked if self.linked <= LINKS_MOST * n else 0
+
+
+@dataclass(slots=True)
+class Part:
+    """An element that its name or its class, id or role sets apart, within another one or none (-1)."""
+
+    within: int
+    rank: int
+    text: int = 0
+    article: int = 0
+    wraps: bool = False
+
+
+def rank_of(name: str, marks: str) -> int:
+    """How likely a part set apart is a wrapper of the page: 0 likely, 1 perhaps, 2 hardly."""
+    words = {w.lower() for w in _NAME_WORDS.findall(marks)}
+    if name in BESIDE or BESIDE_WORDS & words:
+        return 2
+    return 0 if name in ("form", "fieldset") or OWN_WORDS & words else 1
+
+
+def find_wrappers(parts: list[Part], outside: int) -> None:
+    """Marks parts that hold most of the page's text or its article; text in them is not set apart by them.
+
+    outside is the text in no part; parts come with their own text, which is summed over what they hold."""
+    own = [p.text for p in parts]
+    for p in reversed(parts):
+        if p.within >= 0:
+            parts[p.within].text += p.text
+            parts[p.within].article += p.article
+
+    def beside(k: int) -> int:
+        """Text that is in no part but wrappers and those around k."""
+        around, at = set(), parts[k].within
+        while at >= 0:
+            around.add(at)
+            at = parts[at].within
+        seen, total = [False] * len(parts), outside
+        for i, p in enumerate(parts):
+            seen[i] = i != k and (p.wraps or i in around) and (p.within < 0 or seen[p.within])
+            total += own[i] if seen[i] else 0
+        return total
+
+    known = outside  # what beside() gives at least
+    for k in sorted(range(len(parts)), key=lambda k: (parts[k].rank, -parts[k].text, k)):
+        p = parts[k]
+        if p.text and p.rank < 2 and (p.text >= MOST * known or p.article >= max(1, known)):
+            rest = beside(k)
+            p.wraps = p.text >= MOST * rest or p.article >= max(1, rest)
+        elif p.text and p.rank == 2 and not known:
+            p.wraps = not beside(k)
+        if p.wraps:
+            shown = [False] * len(parts)
+            for i, q in enumerate(parts):
+                shown[i] = q.wraps and (q.within < 0 or shown[q.within])
+            known = outside + sum(n for n, s in zip(own, shown, strict=True) if s)
+
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with white space turned into single spaces."""
     found: list[Block] = []
     parts: list[str] = []
     link_at: list[tuple[int, int]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, apart, main
-    depth_apart = depth_main = links = linked = 0
+    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, apart, hidden, main
+    apart: list[Part] = []
+    places: list[tuple[int, bool]] = []  # of each block: its innermost part, whether hidden
+    part = article_in = -1  # the innermost open part; the one around the open article
+    depth_hidden = depth_main = links = linked = 0
     heading = False
 
+    around: list[int] = []  # the parts around open ones
+
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, linked, heading, depth_apart > 0, depth_main > 0))
+                found.append(block := Block(text, linked, heading, depth_hidden > 0, depth_main > 0))
+                places.append((part, depth_hidden > 0))
+                if not depth_hidden:
+                    if part >= 0:
+                        apart[part].text += block.weight()
+                    if depth_main and article_in >= 0:
+                        apart[article_in].article += block.weight()
             parts.clear()
         linked = 0
 
     def pop(k: int) -> None:
-        nonlocal depth_apart, depth_main
-        for _, was_apart, was_main in open_tags[k:]:
-            depth_apart -= was_apart
+        nonlocal part, depth_hidden, depth_main
+        for _, was_apart, was_hidden, was_main in open_tags[k:]:
+            if was_apart:
+                part = around.pop()
+            depth_hidden -= was_hidden
             depth_main -= was_main
         del open_tags[k:]
 
@@ -158,12 +240,26 @@ def blocks_of(page: str) -> list[Block]:
         is_apart = name in APART and not (name == "header" and depth_main > 0)
         if marks and not is_main and name not in ("body", "html") and set_apart(marks):
             is_apart = True
-        if tag[3] and _HIDDEN.search(tag[3]):
+        is_hidden = bool(tag[3] and (_HIDDEN.search(_QUOTED.sub("''", tag[3])) or _NOT_SHOWN.search(tag[3])))
+        if tag[3] and _ARIA_HIDDEN.search(tag[3]):
             is_apart = True
-        open_tags.append((name, is_apart, is_main))
-        depth_apart += is_apart
+        open_tags.append((name, is_apart, is_hidden, is_main))
+        if is_apart:
+            apart.append(Part(part, rank_of(name, marks)))
+            around.append(part)
+            part = len(apart) - 1
+        if is_main and not depth_main:
+            article_in = part
+        depth_hidden += is_hidden
         depth_main += is_main
     close_block()
+    if apart:
+        find_wrappers(apart, sum(b.weight() for b, (k, hidden) in zip(found, places, strict=True) if k < 0 and not hidden))
+        beside: list[bool] = []
+        for p in apart:
+            beside.append(not p.wraps or (p.within >= 0 and beside[p.within]))
+        for block, (k, hidden) in zip(found, places, strict=True):
+            block.apart = hidden or (k >= 0 and beside[k])
     return found
 
 
@@ -202,35 +298,36 @@ def _nearest(labels: list[str], i: int, step: int, decided: tuple[str, ...]) ->
 def main_text(page: str | None) -> str:
     """Good blocks joined by newlines; the second pass lets undecided blocks inherit from the nearest decided ones.
 
-    Where the page marks its article (article or main), blocks inside it that are not set apart are
-    the article unless links make them a menu, and blocks outside are not."""
+    Where the page marks its article (article or main) and that has most of the text, undecided blocks
+    inside it are good and undecided ones outside are not; elsewhere the passes alone decide."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    labels = [classify(b) for b in blocks]
-    if any(b.main and not b.apart for b in blocks):
-        labels = ["bad" if not b.main else x if x == "bad" else "good" for b, x in zip(blocks, labels, strict=True)]
-    else:
-        first = list(labels)
-        for i, label in enumerate(first):
-            if label == "short":
-                sides = {_nearest(first, i, -1, ("good", "bad")), _nearest(first, i, 1, ("good", "bad"))} - {None}
-                if sides == {"good"}:
-                    labels[i] = "good"
-                elif sides == {"bad"} or not sides:
-                    labels[i] = "bad"
-                else:  # one of each: a near block on the bad side decides
-                    back, ahead = _nearest(first, i, -1, ("good", "near", "bad")), _nearest(first, i, 1, ("good", "near", "bad"))
-                    good = (back == "near" and _nearest(first, i, -1, ("good", "bad")) == "bad") or (ahead == "near" and _nearest(first, i, 1, ("good", "bad")) == "bad")
-                    labels[i] = "good" if good or (blocks[i].heading and ahead in ("good", "near")) else "bad"
-        second = list(labels)
-        for i, label in enumerate(second):
-            if label == "near":
-                sides = {_nearest(second, i, -1, ("good", "bad")), _nearest(second, i, 1, ("good", "bad"))} - {None}
-                labels[i] = "bad" if sides == {"bad"} else "good"
-        for i, block in enumerate(blocks):  # a heading right before good text belongs to it
-            if block.heading and not block.apart and labels[i] == "bad" and first[i] != "bad" and i + 1 < len(blocks) and labels[i + 1] == "good":
+    first = [classify(b) for b in blocks]
+    inside = sum(b.weight() for b in blocks if b.main and not b.apart)
+    prose = sum(b.weight() for b, x in zip(blocks, first, strict=True) if not b.main and x in ("good", "near"))
+    if inside and inside >= prose:
+        first = [("good" if b.main else "bad") if x in ("near", "short") else x for b, x in zip(blocks, first, strict=True)]
+    labels = list(first)
+    for i, label in enumerate(first):
+        if label == "short":
+            sides = {_nearest(first, i, -1, ("good", "bad")), _nearest(first, i, 1, ("good", "bad"))} - {None}
+            if sides == {"good"}:
                 labels[i] = "good"
+            elif sides == {"bad"} or not sides:
+                labels[i] = "bad"
+            else:  # one of each: a near block on the bad side decides
+                back, ahead = _nearest(first, i, -1, ("good", "near", "bad")), _nearest(first, i, 1, ("good", "near", "bad"))
+                good = (back == "near" and _nearest(first, i, -1, ("good", "bad")) == "bad") or (ahead == "near" and _nearest(first, i, 1, ("good", "bad")) == "bad")
+                labels[i] = "good" if good or (blocks[i].heading and ahead in ("good", "near")) else "bad"
+    second = list(labels)
+    for i, label in enumerate(second):
+        if label == "near":
+            sides = {_nearest(second, i, -1, ("good", "bad")), _nearest(second, i, 1, ("good", "bad"))} - {None}
+            labels[i] = "bad" if sides == {"bad"} else "good"
+    for i, block in enumerate(blocks):  # a heading right before good text belongs to it, a linked one before a text that is good by itself
+        if block.heading and not block.apart and labels[i] == "bad" and i + 1 < len(blocks) and labels[i + 1] == "good" and (first[i] != "bad" or (block.linked and first[i + 1] != "short")):
+            labels[i] = "good"
     return "\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x == "good")
 
 

@@ -121,6 +121,24 @@ def test_html_without_an_article_element():
     assert html_text.main_text(page) == "\n".join(["On the week", body.strip(), "Short but inside.", body.strip()])
 
 
+PROSE = "This is the text of the page and it is about all that was in the news for the week, with more of the same to come. " * 3
+
+
+@pytest.mark.parametrize("wrapper", ["<form id='aspnetForm'>", "<div class='main-with-sidebar'>", "<div class='elementor-widget-theme-post-content'>", "<div class='entry-content privacy-policy'>", "<div class='flex hidden lg:block'>"])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_html_wrapper_of_the_page_is_not_set_apart(wrapper, inner):
+    page = f"<body><nav><a href=/>Home</a></nav>{wrapper}<{inner}><h1><a href=/x>On the week</a></h1><p>{PROSE}</p><p>Short but inside.</p><p>{PROSE}</p></{inner}><div class=sidebar><p>{PROSE[:100]}</p></div></{wrapper[1:5].rstrip()}><footer>Imprint of us</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["On the week", PROSE.strip(), "Short but inside.", PROSE.strip()])
+
+
+def test_html_body_beside_a_teaser_or_before_comments():
+    text = f"<h1>On the week</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    expected = "\n".join(["On the week", PROSE.strip(), PROSE.strip()])
+    assert html_text.main_text(f"<body><div>{text}</div><div><article class='teaser'><h3><a href=/o>Other story</a></h3><p>A card.</p></article></div></body>") == expected
+    assert html_text.main_text(f"<body><div>{text}</div><section class='comments'><p>{PROSE * 20}</p></section></body>") == expected
+    assert html_text.main_text(f"<body><article>{text}</article><div style='display: none'><p>{PROSE * 20}</p></div></body>") == expected
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     got = html_text.extract(rows).collect()
