@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm import ngram_join
-from crossweave.llm.shared import bucket_of, components, mix64, pieces, range_bounds, save, shingle_sets
+from crossweave.llm.shared import bucket_of, components, mix64, pieces, range_bounds, release, save, shingle_sets
 
 PERMUTATIONS = 128
 #: A near-duplicate search cuts a signature into bands of so many values; one equal band makes a candidate.
@@ -62,6 +63,39 @@ def fingerprint(docs: DataFrame, permutations: int = PERMUTATIONS, width: int =
     Rows are dealt by ranges of doc_id, with one shuffle of the texts. Each range also gets the rows
     with the least id of the next range, so that no range waits for another; a range streams through
     its task, two rows at a time."""
+    return _shown(_rows(docs, permutations, width))
+
+
+def fingerprint_components(docs: DataFrame, percent: int = 80, permutations: int = PERMUTATIONS, rows_in_band: int = BAND_ROWS, width: int = WIDTH) -> DataFrame:
+    """The rows of `fingerprint`, each with the component_id that `near_duplicates` gives its text.
+
+    Signatures are made once and saved; bands come from the saved ones. A row gets its component by its
+    set of shingles, of which there is one in the table of components, so rows that repeat an id neither
+    multiply nor share a component by the id alone. Null ids have a null component."""
+    known = save(_rows(docs, permutations, width), "fingerprints")
+    _let_go(docs)
+    label = save(_components(docs, known, percent, rows_in_band, width), "components")
+    _let_go(docs)
+    return _shown(known.join(label, "sid", "left"), _component_id())
+
+
+def _let_go(docs: DataFrame) -> None:
+    """Twice, since plans that Python has dropped are free in the JVM only a moment later."""
+    for _ in range(2):
+        release(docs.sparkSession)
+        time.sleep(0.5)
+
+
+def _component_id() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+
+
+def _shown(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sign")).alias("fingerprint"), F.lower(F.hex("edited_sign")).alias("edited_fingerprint"), "near_edited", "near_next", *more)
+
+
+def _rows(docs: DataFrame, permutations: int, width: int) -> DataFrame:
+    """The rows of `fingerprint` with signatures as bytes, and n_shingles, sid and sketch of each text."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # null ids take the place right before all others
@@ -79,33 +113,41 @@ def fingerprint(docs: DataFrame, permutations: int = PERMUTATIONS, width: int =
     rows = rows.repartitionByRange(max(1, len(bounds) + 1), "r").sortWithinPartitions("r", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # range, id, text and signature of the last row of its own, until its next row is known
+        before = None  # range, id, text, signature and set of the last row of its own, until its next row is known
         for batch in pieces(batches):
             ranges, guest, ids, texts = (c.to_pylist() for c in batch.columns)
-            signs = [signature(s, permutations) for s in shingle_sets(texts, width)]
             pairs = []
-            for r, g, i, text, sign in zip(ranges, guest, ids, texts, signs, strict=True):
+            for r, g, i, text, found in zip(ranges, guest, ids, texts, shingle_sets(texts, width), strict=True):
+                sign = signature(found, permutations)
                 if before is not None and before[0] == r:
                     pairs.append((*before[1:], text, sign))
                     before = None
                 if not g:
-                    before = (r, i, text, sign)
-            changed = [edited(text, following) for _, text, _, following, _ in pairs]
+                    before = (r, i, text, sign, _described(found))
+            changed = [edited(text, following) for _, text, _, _, following, _ in pairs]
             other = [signature(s, permutations) for s in shingle_sets(changed, width)]
             yield pa.record_batch(
                 [
                     pa.array([p[0] for p in pairs], pa.int64()),
                     pa.array([len(p[1]) for p in pairs], pa.int64()),
                     pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-                    pa.array([p[2].tobytes().hex() for p in pairs], pa.string()),
-                    pa.array([o.tobytes().hex() for o in other], pa.string()),
+                    pa.array([p[2].tobytes() for p in pairs], pa.binary()),
+                    pa.array([o.tobytes() for o in other], pa.binary()),
                     pa.array([likeness(p[2], o) for p, o in zip(pairs, other, strict=True)], pa.float64()),
-                    pa.array([likeness(p[2], p[4]) for p in pairs], pa.float64()),
+                    pa.array([likeness(p[2], p[5]) for p in pairs], pa.float64()),
+                    pa.array([p[3][0] for p in pairs], pa.int64()),
+                    pa.array([p[3][1] for p in pairs], pa.int64()),
+                    pa.array([p[3][2] for p in pairs], pa.binary()),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "sign", "edited_sign", "near_edited", "near_next", "n_shingles", "sid", "sketch"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, sign binary, edited_sign binary, near_edited double, near_next double, n_shingles long, sid long, sketch binary")
+
+
+def _described(found: np.ndarray) -> tuple[int, int | None, bytes | None]:
+    """Size, id and sketch of a set; no id and no sketch for the empty set."""
+    return len(found), ngram_join.set_id(found) if len(found) else None, ngram_join.sketch(found) if len(found) else None
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, permutations: int = PERMUTATIONS, rows_in_band: int = BAND_ROWS, width: int = WIDTH) -> DataFrame:
@@ -114,34 +156,46 @@ def near_duplicates(docs: DataFrame, percent: int = 80, permutations: int = PERM
     Bands are joined in Spark; candidates are verified on the whole sets. Bands that many sets share
     form groups, whose pairs are compared in tiles with an exact check. A link whose signatures agree
     in no band is missed (at similarity 0.8 and 32 bands of four less than one in ten million)."""
-    known = save(ngram_join.described(docs, width), "described")
-    sets = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = list(shingle_sets(batch.column(1).to_pylist(), width))
+            sizes, sids, sketches = zip(*map(_described, found), strict=True) if found else ((), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), pa.array([signature(x, permutations).tobytes() for x in found], pa.binary())], names=["doc_id", "n_shingles", "sid", "sketch", "sign"])
+
+    known = save(rows.mapInArrow(run, "doc_id long, n_shingles long, sid long, sketch binary, sign binary"), "described")
+    return known.join(_components(docs, known, percent, rows_in_band, width), "sid", "left").select("doc_id", _component_id())
+
+
+def _components(docs: DataFrame, known: DataFrame, percent: int, rows_in_band: int, width: int) -> DataFrame:
+    """(sid, component) of every set in a table (doc_id, n_shingles, sid, sketch, sign): the least id of its near duplicates."""
+    sets = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign"))
     sets = save(sets, "sets")
+    _let_go(docs)
     rows = docs.where("doc_id is not null").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=8_000_000):
-            keys, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            seen: set[int] = set()
-            for found in shingle_sets(batch.column(1).to_pylist(), width):
-                if not len(found) or (sid := ngram_join.set_id(found)) in seen:
-                    continue
-                seen.add(sid)
-                bands = signature(found, permutations).astype(np.uint64).reshape(-1, rows_in_band)
-                key = np.arange(len(bands), dtype=np.uint64)
-                for k in range(rows_in_band):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
-                keys.append((key >> np.uint64(1)).astype(np.int64))
-                sids.append(np.full(len(bands), sid, np.int64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands = np.stack([np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]).astype(np.uint64).reshape(batch.num_rows, -1, rows_in_band)
+            keys = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
             with np.errstate(over="ignore"):
-                yield ngram_join._local(np.concatenate(keys), np.concatenate(sids), True)
+                for k in range(rows_in_band):
+                    keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
+                sids = np.repeat(batch.column(0).to_numpy(), bands.shape[1])
+                yield ngram_join._local((keys >> np.uint64(1)).astype(np.int64).ravel(), sids, True)
 
-    met = save(ngram_join.meet(rows.mapInArrow(run, "key long, sid long, other long"), members=True), "met")
+    met = save(ngram_join.meet(sets.select("sid", "sign").mapInArrow(run, "key long, sid long, other long"), members=True), "met")
+    _let_go(docs)
+    sets = sets.drop("sign")
     hot = met.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key"))
     close = ngram_join.sketch_filter(met.where("not hot").select("a", "b"), sets, percent).union(ngram_join.hot_pairs(hot, sets, percent))
-    links = ngram_join.verified_links(rows, components(close), sets, width, percent)
+    groups = components(close)
+    _let_go(docs)
+    links = ngram_join.verified_links(rows, groups, sets, width, percent)
     roots = components(links).select(F.col("node").alias("sid"), "root")
     label = sets.select("sid", "first_doc").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = label.groupBy("root").agg(F.min("first_doc").alias("component"))
-    label = label.join(least, "root").select("sid", "component")
-    return known.join(label, "sid", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return label.join(least, "root").select("sid", "component")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossweave.llm import fingerprints, html_text, langid, mixing, ngram_join, packing, sharding, token_store, urls, vectors
+from crossweave.llm.queries import QUERIES
 from crossweave.llm.tokens import default_tokenizer, encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -356,6 +357,22 @@ def test_banded_fingerprints_find_the_components(spark, corpus):
     assert got == brute_components(corpus)
 
 
+def test_fingerprints_query_runs_the_band_join(spark, corpus, tmp_path):
+    expected = brute_components(corpus)
+    table(spark, corpus).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == expected and len(rows) == len(corpus)
+    plain = sorted(fingerprints.fingerprint(table(spark, corpus)).collect())
+    assert sorted(tuple(r)[:-1] for r in rows) == [tuple(r) for r in plain]
+
+
+def test_fingerprint_components_of_rows_with_the_same_or_no_id(spark):
+    rows = [(None, "a b c d e f", None, None), (1, "a b c d e f", None, None), (1, "a b c d e f", None, None), (7, "a b c d e f", None, None), (7, "other words that are here too", None, None), (8, "", None, None), (9, None, None, None)]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in fingerprints.fingerprint_components(table(spark, rows)).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (7, 1), (7, 7), (8, 8), (9, 9), (None, None)]
+    assert fingerprints.fingerprint_components(table(spark, rows).limit(0)).count() == 0
+
+
 def test_sharding_table_and_placement(spark, corpus):
     names = [f"s{k}" for k in range(7)]
     full = sharding.lookup_table(names, 1009)
