@@ -67,7 +67,7 @@ def axis_pure_nodes(scores: DataFrame, k: int = 8, min_degree: int = 3, most: fl
 
 def neighbors_topk(kw_neighbor: DataFrame, frontier: DataFrame, k: int, min_cooc: int = 0) -> DataFrame:
     """The k strongest neighbours of each keyword of the frontier; the count is tested before the cut."""
-    rows = kw_neighbor.where(F.col("cooc") >= min_cooc).join(F.broadcast(frontier.select("keyword")), "keyword")
+    rows = kw_neighbor.where(F.col("cooc") >= min_cooc).join(frontier.select("keyword"), "keyword", "left_semi")
     place = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("npmi"), F.desc("neighbor")))
     return rows.withColumn("place", place).where(F.col("place") <= k).select("keyword", "neighbor", "npmi", "cooc", "df", "place")
 

@@ -258,6 +258,13 @@ def induced(t):
     return gr.induced_edges(t.kw_neighbor, few).select("a", "b", _scaled("npmi"), "cooc")
 
 
+@query("ego_chosen_edges")
+def chosen_edges(t):
+    """The edges among the nodes that the expansion chooses."""
+    found = gr.ego_expand(t.kw_neighbor, _hub(t))
+    return gr.induced_edges(t.kw_neighbor, found).select("a", "b", _scaled("npmi"), "cooc")
+
+
 @query("ego_shortest_hops")
 def hops(t):
     hub = _hub(t)
@@ -269,3 +276,9 @@ def hops(t):
 def topk(t):
     few = t.kw_meta.orderBy("df", "keyword").limit(40)
     return gr.neighbors_topk(t.kw_neighbor, few, 5, 3).select("keyword", "neighbor", "cooc", "place")
+
+
+@query("neighbors_topk_all", sql("SELECT keyword, neighbor, cooc, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY npmi DESC, neighbor DESC) AS place FROM kw_neighbor WHERE cooc >= 3 AND keyword IN (SELECT keyword FROM kw_meta)) WHERE place <= 5", "kw_neighbor", "kw_meta"))
+def topk_all(t):
+    """The neighbours of every keyword."""
+    return gr.neighbors_topk(t.kw_neighbor, t.kw_meta, 5, 3).select("keyword", "neighbor", "cooc", "place")

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from crossweave.plans import registry
+from crossweave.sources.adapter import Tables
 
 #: One query or more of every group; the whole list is compared by the driver's own check.
 COMPARED = [
@@ -67,3 +68,13 @@ def test_greedy_choices_are_the_same_in_every_run(spark, sf_dir):
     for name in ("digest_crossing", "suggest_keywords", "ego_expand"):
         runs = [sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).collect())) for _ in range(2)]
         assert runs[0] == runs[1]
+
+
+def test_neighbors_of_every_keyword_and_edges_of_chosen_nodes(spark, sf_dir, con):
+    test_query_is_its_sql(spark, sf_dir, con, "neighbors_topk_all")
+    t = Tables(spark, sf_dir)
+    every = {r["keyword"] for r in t.kw_neighbor.where("cooc >= 3").select("keyword").distinct().collect()}
+    assert {r["keyword"] for r in registry.QUERIES["neighbors_topk_all"](spark, sf_dir).collect()} == every
+    chosen = {r["keyword"] for r in registry.QUERIES["ego_expand"](spark, sf_dir).collect()}
+    expected = {tuple(sorted(r)) for r in t.kw_neighbor.select("keyword", "neighbor").collect() if set(r) <= chosen}
+    assert {(r["a"], r["b"]) for r in registry.QUERIES["ego_chosen_edges"](spark, sf_dir).collect()} == expected
