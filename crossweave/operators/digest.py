@@ -59,8 +59,8 @@ def digest_sections(pool: DataFrame, item_axes: DataFrame, axes: list[str], top_
     """(week, section, place, id): the crossing section (three axes first, then two), then each axis's by relevance.
 
     An item appears once, regulatory ones nowhere; a title close to one seen before is passed over but
-    still counts as seen. The choice depends on its own order, so a week is one group; candidates
-    are cut before to what a week's sections can look at."""
+    still counts as seen. The choice depends on its own order, so a week is one group, of all its
+    items with an axis that are not regulatory."""
     rows = with_axes(pool.where("not regulatory").select("week", "place", "id", "title", "relevance"), item_axes).where(F.size("axes") > 0)
 
     def grams(title: str) -> frozenset:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crossweave.functions.dates import week_label
@@ -136,7 +137,9 @@ def articles(t):
 def _editorial(t):
     """A text for each month of the corpus, citing two of its items; odd months are signed off."""
     month = F.date_format(pe.local_date("published_at"), "yyyy-MM")
-    cited = t.items.where("kept").groupBy(month.alias("period")).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "title", "url"))), 1, 2).alias("sources"))
+    rows = t.items.where("kept").select(month.alias("period"), F.col("id").cast("long").alias("id"), "title", "url")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("period").orderBy("id", "title", "url"))).where("r <= 2")
+    cited = rows.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("id", "title", "url"))).alias("sources"))
     ids = F.transform("sources", lambda s: s["id"])
     sections = F.array(F.struct(F.lit("one").alias("title"), F.when(F.col("period") == "2024-02", F.array(F.lit(-1).cast("long"))).otherwise(ids).alias("source_ids")))
     tasks = F.array(F.struct(F.lit("check").alias("title"), ids.alias("source_ids")))

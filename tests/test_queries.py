@@ -6,9 +6,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from crossweave.plans import registry
+from crossweave.plans import registry, reviews
 from crossweave.sources.adapter import Tables
 
 #: One query or more of every group; the whole list is compared by the driver's own check.
@@ -78,3 +79,14 @@ def test_neighbors_of_every_keyword_and_edges_of_chosen_nodes(spark, sf_dir, con
     chosen = {r["keyword"] for r in registry.QUERIES["ego_expand"](spark, sf_dir).collect()}
     expected = {tuple(sorted(r)) for r in t.kw_neighbor.select("keyword", "neighbor").collect() if set(r) <= chosen}
     assert {(r["a"], r["b"]) for r in registry.QUERIES["ego_chosen_edges"](spark, sf_dir).collect()} == expected
+
+
+def test_editorial_cites_two_items_without_gathering_a_month(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = reviews._editorial(t)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    months: dict[str, list] = {}
+    for r in t.items.where("kept").select(F.date_format(F.col("published_at") + F.expr("interval 9 hours"), "yyyy-MM").alias("m"), "id").collect():
+        months.setdefault(r["m"], []).append(r["id"])
+    assert {r["period"]: [x["id"] for x in r["sources"]] for r in found.collect()} == {m: sorted(ids)[:2] for m, ids in months.items()}
