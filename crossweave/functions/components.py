@@ -24,14 +24,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as a star forest: every node tied to the least node that the task's edges lead to."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
-    a, b = at[: len(hi)], at[len(hi) :]
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of edges between a and b: every node but the roots tied to the least node that the edges lead to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
     root = np.arange(len(nodes))
     while True:
         ra, rb = root[a], root[b]
@@ -41,7 +37,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (root[root] != root).any():
             root = root[root]
     tied = root != np.arange(len(nodes))
-    yield pa.record_batch([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["hi", "lo"])
+    return nodes[tied], nodes[root[tied]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as a star forest: every node tied to the least node that the task's edges lead to."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    node, root = star_forest(hi, lo)
+    yield pa.record_batch([pa.array(node), pa.array(root)], names=["hi", "lo"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
