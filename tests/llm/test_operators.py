@@ -420,3 +420,45 @@ def test_no_listed_url_is_missed(spark):
     rows = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".net/p"), "id").alias("url"))
     got = urls.filter_urls(rows, rows.where("page_id % 3 = 0").select("url"))
     assert got.where("listed <> (page_id % 3 = 0)").count() == 0
+
+
+def test_vector_join_of_large_clusters(spark):
+    """Chains, triangles, a hub and a dense cluster of over 2,000 rows, and 70 lengths of vectors, in tiles of several sizes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    step = 0.4  # cos 0.4 = 0.92, cos 0.8 = 0.70: each links with its neighbours alone
+    for k in range(60):  # a chain that winds through many planes
+        angle, plane = k * step, (k * step) // (np.pi / 2)
+        v = np.zeros(64)
+        v[int(plane)], v[int(plane) + 1] = np.cos(angle - plane * np.pi / 2), np.sin(angle - plane * np.pi / 2)
+        rows.append(v)
+    center = rng.normal(size=64)
+    center /= np.linalg.norm(center)
+    dense = center + 0.02 * rng.normal(size=(2200, 64))
+    rows += list(dense)
+    for _ in range(300):  # around a hub, mostly apart from each other
+        side = rng.normal(size=64)
+        side -= side @ rows[0] * rows[0]
+        rows.append(rows[0] + 0.47 * side / np.linalg.norm(side))
+    rows += list(rng.normal(size=(700, 64)))
+    order = rng.permutation(len(rows))
+    x = np.array(rows, np.float32)[order]
+    table_ = [(k, v.tolist()) for k, v in enumerate(x)]
+    lengths = [(10_000 + 3 * d + k, (np.arange(1, d + 1) * (1.0, 2.0, -1.0)[k]).tolist()) for d in range(1, 71) for k in range(3) if d != 64]
+    df = spark.createDataFrame(table_ + lengths, "vec_id long, embedding array<float>")
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.9
+    root = np.arange(len(x))
+    while True:
+        least = np.where(near, root[None, :], len(x)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    expected = {k: (int(near[k].sum()) - 1, int(root[k])) for k in range(len(x))}
+    for d in range(1, 71):
+        if d != 64:
+            a = 10_000 + 3 * d
+            expected |= {a: (1, a), a + 1: (1, a), a + 2: (0, a + 2)}
+    for tile in (100, 1000, 4096):
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.join(df, tile=tile).collect()} == expected
