@@ -45,18 +45,20 @@ OWN_WORDS = frozenset("article post entry content story main".split())
 #: Elements and words of parts that are beside the article even when they hold much of the text.
 BESIDE = frozenset("nav footer aside menu dialog".split())
 BESIDE_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that set apart an element inside a line.
+INLINE_APART_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored sponsors promo promos promotion share sharing social".split())
 #: First words of names that tell of the page's state rather than of a part.
 STATE_WORDS = frozenset("has with without no not is".split())
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def set_apart(marks: str) -> bool:
+def set_apart(marks: str, apart_words: frozenset[str] = APART_WORDS) -> bool:
     """Whether a class, id or role names a part beside the article."""
     for name in marks.split():
         words = [w.lower() for w in _NAME_WORDS.findall(name)]
         if not words or words[0] in STATE_WORDS:
             continue
-        hits = APART_WORDS.intersection(words)
+        hits = apart_words.intersection(words)
         if hits and not (hits == {"header"} and OWN_WORDS.intersection(words)):
             return True
     return False
@@ -145,6 +147,19 @@ def find_wrappers(parts: list[Part], outside: int) -> None:
             known = outside + sum(n for n, s in zip(own, shown, strict=True) if s)
 
 
+def marks_of(attributes: str) -> str:
+    return " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)) if attributes else ""
+
+
+def not_shown(attributes: str) -> bool:
+    return bool(_HIDDEN.search(_QUOTED.sub("''", attributes)) or _NOT_SHOWN.search(attributes))
+
+
+def not_in_line(attributes: str) -> bool:
+    """Whether an element inside a line is hidden, or an advert or the like."""
+    return not_shown(attributes) or bool(_ARIA_HIDDEN.search(attributes)) or set_apart(marks_of(attributes), INLINE_APART_WORDS)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with white space turned into single spaces."""
     found: list[Block] = []
@@ -154,13 +169,15 @@ def blocks_of(page: str) -> list[Block]:
     apart: list[Part] = []
     places: list[tuple[int, bool]] = []  # of each block: its innermost part, whether hidden
     part = article_in = -1  # the innermost open part; the one around the open article
-    depth_hidden = depth_main = links = linked = 0
+    depth_hidden = depth_main = depth_article = links = linked = 0
     heading = False
+    skipped: list[str] = []  # open elements inside a line whose text is left out
 
     around: list[int] = []  # the parts around open ones
 
     def close_block() -> None:
         nonlocal linked
+        skipped.clear()
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
@@ -175,8 +192,9 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     def pop(k: int) -> None:
-        nonlocal part, depth_hidden, depth_main
-        for _, was_apart, was_hidden, was_main in open_tags[k:]:
+        nonlocal part, depth_hidden, depth_main, depth_article
+        for name, was_apart, was_hidden, was_main in open_tags[k:]:
+            depth_article -= name == "article"
             if was_apart:
                 part = around.pop()
             depth_hidden -= was_hidden
@@ -187,7 +205,7 @@ def blocks_of(page: str) -> list[Block]:
     while at < end:
         tag = _TAG.search(page, at)
         piece = page[at : tag.start()] if tag else page[at:]
-        if piece:
+        if piece and not skipped:
             parts.append(piece)
             if links:
                 linked += len("".join(piece.split()))
@@ -202,6 +220,8 @@ def blocks_of(page: str) -> list[Block]:
             if name == "a":
                 links = max(0, links - 1)
             if name in INLINE:
+                if name in skipped:
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
                 continue
             close_block()
             if name in HEADINGS:
@@ -223,6 +243,8 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
         if name in INLINE:
+            if name not in VOID and (skipped or tag[3] and not_in_line(tag[3])):
+                skipped.append(name)
             continue
         close_block()
         heading = name in HEADINGS
@@ -235,12 +257,14 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if open_tags[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "blockquote"):
                     break
-        marks = " ".join(a or b or c for a, b, c in _MARKS.findall(tag[3])) if tag[3] else ""
+        marks = marks_of(tag[3])
         is_main = name in MAIN
         is_apart = name in APART and not (name == "header" and depth_main > 0)
-        if marks and not is_main and name not in ("body", "html") and set_apart(marks):
+        if marks and is_main:  # an article in an article, or one that is called a comment, is judged by its name
+            is_apart = set_apart(marks, APART_WORDS if depth_article else BESIDE_WORDS)
+        elif marks and name not in ("body", "html") and set_apart(marks):
             is_apart = True
-        is_hidden = bool(tag[3] and (_HIDDEN.search(_QUOTED.sub("''", tag[3])) or _NOT_SHOWN.search(tag[3])))
+        is_hidden = bool(tag[3] and not_shown(tag[3]))
         if tag[3] and _ARIA_HIDDEN.search(tag[3]):
             is_apart = True
         open_tags.append((name, is_apart, is_hidden, is_main))
@@ -252,6 +276,7 @@ def blocks_of(page: str) -> list[Block]:
             article_in = part
         depth_hidden += is_hidden
         depth_main += is_main
+        depth_article += name == "article"
     close_block()
     if apart:
         find_wrappers(apart, sum(b.weight() for b, (k, hidden) in zip(found, places, strict=True) if k < 0 and not hidden))
@@ -269,7 +294,8 @@ def stop_density(text: str) -> float:
 
 
 def classify(block: Block) -> str:
-    """First pass: good, bad, near (good if good stands on one side) or short (undecided)."""
+    """First pass: good, bad, near (good unless what is around it is bad) or short (undecided: few characters, or
+    more with few stop words and no link, as in a language that the list does not have)."""
     if block.apart:
         return "bad"
     length = len(block.text)
@@ -283,50 +309,83 @@ def classify(block: Block) -> str:
         return "good" if length > LENGTH_HIGH else "near"
     if density >= STOP_LOW:
         return "near"
-    return "near" if block.main else "bad"
+    return "short" if block.main or not link_density else "bad"
+
+
+def _nearest(labels: list[str], decided: tuple[str, ...], step: int) -> list[str | None]:
+    """For each block the label of the nearest decided one on one side (step -1: before it)."""
+    out: list[str | None] = [None] * len(labels)
+    last = None
+    order = range(len(labels)) if step < 0 else range(len(labels) - 1, -1, -1)
+    for i in order:
+        out[i] = last
+        if labels[i] in decided:
+            last = labels[i]
+    return out
+
+
+def _inherited(first: list[str], blocks: list[Block], trusted: list[bool]) -> list[str]:
+    """Second pass over the blocks of one flow: undecided ones take the label of the nearest decided ones.
+
+    Between a good and a bad one a short block is bad, unless a near one or, for a heading, text
+    follows on the bad side; in a trusted place (the page's article) only bad ones on both sides make it bad."""
+    labels = list(first)
+    back, ahead = (_nearest(first, ("good", "bad"), s) for s in (-1, 1))
+    any_back, any_ahead = (_nearest(first, ("good", "near", "bad"), s) for s in (-1, 1))
+    for i, label in enumerate(first):
+        if label != "short":
+            continue
+        sides = {back[i], ahead[i]} - {None}
+        if trusted[i]:
+            good = not (back[i] == ahead[i] == "bad" and "near" not in (any_back[i], any_ahead[i]))
+        elif len(sides) == 2:
+            good = (any_back[i] == "near" and back[i] == "bad") or (any_ahead[i] == "near" and ahead[i] == "bad") or (blocks[i].heading and any_ahead[i] in ("good", "near"))
+        else:
+            good = sides == {"good"} or "near" in (any_back[i], any_ahead[i])
+        labels[i] = "good" if good else "bad"
+    second = list(labels)
+    back, ahead = (_nearest(second, ("good", "bad"), s) for s in (-1, 1))
+    for i, label in enumerate(second):
+        if label == "near":
+            labels[i] = "bad" if {back[i], ahead[i]} - {None} == {"bad"} and not trusted[i] else "good"
+    return labels
 
 
-def _nearest(labels: list[str], i: int, step: int, decided: tuple[str, ...]) -> str | None:
-    j = i + step
-    while 0 <= j < len(labels):
-        if labels[j] in decided:
-            return labels[j]
-        j += step
-    return None
+def _largest_run(first: list[str], blocks: list[Block]) -> list[str]:
+    """Where nothing is good or near: the run of undecided blocks with most text, if that is not a few words."""
+    best, most, k = range(0), LENGTH_LOW - 1, 0
+    while k < len(first):
+        to = k
+        while to < len(first) and first[to] == "short":
+            to += 1
+        weight = sum(b.weight() for b in blocks[k:to])
+        if weight > most:
+            best, most = range(k, to), weight
+        k = max(to, k + 1)
+    return ["good" if i in best else "bad" for i in range(len(first))]
 
 
 def main_text(page: str | None) -> str:
     """Good blocks joined by newlines; the second pass lets undecided blocks inherit from the nearest decided ones.
 
-    Where the page marks its article (article or main) and that has most of the text, undecided blocks
-    inside it are good and undecided ones outside are not; elsewhere the passes alone decide."""
+    Blocks set apart by their element or its name are bad and stand in no one's neighbourhood. Where
+    the page marks its article (article or main) and that has most of the text, its undecided blocks
+    are trusted, and undecided ones outside it are bad; elsewhere the passes alone decide."""
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = [b for b in blocks_of(page) if not b.apart]
     first = [classify(b) for b in blocks]
-    inside = sum(b.weight() for b in blocks if b.main and not b.apart)
+    inside = sum(b.weight() for b in blocks if b.main)
     prose = sum(b.weight() for b, x in zip(blocks, first, strict=True) if not b.main and x in ("good", "near"))
-    if inside and inside >= prose:
-        first = [("good" if b.main else "bad") if x in ("near", "short") else x for b, x in zip(blocks, first, strict=True)]
-    labels = list(first)
-    for i, label in enumerate(first):
-        if label == "short":
-            sides = {_nearest(first, i, -1, ("good", "bad")), _nearest(first, i, 1, ("good", "bad"))} - {None}
-            if sides == {"good"}:
-                labels[i] = "good"
-            elif sides == {"bad"} or not sides:
-                labels[i] = "bad"
-            else:  # one of each: a near block on the bad side decides
-                back, ahead = _nearest(first, i, -1, ("good", "near", "bad")), _nearest(first, i, 1, ("good", "near", "bad"))
-                good = (back == "near" and _nearest(first, i, -1, ("good", "bad")) == "bad") or (ahead == "near" and _nearest(first, i, 1, ("good", "bad")) == "bad")
-                labels[i] = "good" if good or (blocks[i].heading and ahead in ("good", "near")) else "bad"
-    second = list(labels)
-    for i, label in enumerate(second):
-        if label == "near":
-            sides = {_nearest(second, i, -1, ("good", "bad")), _nearest(second, i, 1, ("good", "bad"))} - {None}
-            labels[i] = "bad" if sides == {"bad"} else "good"
+    trusted = [b.main and inside >= prose for b in blocks]
+    if any(trusted):
+        first = ["bad" if not t and x in ("near", "short") else x for t, x in zip(trusted, first, strict=True)]
+    if any(trusted) or any(x in ("good", "near") for x in first):
+        labels = _inherited(first, blocks, trusted)
+    else:
+        labels = _largest_run(first, blocks)
     for i, block in enumerate(blocks):  # a heading right before good text belongs to it, a linked one before a text that is good by itself
-        if block.heading and not block.apart and labels[i] == "bad" and i + 1 < len(blocks) and labels[i + 1] == "good" and (first[i] != "bad" or (block.linked and first[i + 1] != "short")):
+        if block.heading and labels[i] == "bad" and i + 1 < len(blocks) and labels[i + 1] == "good" and (first[i] != "bad" or (block.linked and first[i + 1] != "short")):
             labels[i] = "good"
     return "\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x == "good")
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +143,79 @@ def test_html_body_beside_a_teaser_or_before_comments():
     assert html_text.main_text(f"<body><article>{text}</article><div style='display: none'><p>{PROSE * 20}</p></div></body>") == expected
 
 
+def test_html_nested_comments_and_marked_parts_of_a_line():
+    text = f"<h1>On the week</h1><p>{PROSE}</p><p>The end <span class='sponsored'>buy this</span>of <i hidden>x <b>y</b></i>it <a class='social-share' href=/s>Post</a>all.</p>"
+    expected = "\n".join(["On the week", PROSE.strip(), "The end of it all."])
+    comment = f"<p>{PROSE}</p>"
+    assert html_text.main_text(f"<article>{text}<article class='comment'>{comment}</article></article>") == expected
+    assert html_text.main_text(f"<article>{text}</article><article class='comment'>{comment}</article>") == expected
+    assert html_text.main_text(f"<main><article>{text}<article class='related-teaser'>{comment}</article></article></main>") == expected
+    assert html_text.main_text(f"<body><div>{text}</div><div class='replies'>{comment}</div></body>") == expected
+
+
+def test_html_without_marks_gives_the_same_text(sf_dir):
+    """The two passes alone find what the page's article element says, on pages whose texts have few stop words."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    given = [html_text.main_text(p) for p in pages]
+    bare = [html_text.main_text(re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", p)) for p in pages]
+    assert sum(a == b for a, b in zip(given, bare, strict=True)) >= 0.95 * len(pages)
+    assert all(b for a, b in zip(given, bare, strict=True) if a)
+
+
+class _Plain(HTMLParser):
+    """The text of the article by a plain walk: blocks outside scripts and parts that a fixed list names."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.inside, self.off = [], [], 0, []
+
+    def end(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.off or tag in ("script", "style", "nav", "aside", "footer", "form") or set(dict(attrs).get("class", "").split()) & {"ad", "share", "comments", "related", "sidebar", "newsletter"}:
+            if tag not in html_text.VOID:
+                self.off.append(tag)
+            return
+        if tag not in html_text.INLINE:
+            self.end()
+        if tag == "br":
+            self.now.append(" ")
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if self.off:
+            if tag in self.off:
+                del self.off[len(self.off) - 1 - self.off[::-1].index(tag) :]
+            return
+        if tag not in html_text.INLINE:
+            self.end()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.now.append(data)
+
+
+def test_html_query_is_a_plain_walk(spark):
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in QUERIES["op2_html_extraction"](spark, "/root/testdata/sf0.01").collect()}
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(got) == len(pages)
+    for r in pages:
+        plain = _Plain()
+        plain.feed(r["html"])
+        plain.end()
+        text = "\n".join(plain.blocks)
+        assert got[r["page_id"]] == (r["url"], text, len(text))
+
+
+def test_html_very_long_page():
+    assert html_text.main_text("<article>" + f"<p>{PROSE}</p>" * 3000 + "</article>") == "\n".join([PROSE.strip()] * 3000)
+    assert html_text.main_text("<div>" * 20_000 + f"<p>{PROSE}</p>") == PROSE.strip()
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     got = html_text.extract(rows).collect()
@@ -460,5 +536,5 @@ def test_vector_join_of_large_clusters(spark):
         if d != 64:
             a = 10_000 + 3 * d
             expected |= {a: (1, a), a + 1: (1, a), a + 2: (0, a + 2)}
-    for tile in (100, 1000, 4096):
+    for tile in (300, 4096):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.join(df, tile=tile).collect()} == expected
