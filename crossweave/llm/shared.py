@@ -67,19 +67,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts in turn, and the position where each text's words begin."""
-    words: list[bytes] = []
-    starts = np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            raw = text.encode("utf-8", "surrogatepass")
-            # bytes.split() splits at exactly these six bytes, bytes.lower() changes A-Z alone
-            words += (raw.lower() if lower else raw).split()
-        starts[i + 1] = len(words)
-    boxed = np.empty(len(words), object)
-    boxed[:] = words
-    return (pd.util.hash_array(boxed, categorize=False) if words else np.zeros(0, np.uint64)), starts
+#: A random odd number for each byte.
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+#: The same for words: A-Z as a-z, 0 for the six bytes between words.
+_WORD_BYTES = BYTES.copy()
+_WORD_BYTES[65:91] = BYTES[97:123]
+_WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = 0
+#: Bytes that are hashed at a time.
+_HASHED = 1 << 16
+
+
+def _places(seed: int, longest: int) -> np.ndarray:
+    return mix64(np.arange(1, longest + 1, dtype=np.uint64) + np.uint64(seed << 40)) | np.uint64(1)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, numbers: np.ndarray = BYTES, seeds: tuple[int, ...] = (1,)) -> list[np.ndarray]:
+    """For each seed a hash of each span of bytes from one of the ascending places `first` to the next.
+
+    It is the sum over the bytes of the byte's number times the place's odd number, mixed: two
+    different spans have the same one with a probability of about 2**-62. No object is made for a span."""
+    hashes = [np.empty(len(first), np.uint64) for _ in seeds]
+    ends = np.append(first[1:], len(data))
+    longest = int((ends - first).max(initial=0))
+    places = [_places(seed, longest) for seed in seeds]
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(ends, first[at] + _HASHED, "right")))
+        a, b = int(first[at]), int(ends[to - 1])
+        place = np.arange(a, b) - np.repeat(first[at:to], ends[at:to] - first[at:to])
+        value = numbers[data[a:b]]
+        with np.errstate(over="ignore"):
+            for out, own in zip(hashes, places, strict=True):
+                out[at:to] = np.add.reduceat(value * own[place], first[at:to] - a)
+        at = to
+    return [mix64(h) for h in hashes]
+
+
+def word_hashes(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts in turn, A-Z taken as a-z, and the position where each text's words begin."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    edges = offsets - offsets[0]
+    letter = _WORD_BYTES[data] != 0
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    begins[heads] = letter[heads]
+    first = np.nonzero(begins)[0]
+    return span_hashes(data, first, _WORD_BYTES)[0], np.searchsorted(first, edges)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +144,7 @@ def sequence_hash(hashes: np.ndarray) -> np.ndarray:
     return mix64(np.array([total ^ np.uint64(0x5851F42D4C957F2D)], np.uint64))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None] | pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
     hashes, starts = word_hashes(texts)
     rolling = shingle_hashes(hashes, width)
