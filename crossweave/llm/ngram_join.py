@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.llm.shared import bit_position, bits_set, components, membership_bits, mix64, pieces, release, save, shingle_sets
@@ -34,10 +34,10 @@ PERCENT = 80
 SKETCH_BITS = 1024
 #: A block's key shared by more sets than this is hot.
 HOT = 16
-#: Sets of a group are compared in tiles of so many.
-TILE = 512
-#: Short sketches of a hot key in tiles of so many.
-SKETCH_TILE = 4096
+#: Sets of a group are compared in tiles of so many at most, and of about so many bytes; short sketches of a hot key likewise.
+TILE, TILE_BYTES = 4096, 8_000_000
+#: Postings that a task makes before it sends them.
+SENT = 1 << 19
 #: Slots of the table that orders blocks by frequency, whatever the size of the input.
 SLOTS = 1 << 21
 #: Shingles to a block: a band's number of blocks is its least size divided by this.
@@ -83,7 +83,8 @@ def all_keys(found: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, n
 
 
 def set_id(found: np.ndarray) -> int:
-    """One number for a set; equal sets have the same."""
+    """One number for a set; equal sets have the same, two others with a probability of 2**-64, about one pair in the
+    sets of six billion documents."""
     if not len(found):
         return 0
     with np.errstate(over="ignore"):
@@ -136,7 +137,7 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sizes, sids, sketches = [], [], []
-            for found in shingle_sets(batch.column(1).to_pylist(), width):
+            for found in shingle_sets(batch.column(1), width):
                 sizes.append(len(found))
                 sids.append(set_id(found) if len(found) else None)
                 sketches.append(sketch(found) if len(found) else None)
@@ -160,14 +161,16 @@ def _local(keys: np.ndarray, sids: np.ndarray, members: bool) -> pa.RecordBatch:
     start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
     over = np.arange(len(keys)) - start > HOT
     told = -1 - (mix64(sids[over].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    other = np.concatenate([np.zeros((~over).sum(), np.int64), keys[over] if members else np.zeros(over.sum(), np.int64)])
-    return pa.record_batch([pa.array(np.concatenate([keys[~over], told])), pa.array(np.concatenate([sids[~over], sids[over]])), pa.array(other)], names=["key", "sid", "other"])
+    columns = [pa.array(np.concatenate([keys[~over], told])), pa.array(np.concatenate([sids[~over], sids[over]]))]
+    if members:
+        columns.append(pa.array(np.concatenate([np.zeros((~over).sum(), np.int64), keys[over]])))
+    return pa.record_batch(columns, names=["key", "sid", "other"][: len(columns)])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> (a, b, hot): pairs of sets of a key that is not hot; (sid, null) for a set of a
     hot one (members: (sid, key)). Keeps HOT + 1 rows between batches."""
-    left = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    left = tuple(np.zeros(0, np.int64) for _ in range(2 + members))
     hot_key = None
 
     def told(a: np.ndarray, b: np.ndarray | None, hot: bool) -> pa.RecordBatch:
@@ -176,11 +179,11 @@ def _meet(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.Recor
     def hot_rows(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
         return told(sids, keys, True) if members else told(np.unique(sids), None, True)
 
-    def work(keys: np.ndarray, sids: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(keys: np.ndarray, sids: np.ndarray, others: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         nonlocal hot_key
         aside = keys < 0
         if aside.any():
-            yield hot_rows(others[aside], sids[aside])
+            yield hot_rows(others[aside] if members else keys[aside], sids[aside])
             keys, sids = keys[~aside], sids[~aside]
         if not len(keys):
             return
@@ -230,7 +233,7 @@ def _meet(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.Recor
 
 
 def meet(postings: DataFrame, members: bool = False) -> DataFrame:
-    """The distinct (a, b, hot) of `_meet` for a table (key, sid, other), one shuffle of the postings."""
+    """The distinct (a, b, hot) of `_meet` for a table (key, sid; members: other), one shuffle of the postings."""
     sorted_rows = postings.repartition("key").sortWithinPartitions("key")
     found = sorted_rows.mapInArrow(lambda batches: _meet(batches, members), "a long, b long, hot boolean")
     low, high = F.when(F.col("hot"), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("hot"), F.col("b")).otherwise(F.greatest("a", "b"))
@@ -238,15 +241,16 @@ def meet(postings: DataFrame, members: bool = False) -> DataFrame:
 
 
 def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None, members: bool = False) -> DataFrame:
-    """(key, sid, other): the first D + 1 keys of each set; `order` has the blocks' frequencies by slot."""
+    """(key, sid; members: other): the first D + 1 keys of each set; `order` has the blocks' frequencies by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(order.value, np.int32) if order is not None else None
-        for batch in pieces(batches, limit=8_000_000):
-            texts = _members(batch, member)
-            keys, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys: list[np.ndarray] = []
+        sids: list[np.ndarray] = []
+        made = 0
+        for batch in pieces(batches):
             seen: set[int] = set()
-            for found in shingle_sets(texts, width):
+            for found in shingle_sets(_members(batch, member), width):
                 if not len(found) or (sid := set_id(found)) in seen:
                     continue
                 seen.add(sid)
@@ -257,17 +261,21 @@ def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None,
                         own = np.partition(own, most)[: most + 1]
                     keys.append(own)
                     sids.append(np.full(len(own), sid, np.int64))
+                    made += len(own)
+            if made >= SENT:
+                yield _local(np.concatenate(keys), np.concatenate(sids), members)
+                keys, sids, made = [], [], 0
+        if made:
             yield _local(np.concatenate(keys), np.concatenate(sids), members)
 
-    return rows.mapInArrow(run, "key long, sid long, other long")
+    return rows.mapInArrow(run, "key long, sid long" + ", other long" * members)
 
 
-def _members(batch: pa.RecordBatch, member) -> list[str | None]:
+def _members(batch: pa.RecordBatch, member) -> pa.Array:
     """The batch's texts, without those that the bit table rules out."""
     if member is None:
-        return batch.column(1).to_pylist()
-    keep = bits_set(member.value, batch.column(0).to_numpy(zero_copy_only=False))
-    return batch.column(1).filter(pa.array(keep)).to_pylist()
+        return batch.column(1)
+    return batch.column(1).filter(pa.array(bits_set(member.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
 
 def _frequencies(rows: DataFrame, width: int, percent: int, member):
@@ -278,14 +286,14 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.int64)
-        for batch in pieces(batches, limit=8_000_000):
+        for batch in pieces(batches):
             keys = [np.zeros(0, np.int64)]
             seen: set[int] = set()
             for found in shingle_sets(_members(batch, member), width):
                 if len(found) and (sid := set_id(found)) not in seen:
                     seen.add(sid)
                     keys += [own for _, own in all_keys(found, percent)]
-            table += np.bincount(np.concatenate(keys) % SLOTS, minlength=SLOTS)
+            np.add.at(table, np.concatenate(keys) % SLOTS, 1)
         table = np.minimum(table, 2**31 - 1).astype(np.int32)
         for k in range(0, SLOTS, chunk):
             if table[k : k + chunk].any():
@@ -346,15 +354,20 @@ def _close_forest(sids: np.ndarray, tile: np.ndarray, sizes: np.ndarray, sketche
     return out_a, out_b
 
 
+def _tiles(size: Column) -> Column:
+    """Tiles of a group of that many bytes."""
+    return F.ceil(F.greatest(F.count("*") / F.lit(TILE), size / F.lit(TILE_BYTES))).cast("int")
+
+
 def hot_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): of the sets of each hot key (sid, key) a spanning forest of the pairs that the short sketches allow.
 
-    A key with more than SKETCH_TILE sets is dealt into tiles that meet pair by pair."""
-    n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SKETCH_TILE)).cast("int").alias("tiles"))
-    rows = members.join(n, "key").withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
+    A key with more sets, or longer sketches, than a tile holds is dealt into tiles that meet pair by pair."""
+    own = members.join(sets.select("sid", "n_shingles", "sketch"), "sid")
+    n = own.groupBy("key").agg(_tiles(F.sum(F.length("sketch"))).alias("tiles"))
+    rows = own.join(n, "key").withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "tile", "sid")
-    rows = rows.join(sets.select("sid", "n_shingles", "sketch"), "sid").select("key", "t1", "t2", "tile", "sid", "n_shingles", "sketch")
+    rows = rows.select("key", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "tile", "sid", "n_shingles", "sketch")
     rows = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,18 +391,6 @@ def hot_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
     return rows.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _short(found: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, which is what two sets are compared by: a false match among two sets of
-    20,000 shingles has a probability of one in 700,000."""
-    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def _verify_tile(sids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], sketches: Sketches, same_tile: bool, percent: int) -> list[tuple[int, int]]:
     """True links between a tile's sets that join what was not joined yet."""
     n = len(sids)
@@ -420,11 +421,11 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
     """(a, b): a spanning forest of the true links among the sets of each group (node, root).
 
     The sets are made again from the texts of one document for each, found by a bit table of fixed
-    size and an exact join. A group of more than TILE sets is dealt into tiles that meet pair by pair,
-    so that no task holds more than two tiles."""
-    n = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    chosen = sets.join(groups.withColumnRenamed("node", "sid"), "sid").select("sid", "first_doc", "root")
-    chosen = save(chosen.join(n, "root"), "groups")
+    size and an exact join. A group with more than a tile holds is dealt into tiles that meet pair by
+    pair, so that no task holds more than two tiles."""
+    chosen = sets.join(groups.withColumnRenamed("node", "sid"), "sid").select("sid", "first_doc", "root", "n_shingles")
+    n = chosen.groupBy("root").agg(_tiles(F.sum("n_shingles") * 8).alias("tiles"))
+    chosen = save(chosen.drop("n_shingles").join(n, "root"), "groups")
     member = membership_bits(chosen, "first_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +436,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
                 if len(found) and (sid := set_id(found)) not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    raw.append(_short(found))
+                    raw.append(found.tobytes())
                     short.append(sketch(found))
             yield pa.record_batch([pa.array(sids, pa.int64()), pa.array(raw, pa.binary()), pa.array(short, pa.binary())], names=["sid", "found", "sketch"])
 
@@ -453,7 +454,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
             once = {h[1]: h for h in held}
             if len(once) > 1:
                 sids = np.array(list(once), np.int64)
-                found = [_long(h[2]) for h in once.values()]
+                found = [np.frombuffer(h[2], np.uint64) for h in once.values()]
                 short = Sketches([h[3] for h in once.values()])
                 links = _verify_tile(sids, np.array([h[0] for h in once.values()]), found, short, now[1] == now[2], percent)
                 if links:
@@ -472,15 +473,9 @@ def verified_links(docs: DataFrame, groups: DataFrame, sets: DataFrame, width: i
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text).
-
-    Texts are lower-cased (A-Z) and cut at ASCII white space; a text of fewer words than `width` is one
-    shingle, and one without words (or null) has the empty set, which links with nothing: its
-    component is its own id, as is that of a document without partner. Documents with equal sets
-    are in one component. Rows with a null id are linked with nothing and have a null component.
-    Rows are the nodes: rows that repeat an id each get a row. Columns besides doc_id and text are
-    not read; an empty table gives no rows."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, sid, sketch) of each row, and (sid, root, component) of each set: the least set that it is
+    connected with, and the least id of a document there."""
     known = save(described(docs, width), "described")
     rows = docs.where("doc_id is not null").select(bit_position("doc_id").alias("p"), "text")
     sets = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -495,6 +490,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         member = membership_bits(sets.join(flagged, "sid", "left_semi"), "first_doc")
         order = _frequencies(rows, width, percent, member)
         again = save(meet(_posted(rows, width, percent, member, order, members=True), members=True), "met_again")
+        member.unpersist()
+        order.unpersist()
         release(docs.sparkSession)
         pairs = pairs.union(again.where("not hot").select("a", "b")).distinct()
         tied = hot_pairs(again.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key")), sets, percent)
@@ -507,12 +504,56 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     roots = components(links).select(F.col("node").alias("sid"), "root")
     label = sets.select("sid", "first_doc").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = label.groupBy("root").agg(F.min("first_doc").alias("component"))
-    label = label.join(least, "root").select("sid", "component")
+    return known, label.join(least, "root").select("sid", "root", "component")
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text).
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space; a text of fewer words than `width` is one
+    shingle, and one without words (or null) has the empty set, which links with nothing: its
+    component is its own id, as is that of a document without partner. Documents with equal sets
+    are in one component. Rows with a null id are linked with nothing and have a null component.
+    Rows are the nodes: rows that repeat an id each get a row. Columns besides doc_id and text are
+    not read; an empty table gives no rows."""
+    known, label = _labelled(docs, width, percent)
     return known.join(label, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each component the row with its smallest id, and every row without an id."""
+    """The documents that stay where doc_id is a key: of each component the row with its smallest id, and every row
+    without an id. Of rows that repeat an id one stays; where that may happen use `without_copies`."""
     kept = join(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))
+
+
+def without_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of linked rows, with all its columns; rows whose set is empty and rows without an id all stay.
+
+    Of a group the rows with the smallest id stay, of these the ones with the smallest set's number, of these the first
+    by text and then by a hash of the whole row, so that reruns keep the same row. Rows that share an id but not their
+    text are different documents: none goes but for a linked one that stays. An empty table gives no rows."""
+    known, label = _labelled(docs, width, percent)
+    numbered = known.where("doc_id is not null").select("doc_id", "sid")
+    best = numbered.where("sid is not null").distinct().join(label, "sid").groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("kept")).select("kept.*")
+    kept = save(best.union(numbered.where("sid is null")), "kept").toDF("kept_id", "kept_sid")
+    repeated = numbered.groupBy(F.col("doc_id").alias("repeated_id")).agg(F.count("*").alias("n")).where("n > 1").select("repeated_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id_of_row"), F.col("text").alias("text_of_row"), F.struct(*docs.columns).alias("row"))
+    unnamed = rows.where("id_of_row is null").select("row.*")
+    of_id = lambda part: part.join(kept.select(F.col("kept_id").alias("id_of_row")), "id_of_row", "left_semi")
+    if repeated.isEmpty():
+        return of_id(rows).select("row.*").unionByName(unnamed)
+    repeated = save(repeated, "repeated").withColumnRenamed("repeated_id", "id_of_row")
+    alone = of_id(rows.join(repeated, "id_of_row", "left_anti"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text_of_row"):
+            sids = [set_id(found) if len(found) else None for found in shingle_sets(batch.column(1), width)]
+            yield pa.record_batch([*batch.columns, pa.array(sids, pa.int64())], names=["id_of_row", "text_of_row", "row", "kept_sid"])
+
+    several = rows.join(repeated, "id_of_row", "left_semi")
+    several = several.mapInArrow(number, f"id_of_row long, text_of_row string, row {several.schema['row'].dataType.simpleString()}, kept_sid long")
+    first = F.row_number().over(Window.partitionBy("id_of_row", "kept_sid").orderBy("text_of_row", F.xxhash64("row")))
+    linked = several.where("kept_sid is not null").withColumn("kept_id", F.col("id_of_row")).join(kept, ["kept_id", "kept_sid"], "left_semi").withColumn("place", first).where("place = 1")
+    return alone.select("row.*").unionByName(linked.select("row.*")).unionByName(several.where("kept_sid is null").select("row.*")).unionByName(unnamed)
