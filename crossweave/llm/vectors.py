@@ -17,7 +17,7 @@ CUT = 0.9
 #: Blocks that the rotated vector is cut into.
 BLOCKS = 8
 #: Vectors of a cell that a task holds at a time; others stream past them.
-TILE = 2048
+TILE = 16_384
 #: Rows that the cells' split points are taken from (all rows are then dealt into the cells).
 SAMPLE = 16_384
 #: Cells of a block at most; a cell with more than TILE vectors is held in parts.
@@ -122,10 +122,10 @@ def _pairs(one: np.ndarray, two: np.ndarray, parts: list[tuple[int, int]], which
     x, y = one[:, a:b], two[:, a:b]
     norm_x, norm_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for k in range(0, len(x), 512):
-        distance = x[k : k + 512] @ y.T
+    for k in range(0, len(x), 256):
+        distance = x[k : k + 256] @ y.T
         distance *= -2
-        distance += norm_x[k : k + 512, None]
+        distance += norm_x[k : k + 256, None]
         distance += norm_y[None, :]
         i, j = np.nonzero(distance <= limits[which] + SLACK)
         i += k
