@@ -51,7 +51,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, urls.listed_hosts(pages))
+    return urls.filter_urls(pages, urls.listed_urls(pages))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 #: Each block is eight words of 64 bits, one bit in each for a URL.
 WORDS = 8
-#: Two MB, whatever the length of the list; a fuller filter only passes more rows on to the exact join.
-BLOCKS = 1 << 15
+#: A block for so many listed URLs, but from FEWEST to MOST blocks (64 KB to 8 MB); a fuller filter only passes more rows on to the exact join.
+PER_BLOCK, FEWEST, MOST = 32, 1 << 10, 1 << 17
 
 #: The rules of the filter (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Labels whose hosts' pages make up the list of the registered query.
+#: The list of the registered query has the pages of hosts with these labels, and every hundredth page.
+LISTED_PAGES = 100
 LISTED_LABELS = ("spam-farm", "cheap-pills", "casino", "xxx-videos", "warez")
 
 
@@ -32,16 +33,21 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(/index\.html?|\.html?)?/*$", ""))
 
 
-def _bits(key: str) -> tuple[Column, list[Column]]:
+def _bits(key: str, blocks: int) -> tuple[Column, list[Column]]:
     """The block of a URL and its bit in each of the block's words."""
     second = F.xxhash64(F.col(key), F.lit(2))
     masks = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(second, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
-    return F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(BLOCKS)).alias("block"), masks
+    return F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(blocks)).alias("block"), masks
 
 
-def bloom_filter(listed: DataFrame, key: str = "canon") -> DataFrame:
-    """(block, w0 .. w7): at most BLOCKS rows whatever the length of the list, built with map-side combine."""
-    block, masks = _bits(key)
+def blocks_for(listed: int) -> int:
+    """Blocks for a list of that many URLs: a power of two within the bounds."""
+    return min(MOST, max(FEWEST, 1 << (max(1, listed // PER_BLOCK) - 1).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, blocks: int, key: str = "canon") -> DataFrame:
+    """(block, w0 .. w7): at most `blocks` rows whatever the length of the list, built with map-side combine."""
+    block, masks = _bits(key, blocks)
     return listed.select(block, *[m.alias(f"w{i}") for i, m in enumerate(masks)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
@@ -60,16 +66,17 @@ def rule_of(host: str = "host", path: str = "path", rules=RULES) -> Column:
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, listed, maybe) for each page.
 
-    `listed` has a column url. The filter's blocks are broadcast (fixed size); pages whose bits are
-    all set go on to an exact join with the listed canonical URLs, which removes false positives.
+    `listed` has a column url. The filter's blocks, as many as the list's length asks for within
+    fixed bounds, are broadcast; pages whose bits are all set go on to an exact join with the listed canonical URLs, which removes false positives.
     The rest join on a key of their own, so that no task gets them all. The verdict is the longest
     fitting rule's, else block for a listed URL and allow for any other. Null URLs and those
     without :// have empty host and path, no rule, and are allowed. Repeated rows are judged each;
     columns besides page_id and url are not read; an empty list blocks nothing."""
     host, path = url_host(), url_path()
     exact = listed.select(F.col("url")).where("url is not null").select(canonical(host, path).alias("canon")).where("canon <> ''").distinct()
-    words = bloom_filter(exact)
-    block, masks = _bits("canon")
+    blocks = blocks_for(exact.count())
+    words = bloom_filter(exact, blocks)
+    block, masks = _bits("canon", blocks)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path")).withColumn("canon", canonical(F.col("host"), F.col("path")))
     rows = rows.withColumn("block", block).join(F.broadcast(words), "block", "left")
@@ -85,9 +92,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str =
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
-def listed_hosts(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
-    """The URLs of pages one of whose host's labels is listed: the list that the registered query uses."""
-    found = F.lit(False)
+def listed_urls(pages: DataFrame, labels=LISTED_LABELS, every: int = LISTED_PAGES, page_id: str = "page_id") -> DataFrame:
+    """The list that the registered query uses: the URLs of pages one of whose host's labels is listed, and of those
+    whose id is divisible by `every`. Other pages with the same canonical URL are found by the filter and the join alone."""
+    found = F.col(page_id) % every == 0
     for label in labels:
         found = found | F.concat(F.lit("."), url_host(), F.lit(".")).contains(f".{label}.")
     return pages.where(found).select("url")
@@ -101,7 +109,7 @@ WITH cut AS (
 canon AS (
   SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/index\.html?|\.html?)?/*$', '') AS canon,
     regexp_matches('.' || host || '.', '\.(spam-farm|cheap-pills|casino|xxx-videos|warez)\.') AS bad FROM cut),
-listed AS (SELECT DISTINCT canon FROM canon WHERE bad AND canon <> ''),
+listed AS (SELECT DISTINCT canon FROM canon WHERE (bad OR page_id % 100 = 0) AND canon <> ''),
 judged AS (
   SELECT c.page_id, c.host, c.path,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
