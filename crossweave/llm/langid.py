@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from crossweave.llm.shared import pieces
 
 DIMENSIONS = 2048
-#: Symbols: the gap between words, a-z, the small letters of Latin-1, and a few classes for all other letters.
-SYMBOLS = 64
+#: Symbols: the gap between words, a-z, the small letters of Latin-1, and 36 classes that all other letters are hashed to.
+SYMBOLS, OTHERS = 96, 60
 SEED = 20_240_101
 
 
@@ -31,7 +31,7 @@ def symbol_table() -> np.ndarray:
         elif 0xDF <= small <= 0xFF:
             table[c] = small - 0xDF + 27
         else:
-            table[c] = 60 + small % 4
+            table[c] = OTHERS + (small * 0x9E3779B1 >> 7) % (SYMBOLS - OTHERS)
     return table
 
 
@@ -101,10 +101,14 @@ def score_table(learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS) ->
     langs = sorted(k for k, v in learned.items() if np.any(v))
     if not langs:
         return [], np.zeros((SYMBOLS**3, 0), np.float32)
-    profile = np.stack([learned[k] / np.linalg.norm(learned[k]) for k in langs], axis=1).astype(np.float32)
-    table = np.empty((SYMBOLS**3, len(langs)), np.float32)
-    for k in range(0, SYMBOLS**3, 8192):
-        table[k : k + 8192] = gram_vectors(np.arange(k, min(k + 8192, SYMBOLS**3)), dimensions).astype(np.float32) @ profile
+    v = letter_vectors(dimensions).astype(np.float32)
+    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
+    table = np.empty((SYMBOLS, SYMBOLS, SYMBOLS, len(langs)), np.float32)
+    for k, name in enumerate(langs):
+        profile = (learned[name] / np.linalg.norm(learned[name])).astype(np.float32)
+        for a in range(SYMBOLS):  # all trigrams that begin with one symbol
+            table[a, :, :, k] = second * (first[a] * profile) @ v.T
+    table = table.reshape(SYMBOLS**3, len(langs))
     return langs, table
 
 
@@ -138,7 +142,7 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, keep: tuple[str, ...
     is judged by itself, repeated rows alike; other columns are not read.
 
     One pass to learn (a vector for each language and task is shuffled) and one map to predict. The
-    table that is broadcast has 2^18 rows and a column for each language."""
+    table that is broadcast has SYMBOLS^3 rows and a column for each language."""
     langs, table = train_table(docs, dimensions)
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
     kept = [k for k in keep if k != "doc_id"]
