@@ -38,7 +38,7 @@ def signature(found: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray
             values = a[:, None] * found[None, k : k + 2048]
             values += b[:, None]
             np.minimum(least, values.min(axis=1), out=least)
-    return (mix64(least) & np.uint64(0xFFFE)).astype(np.uint16)
+    return (mix64(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -110,7 +110,7 @@ def _rows(docs: DataFrame, permutations: int, width: int) -> DataFrame:
     rows = rows.join(F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("first")), "left")
     own, guest = F.struct(F.col("range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("r"), F.lit(1).alias("guest"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select("at.r", "at.guest", "doc_id", "text")
-    rows = rows.repartitionByRange(max(1, len(bounds) + 1), "r").sortWithinPartitions("r", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionById(max(1, len(bounds) + 1), F.col("r")).sortWithinPartitions("r", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # range, id, text, signature and set of the last row of its own, until its next row is known
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, permutations: int = PERM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = list(shingle_sets(batch.column(1).to_pylist(), width))
+            found = list(shingle_sets(batch.column(1), width))
             sizes, sids, sketches = zip(*map(_described, found), strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), pa.array([signature(x, permutations).tobytes() for x in found], pa.binary())], names=["doc_id", "n_shingles", "sid", "sketch", "sign"])
 
