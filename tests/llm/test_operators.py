@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from crossweave.llm import fingerprints, html_text, langid, mixing, ngram_join, packing, sharding, token_store, urls, vectors
 from crossweave.llm.queries import QUERIES
+from crossweave.llm.shared import shingle_sets
 from crossweave.llm.tokens import default_tokenizer, encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -319,6 +320,37 @@ def test_trigram_scores_are_those_of_the_bundles():
     assert np.allclose(scores[grams].sum(axis=0), direct, rtol=1e-4)
 
 
+def test_language_query_is_the_plain_bundle_and_cosine(spark, sf_dir):
+    """Every text's bundle is made and compared with the bundles of all training texts; scores differ by the length taken as its expectation."""
+    rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
+    bundles, learned = {}, {}
+    for r in rows:
+        grams, n = np.unique(langid.trigrams(r["text"]), return_counts=True)
+        bundles[r["doc_id"]] = b = np.zeros(langid.DIMENSIONS)
+        for k in range(0, len(grams), 512):
+            b += n[k : k + 512].astype(float) @ langid.gram_vectors(grams[k : k + 512]).astype(float)
+        if r["lang"] is not None and not held[r["doc_id"]]:
+            learned[r["lang"]] = learned.get(r["lang"], 0) + b
+    langs = sorted(learned)
+    for r in QUERIES["op4_language_id"](spark, sf_dir).collect():
+        b = bundles[r["doc_id"]]
+        assert r["held_out"] == held[r["doc_id"]]
+        if not b.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosines = [float(b @ learned[k] / np.linalg.norm(b) / np.linalg.norm(learned[k])) for k in langs]
+        assert r["lang_pred"] == langs[int(np.argmax(cosines))] and abs(r["score"] - max(cosines)) < 0.1
+
+
+def test_language_of_other_scripts(spark):
+    texts = {"ru": "это и есть тот самый язык который был", "el": "αυτή είναι η γλώσσα που ήταν εδώ", "uk": "це і є та сама мова яка була тут"}
+    rows = [(k * 10 + i, t, la, "s") for k, (la, t) in enumerate(texts.items()) for i in range(9)]
+    rows += [(1000, "тот язык есть", None, "s"), (1001, "η γλώσσα ήταν αυτή", None, "s"), (1002, "та мова є тут", None, "s"), (1000, "тот язык есть", None, "s")]
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(table(spark, rows)).collect() if r["doc_id"] >= 1000]
+    assert sorted(got) == [(1000, "ru"), (1000, "ru"), (1001, "el"), (1002, "uk")]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted((s for s in sizes if s is not None), key=str) + [None] * (None in sizes)
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -449,6 +481,30 @@ def test_fingerprint_components_of_rows_with_the_same_or_no_id(spark):
     assert fingerprints.fingerprint_components(table(spark, rows).limit(0)).count() == 0
 
 
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def test_signature_is_a_plain_minhash(spark):
+    """Least values by Python's integers, for the sets of the query's own texts."""
+    a, b = (x.tolist() for x in fingerprints._universal(fingerprints.PERMUTATIONS))
+    texts = ["one", "a b c d e f g", "The quick brown fox jumps over the lazy dog again and again", "x " * 40]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(table(spark, [(k, t, None, None) for k, t in enumerate(texts)])).collect()}
+    for k, found in enumerate(shingle_sets(texts)):
+        plain = [plain_mix(min((p * x + q) % 2**64 for x in found.tolist())) >> 48 for p, q in zip(a, b, strict=True)]
+        assert got[k] == np.array(plain, "<u2").tobytes().hex()
+
+
+def test_fingerprints_of_rows_with_the_same_or_no_id(spark):
+    rows = [(None, "a b", None, None), (None, None, None, None), (4, "c d", None, None), (4, "a b", None, None), (9, "e", None, None)]
+    got = [(r["doc_id"], r["n_chars"]) for r in fingerprints.fingerprint(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3), (None, 0), (4, 3), (4, 3), (9, 1)], key=str)
+
+
 def test_sharding_table_and_placement(spark, corpus):
     names = [f"s{k}" for k in range(7)]
     full = sharding.lookup_table(names, 1009)
@@ -492,6 +548,18 @@ def test_url_rules_and_lists(spark):
     assert urls.filter_urls(pages.limit(0), listed).count() == 0
 
 
+def test_url_query_finds_other_pages_of_a_listed_url(spark, tmp_path):
+    rows = [(100, "http://a.example.net/p/x.html?q=1"), (7, "https://www.a.example.net/p/x#top"), (8, "http://a.example.net/p/y"), (8, "http://a.example.net/p/x/"), (9, None), (200, None), (300, "http://b.spam-farm.net/1"), (11, "http://b.spam-farm.net/1/index.html")]
+    spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("z")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["page_id"], r["path"], r["verdict"]) for r in QUERIES["op10_url_filters"](spark, str(tmp_path)).collect())
+    assert got == [(7, "/p/x", "block"), (8, "/p/x/", "block"), (8, "/p/y", "allow"), (9, "", "allow"), (11, "/1/index.html", "block"), (100, "/p/x.html", "block"), (200, "", "allow"), (300, "/1", "block")]
+
+
+def test_bloom_filter_grows_with_its_list_within_bounds():
+    assert urls.blocks_for(0) == urls.FEWEST and urls.blocks_for(10**12) == urls.MOST
+    assert urls.blocks_for(1_000_000) == 1 << 15
+
+
 def test_no_listed_url_is_missed(spark):
     rows = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".net/p"), "id").alias("url"))
     got = urls.filter_urls(rows, rows.where("page_id % 3 = 0").select("url"))
