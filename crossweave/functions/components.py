@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder of spark.checkpoint.dir that all executors share, read back: cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Where that is unset a local session gets a temporary
+    one; on a cluster it is an error, as executors would write to folders that no other sees."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.crossweave.scratch", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="crossweave-scratch-")
         spark.conf.set("spark.crossweave.scratch", base)
-    path = f"{base}/crossweave-{uuid.uuid4().hex}/{name}"
+    return base
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """A table in the folder of spark.checkpoint.dir that all executors share, read back: cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/crossweave-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

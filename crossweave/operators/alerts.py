@@ -28,7 +28,9 @@ def alert_hits(items: DataFrame, sources: DataFrame, keywords: list[str], now: s
 
 
 def alert_state(seen: DataFrame, hits: DataFrame, most: int = REMEMBERED) -> DataFrame:
-    """The ids to remember after a delivery: the largest of both."""
+    """The ids to remember after a delivery: the largest of both.
+
+    An id under the `most` largest is forgotten, and an item that comes late with such an id is told again."""
     return seen.select("id").union(hits.select("id")).distinct().orderBy(F.desc("id")).limit(most)
 
 

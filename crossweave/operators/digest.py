@@ -31,28 +31,40 @@ def digest_regulatory(pool: DataFrame, per_axis: int = 5) -> DataFrame:
     return pool.where("regulatory").withColumn("rank", place).where(F.col("rank") <= per_axis).select("week", "rank", "id", "title")
 
 
-def title_pairs(titles: DataFrame, cut: float = CUT) -> DataFrame:
-    """(week, a, b) with a < b: titles of a week that share enough pairs of characters, by the smaller set.
-
-    Equal titles are compared once. Shared pairs are counted by joining on (week, gram), with
-    map-side combine; both sets must have four pairs at least."""
-    rows = titles.select("week", "id", grams2("title").alias("g")).withColumn("n", F.size("g")).where(F.col("n") >= LEAST_GRAMS)
-    kinds = rows.groupBy("week", "g").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"), F.first("n").alias("n"))
+def title_classes(titles: DataFrame, cut: float = CUT) -> tuple[DataFrame, DataFrame]:
+    """(week, rep, id) and (week, a, b): every title's class, which is that of the titles of its week with the same set
+    of pairs of characters (rep is the least id), and the pairs a < b of classes that share enough, by the smaller set.
+
+    Both sets must have four pairs at least. Shared pairs are found by joining on (week, gram): with the
+    rarest pairs first, a set that shares `cut` of itself with a larger one shares one of its first
+    n - ceil(cut * n) + 1, and only those are joined with the whole larger set."""
+    rows = titles.select("week", "id", F.sort_array(grams2("title")).alias("g")).where(F.size("g") >= LEAST_GRAMS)
+    kinds = rows.groupBy("week", "g").agg(F.min("id").alias("rep")).withColumn("n", F.size("g"))
+    members = rows.join(kinds, ["week", "g"]).select("week", "rep", "id")
     grams = kinds.select("week", "rep", "n", F.explode("g").alias("gram"))
-    # the rarest pairs of a set come first: two sets that share enough must share one of a prefix
     freq = grams.groupBy("week", "gram").agg(F.count("*").alias("df"))
     ranked = grams.join(freq, ["week", "gram"]).withColumn("r", F.row_number().over(Window.partitionBy("week", "rep").orderBy("df", "gram")))
-    # overlap >= cut * smaller size >= cut * LEAST_GRAMS; a set's prefix may leave out that many less one
-    need = F.greatest(F.ceil(F.lit(cut) * F.lit(LEAST_GRAMS)), F.lit(1))
+    need = F.greatest(F.ceil(F.lit(cut) * F.col("n") - 1e-9), F.lit(1))  # the product may be rounded up
     short = ranked.where(F.col("r") <= F.col("n") - need + 1).select("week", "gram", "rep", "n")
-    a, b = short.toDF("week", "gram", "a", "na"), ranked.select("week", "gram", "rep", "n").toDF("week", "gram", "b", "nb")
-    met = a.join(b, ["week", "gram"]).where("a <> b").select("week", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x = kinds.select("week", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("ids").alias("ia"))
-    y = kinds.select("week", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("ids").alias("ib"))
+    a, b = short.toDF("week", "gram", "a", "na"), grams.select("week", "gram", "rep", "n").toDF("week", "gram", "b", "nb")
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = a.join(b, ["week", "gram"]).where(smaller).select("week", "a", "b").distinct()
+    x = kinds.select("week", F.col("rep").alias("a"), F.col("g").alias("ga"))
+    y = kinds.select("week", F.col("rep").alias("b"), F.col("g").alias("gb"))
     close = met.join(x, ["week", "a"]).join(y, ["week", "b"]).where(F.size(F.array_intersect("ga", "gb")) / F.least(F.size("ga"), F.size("gb")) >= cut)
-    crossed = close.select("week", F.explode("ia").alias("p"), "ib").select("week", "p", F.explode("ib").alias("q"))
-    same = kinds.where(F.size("ids") > 1).select("week", F.explode("ids").alias("p"), "ids").select("week", "p", F.explode("ids").alias("q"))
-    return crossed.union(same).where("p <> q").select("week", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return members, close.select("week", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def title_pairs(titles: DataFrame, cut: float = CUT) -> DataFrame:
+    """(week, a, b) with a < b: all pairs of close titles of a week, equal ones among them.
+
+    It has as many rows as there are such pairs, the square of a group of equal titles; where groups
+    may be large read `title_classes`."""
+    members, close = title_classes(titles, cut)
+    p, q = members.toDF("week", "a", "p"), members.toDF("week", "b", "q")
+    crossed = close.join(p, ["week", "a"]).join(q, ["week", "b"]).select("week", "p", "q")
+    same = p.join(members.toDF("week", "a", "q"), ["week", "a"]).where("p < q").select("week", "p", "q")
+    return crossed.union(same).select("week", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def digest_sections(pool: DataFrame, item_axes: DataFrame, axes: list[str], top_crossing: int = 5, per_axis: int = 5, cut: float = CUT) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossweave.functions.components import settle
+
 MIN_DF, MIN_COOC, CUT, TOP_NEIGHBORS, MOST_ITEMS = 10, 2, 0.15, 20, 60
 
 
@@ -20,20 +22,25 @@ def kw_df(keywords: DataFrame) -> DataFrame:
     return keywords.groupBy("keyword").agg(F.count_distinct("item_id").alias("df")).crossJoin(F.broadcast(docs))
 
 
-def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None) -> DataFrame:
-    """(a, b, n) with a < b: documents that hold both, among keywords of min_df documents at least.
+def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None, least: int = 1) -> DataFrame:
+    """(a, b, n) with a < b: documents that hold both, among keywords of min_df documents at least; pairs of `least` documents.
 
-    A document's keywords are gathered once and unfolded to pairs there, so that the only rows that
-    are dealt by keyword are counted pairs with map-side combine; a keyword of very many documents
-    is spread over as many pairs. most_df (off by default) leaves out more frequent keywords."""
+    Keywords get numbers in their order, so that pairs are counted as two numbers. A document's
+    keywords are gathered once and unfolded to pairs there: the only rows that are dealt by keyword
+    are counted pairs with map-side combine, and a keyword of very many documents is spread over as
+    many pairs. most_df (off by default) leaves out more frequent keywords."""
     often = df.where(F.col("df") >= min_df)
     if most_df:
         often = often.where(F.col("df") <= most_df)
-    chosen = keywords.select("item_id", "keyword").join(often.select("keyword"), "keyword", "left_semi")
-    docs = chosen.groupBy("item_id").agg(F.sort_array(F.collect_set("keyword")).alias("ks"))
-    first = docs.select("ks", F.posexplode("ks").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    coded = settle(often.select("keyword").sort("keyword").withColumn("code", F.monotonically_increasing_id()), "codes")
+    chosen = keywords.select("item_id", "keyword").join(coded, "keyword").select("item_id", "code")
+    docs = chosen.groupBy("item_id").agg(F.sort_array(F.collect_set("code")).alias("ks"))
+    first = docs.select("ks", F.posexplode("ks").alias("i", "x"))
+    pairs = first.select("x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y"))
+    counted = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
+    counted = counted.where(F.col("n") >= least) if least > 1 else counted
+    counted = counted.join(coded.toDF("a", "x"), "x").join(coded.toDF("b", "y"), "y")
+    return counted.select("a", "b", "n")
 
 
 def npmi(n: Column, df_a: Column, df_b: Column, n_docs: Column) -> Column:

@@ -19,19 +19,21 @@ def latest_week(items: DataFrame) -> DataFrame:
     return items.where("kept").agg(F.max("published_week").alias("week"))
 
 
-def pieces_of(keywords: DataFrame, column: str = "keyword") -> DataFrame:
-    """(whole, part) for every proper part of each keyword, so that containment is an equality join."""
+def pieces_of(keywords: DataFrame, column: str = "keyword", *more: str) -> DataFrame:
+    """(whole, part, more) for every proper part of each keyword, so that containment is an equality join."""
     n = F.length(column)
     starts = F.sequence(F.lit(1), n)
     parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col(column), i, k))))
-    return keywords.select(F.col(column).alias("whole"), F.explode(F.array_distinct(parts)).alias("part")).where("whole <> part")
+    return keywords.select(F.col(column).alias("whole"), F.explode(F.array_distinct(parts)).alias("part"), *more).where("whole <> part")
 
 
 def fragments(counted: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """(keyword) of those that another keyword of the table (keyword, n) holds with at least ratio times the count."""
-    parts = pieces_of(counted).join(counted.select(F.col("keyword").alias("whole"), F.col("n").alias("whole_n")), "whole")
-    # only parts that are keywords themselves matter; their largest holder decides
-    hosts = parts.groupBy("part").agg(F.max("whole_n").alias("host_n"))
+    """(keyword) of those that another keyword of the table (keyword, n) holds with at least ratio times the count.
+
+    Of a keyword's parts only those that are keywords themselves go on; their largest holder decides."""
+    parts = pieces_of(counted, "keyword", "n").withColumnRenamed("n", "whole_n")
+    known = parts.join(counted.select(F.col("keyword").alias("part")), "part", "left_semi")
+    hosts = known.groupBy("part").agg(F.max("whole_n").alias("host_n"))
     return counted.join(hosts, F.col("keyword") == F.col("part")).where(F.col("host_n") >= F.lit(ratio) * F.col("n")).select("keyword")
 
 

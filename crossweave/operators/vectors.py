@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.functions.components import components
+from crossweave.functions.components import components, star_forest
 from crossweave.functions.numbers import dot, norm
 
 #: Vectors of a block are compared in tiles of so many.
-TILE = 1024
+TILE = 4096
 
 
 def missing_embeddings(items: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -51,10 +51,11 @@ def threshold_sweep(scores: DataFrame, grid: list[float], column: str = "relevan
 
 
 def near_pairs(rows: DataFrame, cut: float) -> DataFrame:
-    """(a, b) with a < b: pairs of ids of one block with cosine >= cut, of a table (block, id, embedding).
+    """(a, b): pairs of ids of one block that connect the same ids as all pairs with cosine >= cut, of a table (block, id, embedding).
 
     A block is dealt into tiles of about TILE vectors, and each pair of tiles is a task's matrix
-    product in double precision; only pairs at the cut or above leave it."""
+    product in double precision; of the pairs at the cut or above a spanning forest leaves it, so that
+    a group of copies gives as many rows as it has members."""
     clean = rows.where("embedding is not null and size(embedding) > 0")
     n = clean.groupBy("block").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     dealt = clean.join(n, "block").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
@@ -71,16 +72,18 @@ def near_pairs(rows: DataFrame, cut: float) -> DataFrame:
             x = np.stack([h[2] for h in held]).astype(np.float64)
             length = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            out_a, out_b = [], []
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(0, len(x), 512):
                 i, j = np.nonzero(x[k : k + 512] @ x.T >= cut)
                 i += k
                 fine = ids[i] < ids[j]
                 if now[1] != now[2]:
                     fine &= tiles[i] != tiles[j]
-                out_a.append(ids[i[fine]])
-                out_b.append(ids[j[fine]])
-            return pa.record_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                node, root = star_forest(ids[i[fine]], ids[j[fine]])
+                out_a.append(root)
+                out_b.append(node)
+            node, root = star_forest(np.concatenate(out_a), np.concatenate(out_b))
+            return pa.record_batch([pa.array(root), pa.array(node)], names=["a", "b"])
 
         for batch in batches:
             block, t1, t2, tile, ids = (batch.column(k).to_pylist() for k in range(5))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,9 @@ def insert_ignore(target: DataFrame, new: DataFrame, order: Column | None = None
 
 
 def append_new(spark: SparkSession, path: str, new: DataFrame) -> int:
-    """Appends the unseen rows to a Parquet table and tells how many they were."""
+    """Appends the unseen rows to a Parquet table and tells how many they were.
+
+    The table is partitioned by source, and only the partitions of the batch's sources are read."""
     try:
         target = spark.read.schema(new.schema).parquet(path)
         target.limit(1).count()
@@ -61,10 +63,10 @@ def append_new(spark: SparkSession, path: str, new: DataFrame) -> int:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         target = spark.createDataFrame([], new.schema)
-    fresh = insert_ignore(target, new)
-    before = target.count()
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(new.schema).parquet(path).count() - before
+    touched = target.join(F.broadcast(new.select("source").distinct()), "source", "left_semi")
+    counted = Observation()
+    insert_ignore(touched, new).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("source").parquet(path)
+    return counted.get["n"]
 
 
 def jdbc_import(spark: SparkSession, url: str, table: str, since: str, driver: str | None = None, **options: str) -> DataFrame:

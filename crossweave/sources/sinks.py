@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.functions.dates import local_date
@@ -24,6 +24,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.withColumnRenamed(first, "﻿" + first).coalesce(1).write.option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv wrote, all columns as text, without the byte order mark."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as CSV and JSON."""
     for name, table in (("nodes", nodes), ("edges", edges)):
