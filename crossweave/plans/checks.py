@@ -54,13 +54,13 @@ def watch_hits(t):
 
 @query("label_sample", sql("SELECT id, kept, coalesce(axes, '') AS axes FROM (SELECT id, kept, row_number() OVER (PARTITION BY kept ORDER BY md5('0:' || id), id) AS place FROM items) LEFT JOIN axes_of ON item_id = id WHERE place <= 25", "items", "axes_of"))
 def label_sample(t):
-    return ev.label_sample(t.items, t.item_axes, 50)
+    return ev.label_sample(t.facts, t.item_axes, 50)
 
 
 @query("label_refresh", sql("SELECT l.doc_id AS id, l.quality AS label, i.kept, i.kept <> (l.toxic = 1) AS changed FROM labels l JOIN items i ON i.id = l.doc_id", "items"))
 def label_refresh(t):
     rows = t.raw("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), (F.col("toxic") == 1).alias("kept"))
-    return ev.label_refresh(rows, t.items)
+    return ev.label_refresh(rows, t.facts)
 
 
 def _measures(n: str = "kept") -> str:
@@ -126,17 +126,17 @@ def backlog(t):
 
 @query("annotation_backlog_regulatory", sql("SELECT id, title FROM items WHERE source = 'src0' AND coalesce(insight_model, '') <> 'manual' AND (insight IS NULL OR coalesce(insight_model, '') <> 'm1') ORDER BY published_at DESC, id DESC LIMIT 300", "items"))
 def backlog_regulatory(t):
-    return ma.annotation_backlog(t.items, t.sources, "m1", True)
+    return ma.annotation_backlog(t.facts, t.sources, "m1", True)
 
 
 @query("week_highlights", sql("SELECT i.id, title, cross_score, coalesce(axes, '') AS axes FROM items i LEFT JOIN axes_of a ON a.item_id = i.id WHERE kept AND published_week = '2024-W12' ORDER BY cross_score DESC, i.id LIMIT 15", "items", "axes_of"))
 def highlights(t):
-    return ma.week_highlights(t.items, t.item_axes, ad.WEEK)
+    return ma.week_highlights(t.facts, t.item_axes, ad.WEEK)
 
 
 @query("week_crossed_material", sql("", "items", "axis_n").rstrip() + ", best AS (SELECT id, cross_score FROM items WHERE kept AND published_week = '2024-W12' ORDER BY cross_score DESC, id LIMIT 40), crossed AS (SELECT id, cross_score FROM best JOIN axis_n USING (id) WHERE n_axes >= 2), reg AS (SELECT id FROM items WHERE source = 'src0' AND published_week = '2024-W12')\nSELECT * FROM (SELECT 'crossed' AS kind, id FROM (SELECT id FROM crossed ORDER BY cross_score DESC, id LIMIT 20) UNION ALL SELECT 'regulatory', id FROM reg) WHERE (SELECT count(*) FROM crossed) >= 3 OR (SELECT count(*) FROM reg) > 0")
 def crossed(t):
-    return ma.week_crossed_material(t.items, t.item_axes, t.sources, ad.WEEK)
+    return ma.week_crossed_material(t.facts, t.item_axes, t.sources, ad.WEEK)
 
 
 @query("org_recent_titles", sql("", "kw_week", "kw_item", "items").rstrip() + """, chosen AS (SELECT keyword FROM kw_week WHERE length(keyword) >= 5 AND (keyword LIKE '%tion' OR keyword LIKE '%ment') GROUP BY keyword HAVING sum(n) >= 5),
@@ -144,7 +144,7 @@ active AS (SELECT keyword, week FROM (SELECT keyword, week, row_number() OVER (P
 SELECT keyword, week, CAST(place AS INT) AS place, id FROM (SELECT a.keyword, a.week, i.id, row_number() OVER (PARTITION BY a.keyword, a.week ORDER BY cross_score DESC, published_at, i.id) AS place FROM active a JOIN kw_item k ON k.keyword = a.keyword JOIN items i ON i.id = k.item_id AND i.published_week = a.week WHERE i.kept) WHERE place <= 3""")
 def recent(t):
     chosen = t.kw_week.where(t.is_org()).groupBy("keyword").agg(F.sum("n").alias("n")).where("n >= 5")
-    return ma.recent_titles(chosen, t.kw_week, t.kw_item, t.items)
+    return ma.recent_titles(chosen, t.kw_week, t.kw_item, t.facts)
 
 
 @query("month_material", sql("", "items", "digests").rstrip() + """, rows_of AS (SELECT *, strftime(date_trunc('week', published_at) + INTERVAL 3 DAY, '%Y-%m') AS month FROM items)
@@ -152,13 +152,13 @@ SELECT kind, CAST(place AS INT) AS place, ref FROM (SELECT 'lead' AS kind, row_n
 UNION ALL SELECT 'item', row_number() OVER (ORDER BY cross_score DESC, id), CAST(id AS VARCHAR) FROM (SELECT * FROM rows_of WHERE month = '2024-03' AND kept ORDER BY cross_score DESC, id LIMIT 30)
 UNION ALL SELECT 'regulatory', row_number() OVER (ORDER BY published_at DESC, id DESC), CAST(id AS VARCHAR) FROM (SELECT * FROM rows_of WHERE month = '2024-03' AND source = 'src0' ORDER BY published_at DESC, id DESC LIMIT 10))""")
 def month_material(t):
-    return ma.month_material(t.items, t.sources, t.digests, "2024-03")
+    return ma.month_material(t.facts, t.sources, t.digests, "2024-03")
 
 
 @query("annotation_outcomes", sql("SELECT id, CASE id % 3 WHEN 0 THEN insight WHEN 1 THEN '' ELSE 'new' END AS insight, CASE id % 3 WHEN 0 THEN insight_model ELSE 'm3' END AS insight_model FROM items", "items"))
 def outcomes(t):
     results = t.base.select("id", F.when(F.col("id") % 3 == 1, "").when(F.col("id") % 3 == 2, "new").alias("result"))
-    return ma.annotation_outcomes(t.items, results, "m3", ad.NOW).select("id", "insight", "insight_model")
+    return ma.annotation_outcomes(t.facts, results, "m3", ad.NOW).select("id", "insight", "insight_model")
 
 
 @query("source_ref_integrity", sql("SELECT 'p' AS period, id AS ref_id, 'url' AS problem FROM items WHERE id % 5 = 0 UNION ALL SELECT 'p', -1 - id, 'missing' FROM items WHERE id % 11 = 0", "items"))
@@ -177,7 +177,7 @@ def parity(t):
 
 @query("index_consistency", sql("SELECT keyword, week, coalesce(n, 0) AS counted, coalesce(listed, 0) AS listed FROM kw_week FULL JOIN (SELECT keyword, published_week AS week, count(*) AS listed FROM kw_item JOIN items ON id = item_id WHERE kept GROUP BY 1, 2) l USING (keyword, week) WHERE coalesce(n, 0) <> coalesce(listed, 0)", "kw_week", "kw_item", "items"))
 def consistency(t):
-    return qu.index_consistency(t.kw_week, t.kw_item, t.items)
+    return qu.index_consistency(t.kw_week, t.kw_item, t.facts)
 
 
 def _events(t):
@@ -196,13 +196,16 @@ def stream_ingest(t):
     return t.spark.read.parquet(f"{base}/items").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("stream_bounded_dedup", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("stream_bounded_dedup", "SELECT event_type, count(*) + count(*) FILTER (event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 15 DAY) AS n FROM events GROUP BY event_type")
 def stream_dedup(t):
-    """Events with every third repeated an hour's files later."""
+    """Events of which every third comes twice within the delay, and every tenth of the first days again at the end: the
+    state of that has been let go by then, so that these are new."""
     base = st.scratch(t.spark)
-    rows = _events(t)
+    rows = _events(t).select("*", F.lit(0).alias("again"))
+    newest = rows.agg(F.max("ts").alias("newest"))
+    late = rows.where("event_id % 10 = 0").crossJoin(F.broadcast(newest)).where("ts < newest - interval 15 days").select("event_id", F.col("newest").alias("ts"), "event_type", F.lit(1).alias("again"))
     doubled = rows.union(rows.where("event_id % 3 = 0"))
-    st.replay(doubled, lambda s: st.run_to_table(st.bounded_dedup(s, ["event_id"], "ts", "40 days"), f"{base}/checkpoint", f"{base}/out"), 3)
+    st.replay(doubled, lambda s: st.run_to_table(st.bounded_dedup(s, ["event_id"], "ts", "2 days"), f"{base}/checkpoint", f"{base}/out"), 4, then=late)
     return t.spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -216,6 +219,15 @@ def stream_weekly(t):
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("week_start", "event_type", "n")
 
 
+@query("stream_weekly_counts_bounded", "SELECT date_trunc('week', ts)::TIMESTAMP AS week_start, event_type, count(*) AS n FROM events WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2")
+def stream_weekly_bounded(t):
+    """Weekly counts with a watermark: a week is told once, when no row of it is awaited, and its state let go."""
+    base = st.scratch(t.spark)
+    last = _events(t).orderBy(F.desc("ts")).limit(1)  # one more file, so that the watermark reaches its end
+    st.replay(_events(t).join(last.select("event_id"), "event_id", "left_anti"), lambda s: st.run_to_table(st.weekly_counts(s, "ts", "event_type", "1 day"), f"{base}/checkpoint", f"{base}/out"), 3, then=last)
+    return t.spark.read.parquet(f"{base}/out").select("week_start", "event_type", "n")
+
+
 @query("stream_sliding_compare", "SELECT w AS window_start, w + INTERVAL 28 DAY AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('week', ts)::TIMESTAMP - to_days(7 * k) for k in range(4)]) AS w FROM events) GROUP BY 1, 2, 3")
 def stream_sliding(t):
     base = st.scratch(t.spark)
@@ -225,24 +237,26 @@ def stream_sliding(t):
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("window_start", "window_end", "event_type", "n")
 
 
-@query("stream_alerts", _hits_sql("SELECT DISTINCT id FROM hits"))
+@query("stream_alerts", _hits_sql("SELECT keyword, id, count(*) AS n FROM hits GROUP BY keyword, id"))
 def stream_alerts(t):
     """Watch hits streamed in twice: each item is told once."""
     base = st.scratch(t.spark)
-    hits = settle(_hits(t).select("keyword", "id"), "hits")
+    hits = settle(_hits(t).select("keyword", "id").coalesce(1), "hits").coalesce(1)
     hits.write.parquet(f"{base}/in/a=1")
     hits.write.parquet(f"{base}/in/a=2")
     stream = t.spark.readStream.schema("keyword string, id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in")
     st.stream_alerts(stream, f"{base}/state", f"{base}/out", f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/out").select("id").distinct()
+    return t.spark.read.parquet(f"{base}/out").groupBy("keyword", "id").agg(F.count("*").alias("n"))
 
 
-@query("late_data_routing", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY 1")
+@query("late_data_routing", """SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late, count(*) AS n
+FROM (SELECT ts, event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 10 <> 0) - INTERVAL 5 DAY AS late FROM events) GROUP BY 1""")
 def late_routing(t):
-    """Late rows are kept aside and still counted."""
+    """Every tenth event comes after all others: those that are late by then are kept aside and still counted."""
     base = st.scratch(t.spark)
-    st.replay(_events(t), lambda s: st.route_late(s, "ts", "5 days", f"{base}/counts", f"{base}/late", f"{base}/checkpoint"), 3)
-    return st.routed_counts(t.spark, f"{base}/counts")
+    rows = _events(t)
+    st.replay(rows.where("event_id % 10 <> 0"), lambda s: st.route_late(s, "ts", "5 days", f"{base}/counts", f"{base}/late", f"{base}/edges", f"{base}/checkpoint"), 3, then=rows.where("event_id % 10 = 0"))
+    return st.routed_counts(t.spark, f"{base}/counts", f"{base}/late")
 
 
 @query("stream_source_freshness", "SELECT event_type, max(ts) AS last_at, date_diff('day', max(ts), TIMESTAMP '2024-02-03') > 3 AS late FROM events GROUP BY event_type")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.functions.components import settle
+from crossweave.functions.components import settle, shared_folder
 from crossweave.operators.alerts import alert_state
 from crossweave.sources.ingest import append_new, normalize_items, parse_lines
 
@@ -92,43 +92,50 @@ def stream_alerts(hits: DataFrame, state_path: str, out: str, checkpoint: str, m
     hits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def route_late(events: DataFrame, time: str, delay: str, table: str, backfill: str, checkpoint: str) -> None:
-    """Weekly counts that lose no late row: rows of weeks before the newest event less the delay are kept
-    aside and their weeks counted anew, others are added to their weeks."""
+def route_late(events: DataFrame, time: str, delay: str, table: str, backfill: str, edges: str, checkpoint: str) -> None:
+    """Weekly counts that lose no late row: rows older than the newest event of all batches before, less the delay, are
+    kept aside (backfill) for a run that counts their weeks anew; the others are added to their weeks.
+
+    Every batch writes its own part of each table, so that a batch that is run again replaces it; `edges`
+    has the newest event of each batch, a row for each."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        week = F.date_format(F.window(time, WEEK, WEEK, MONDAY)["start"], "yyyy-MM-dd")
-        rows = rows.withColumn("week", week)
-        edge = rows.agg((F.max(time) - F.expr(f"interval {delay}")).alias("edge"))
-        marked = rows.crossJoin(F.broadcast(edge))
-        marked.where(F.col(time) < F.col("edge")).drop("edge").write.mode("overwrite").parquet(f"{backfill}/batch={number}")
-        # a run of the batch again replaces its own part of each week
-        counts = rows.groupBy("week").agg(F.count("*").alias("n"))
-        counts.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        spark = rows.sparkSession
+        newest = rows.agg(F.max(time).alias("newest")).withColumn("batch", F.lit(number))
+        before = None
+        if number:
+            known = spark.read.schema("newest timestamp, batch int").parquet(edges)
+            before = known.where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        marked = rows.withColumn("week", F.date_format(F.window(time, WEEK, WEEK, MONDAY)["start"], "yyyy-MM-dd"))
+        late = F.col(time) < F.lit(before) - F.expr(f"interval {delay}") if before is not None else F.lit(False)
+        late = F.coalesce(late, F.lit(False))
+        own = lambda df, path: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        own(marked.where(late), backfill)
+        own(marked.where(~late).groupBy("week").agg(F.count("*").alias("n")), table)
+        own(newest, edges)
 
     events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def routed_counts(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).groupBy("week").agg(F.sum("n").alias("n"))
+def routed_counts(spark: SparkSession, table: str, backfill: str) -> DataFrame:
+    """(week, on_time, late, n): the weeks' counts with the rows that were kept aside."""
+    on_time = spark.read.schema("week string, n long, batch int").parquet(table).groupBy("week").agg(F.sum("n").alias("on_time"), F.lit(0).cast("long").alias("late"))
+    late = spark.read.schema("week string, batch int").parquet(backfill).groupBy("week").agg(F.lit(0).cast("long").alias("on_time"), F.count("*").alias("late"))
+    return on_time.union(late).groupBy("week").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"), (F.sum("on_time") + F.sum("late")).alias("n"))
 
 
-def replay(events: DataFrame, work: Callable[[DataFrame], None], pieces: int = 4, order: str = "ts") -> None:
-    """Writes a table as a few files in order of time and streams them one by one: for tests and queries that hold a
-    stream against the table."""
+def replay(events: DataFrame, work: Callable[[DataFrame], None], pieces: int = 4, order: str = "ts", then: DataFrame | None = None) -> None:
+    """Writes a table as a few files in order of time, and `then` as the last one, and streams them one by one: for
+    tests and queries that hold a stream against the table."""
     spark = events.sparkSession
     base = scratch(spark)
-    for k, part in enumerate(split_by_time(events, pieces, order)):
-        part.coalesce(1).write.parquet(f"{base}/in/part={k}")
+    for k, part in enumerate([*split_by_time(events, pieces, order), *([then] if then is not None else [])]):
+        part.select(*events.columns).coalesce(1).write.parquet(f"{base}/in/part={k}")
     work(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in"))
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.crossweave.scratch", None)
-    if not base:
-        settle(spark.range(1), "first")
-        base = spark.conf.get("spark.crossweave.scratch")
-    return f"{base}/crossweave-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/crossweave-{uuid.uuid4().hex}"
 
 
 def split_by_time(events: DataFrame, pieces: int, order: str = "ts") -> list[DataFrame]:
