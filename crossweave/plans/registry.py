@@ -12,12 +12,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder, of which a session stores the index once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers a function of Tables under a name, with the SQL that states the same."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(spark, sf_dir))
+            return f(tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run

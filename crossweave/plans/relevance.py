@@ -63,13 +63,13 @@ def sweep(t):
 
 @query("near_dup_clusters", _with(("items",), _WEEKLY, "SELECT id, survivor FROM clusters"))
 def clusters(t):
-    rows = t.items.select("id", F.coalesce("published_week", F.lit("?")).alias("block"), (-F.col("cross_score")).alias("place"))
+    rows = t.facts.select("id", F.coalesce("published_week", F.lit("?")).alias("block"), (-F.col("cross_score")).alias("place"))
     return ve.near_dup_clusters(rows.join(t.vectors, "id"), WEEK_CUT)
 
 
 @query("weekly_dedup", _with(("items",), _WEEKLY, "SELECT id, survivor FROM clusters WHERE id <> survivor"))
 def weekly(t):
-    return ve.weekly_dedup(t.items, t.vectors, WEEK_CUT).where("id <> survivor")
+    return ve.weekly_dedup(t.facts, t.vectors, WEEK_CUT).where("id <> survivor")
 
 
 @query("global_dedup", _with(("relevance",), _GLOBAL, "SELECT id, survivor FROM clusters"))
@@ -79,7 +79,7 @@ def whole(t):
 
 @query("kept_flag_axes", _with(("items", "item_axes"), _WEEKLY, "SELECT b.id, b.id IN (SELECT item_id FROM item_axes) AND b.id NOT IN (SELECT id FROM clusters WHERE id <> survivor) AS kept FROM items b"))
 def kept_axes(t):
-    return ve.kept_flag_axes(t.items, t.item_axes, ve.weekly_dedup(t.items, t.vectors, WEEK_CUT))
+    return ve.kept_flag_axes(t.facts, t.item_axes, ve.weekly_dedup(t.facts, t.vectors, WEEK_CUT))
 
 
 @query("kept_flag_embedding", _with(("relevance", "base", "item_axes"), _GLOBAL, f"SELECT b.id, b.id IN (SELECT item_id FROM item_axes) AND b.id NOT IN (SELECT id FROM clusters WHERE id <> survivor) AND coalesce(r.relevance >= {THRESHOLD}, false) AS kept FROM base b LEFT JOIN relevance r USING (id)"))
@@ -90,7 +90,7 @@ def kept_embedding(t):
 
 @query("changed_flags", _with(("items", "item_axes"), _WEEKLY, "SELECT id, false AS kept FROM items WHERE kept AND id IN (SELECT id FROM clusters WHERE id <> survivor)"))
 def changed(t):
-    return ve.changed_flags(t.items, ve.kept_flag_axes(t.items, t.item_axes, ve.weekly_dedup(t.items, t.vectors, WEEK_CUT)))
+    return ve.changed_flags(t.facts, ve.kept_flag_axes(t.facts, t.item_axes, ve.weekly_dedup(t.facts, t.vectors, WEEK_CUT)))
 
 
 @query("source_similarity", sql(f"SELECT source, count(*) FILTER (relevance >= {THRESHOLD}) AS passed, count(*) AS total, floor(avg(relevance) * 1e8 + 0.5) AS mean FROM base JOIN relevance USING (id) GROUP BY source", "base", "relevance"))

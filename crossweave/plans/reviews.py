@@ -54,6 +54,16 @@ def containment(t):
     return dg.title_pairs(t.base.select(F.col("published_week").alias("week"), "id", "title"), TITLE_CUT)
 
 
+_CLASSES = "kinds AS (SELECT week, g, min(id) AS rep FROM (SELECT week, id, list_sort(g) AS g FROM grams WHERE len(g) >= 4) GROUP BY week, g)\n"
+
+
+@query("title_classes", sql("", "base").rstrip() + "," + _GRAMS.rstrip() + "," + _CLASSES + f"SELECT 'same' AS kind, k.week, k.rep AS a, x.id AS b FROM kinds k JOIN grams x ON x.week = k.week AND list_sort(x.g) = k.g UNION ALL SELECT 'close', x.week, least(x.rep, y.rep), greatest(x.rep, y.rep) FROM kinds x JOIN kinds y ON x.week = y.week AND x.rep < y.rep WHERE len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)) >= {TITLE_CUT}")
+def classes(t):
+    """Each title's class, and the close pairs of classes."""
+    members, close = dg.title_classes(t.base.select(F.col("published_week").alias("week"), "id", "title"), TITLE_CUT)
+    return members.select(F.lit("same").alias("kind"), "week", F.col("rep").alias("a"), F.col("id").alias("b")).union(close.select(F.lit("close"), "week", "a", "b"))
+
+
 @query("digest_crossing")
 def crossing(t):
     found = dg.digest_sections(_pool(t), t.item_axes, list(ad.AXES), cut=TITLE_CUT)
@@ -73,7 +83,7 @@ def trending(t):
 
 @query("digest_upsert", sql("SELECT coalesce(d.week, n.week) AS week, d.lead, CASE WHEN d.week IS NULL THEN NULL ELSE 'kept' END AS tasks, CAST(n.n AS VARCHAR) AS total_kept FROM (SELECT published_week AS week, count(*) AS n FROM items WHERE kept GROUP BY 1) n FULL JOIN digests d ON d.week = n.week", "items", "digests"))
 def upsert(t):
-    n = t.items.where("kept").groupBy(F.col("published_week").alias("week")).agg(F.count("*").alias("n"))
+    n = t.facts.where("kept").groupBy(F.col("published_week").alias("week")).agg(F.count("*").alias("n"))
     new = n.select("week", F.create_map(F.lit("total_kept"), F.col("n").cast("string")).alias("body"))
     return dg.digest_upsert(t.digests, new).select("week", "lead", F.try_element_at("body", F.lit("tasks")).alias("tasks"), F.try_element_at("body", F.lit("total_kept")).alias("total_kept"))
 
@@ -110,23 +120,23 @@ def _windows(t):
 @query("period_window", _window_sql('SELECT w.period, w."start", w.stop AS "end", w.cutoff, w.prev_start, w.prev_end, w.status, count(*) FILTER (cur) AS n FROM win w JOIN marked m ON m.period = w.period GROUP BY ALL'))
 def window(t):
     w = _windows(t)
-    return w.join(pe.period_totals(t.items, w).select("period", F.col("current").alias("n")), "period")
+    return w.join(pe.period_totals(t.facts, w).select("period", F.col("current").alias("n")), "period")
 
 
 @query("period_observations", _window_sql("SELECT period, count(*) FILTER (cur) AS current, count(*) FILTER (bef) AS before, max(published_at) FILTER (cur) AS latest FROM marked GROUP BY period"))
 def observations(t):
-    return pe.period_totals(t.items, _windows(t))
+    return pe.period_totals(t.facts, _windows(t))
 
 
 @query("period_days", _window_sql("SELECT period, CAST(published_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM marked WHERE cur GROUP BY 1, 2"))
 def days(t):
-    return pe.period_days(t.items, _windows(t))
+    return pe.period_days(t.facts, _windows(t))
 
 
 @query("period_axis_compare", _window_sql("""SELECT a.period, a.axis, a.current, a.before, CASE WHEN t > 0 THEN current / t ELSE 0.0::DOUBLE END AS share, CASE WHEN b > 0 THEN before / b END AS prev_share FROM (SELECT period, axis, count(*) FILTER (cur) AS current, count(*) FILTER (bef) AS before FROM marked JOIN item_axes ON item_id = id WHERE cur OR bef GROUP BY 1, 2) a
 JOIN (SELECT period AS p, count(*) FILTER (cur) AS t, count(*) FILTER (bef) AS b FROM marked GROUP BY 1) x ON p = period""", "item_axes"))
 def compare(t):
-    return pe.axis_compare(t.items, t.item_axes, _windows(t))
+    return pe.axis_compare(t.facts, t.item_axes, _windows(t))
 
 
 @query("period_top_articles", _window_sql("SELECT period, CAST(place AS INT) AS place, id, title, url, substring(summary, 1, 500) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY coalesce(cross_score, 0) DESC, published_at DESC, id DESC) AS place FROM marked WHERE cur) WHERE place <= 30"))
@@ -137,7 +147,7 @@ def articles(t):
 def _editorial(t):
     """A text for each month of the corpus, citing two of its items; odd months are signed off."""
     month = F.date_format(pe.local_date("published_at"), "yyyy-MM")
-    rows = t.items.where("kept").select(month.alias("period"), F.col("id").cast("long").alias("id"), "title", "url")
+    rows = t.facts.where("kept").select(month.alias("period"), F.col("id").cast("long").alias("id"), "title", "url")
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("period").orderBy("id", "title", "url"))).where("r <= 2")
     cited = rows.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("id", "title", "url"))).alias("sources"))
     ids = F.transform("sources", lambda s: s["id"])
@@ -155,12 +165,12 @@ def status(t):
   UNION ALL SELECT strftime(d, '%Y-%m'), 'month' FROM (SELECT DATE '2024-03-01' - to_months(CAST(k AS INT)) AS d FROM range(24) r(k)) WHERE d + INTERVAL 1 MONTH > (SELECT CAST(min(published_at) + INTERVAL 9 HOUR AS DATE) FROM items WHERE kept)
   UNION ALL SELECT week, 'week' FROM digests WHERE week <= '2024-W11')""", "items", "digests"))
 def available(t):
-    return pe.available_periods(t.items, _editorial(t), t.digests, ad.NOW, "2024-W11")
+    return pe.available_periods(t.facts, _editorial(t), t.digests, ad.NOW, "2024-W11")
 
 
 @query("editorial_precedence", sql("SELECT DISTINCT period, CASE WHEN period LIKE '%-W%' THEN CASE WHEN period IN (SELECT week FROM digests) THEN CASE WHEN period = '2024-W06' THEN 'snapshot' ELSE 'lead' END ELSE 'none' END ELSE 'authored' END AS origin FROM (SELECT published_week AS period FROM items WHERE kept UNION ALL SELECT strftime(published_at + INTERVAL 9 HOUR, '%Y-%m') FROM items WHERE kept)", "items", "digests"))
 def precedence(t):
-    weeks = t.items.where("kept").select(F.col("published_week").alias("period")).distinct()
+    weeks = t.facts.where("kept").select(F.col("published_week").alias("period")).distinct()
     texts = _editorial(t)
     snapshots = t.digests.where("week in ('2024-W06', '2024-W08')").select(F.col("week").alias("period"), F.when(F.col("week") == "2024-W06", F.col("week")).otherwise("2024-W01").alias("body_period"), F.lit("snap").alias("summary"))
     return pe.editorial_precedence(weeks.union(texts.select("period")), texts, snapshots, t.digests).select("period", "origin")
@@ -182,7 +192,7 @@ _MONTHS = "rows_of AS (SELECT *, strftime(published_at + INTERVAL 9 HOUR, '%Y-%m
 
 @query("month_report", sql("", "items", "item_axes").rstrip() + "," + _MONTHS + "SELECT month, axis, n, kept, total, regulatory FROM rep")
 def month_report(t):
-    return pe.month_report(t.items, t.item_axes, t.sources, ["2024-02", "2024-03"])
+    return pe.month_report(t.facts, t.item_axes, t.sources, ["2024-02", "2024-03"])
 
 
 @query("month_axis_delta", sql("", "items", "item_axes").rstrip() + "," + _MONTHS + "SELECT x.axis, 100.0::DOUBLE * x.n / x.kept - 100.0::DOUBLE * y.n / y.kept AS delta FROM rep x LEFT JOIN rep y ON y.axis = x.axis AND y.month = '2024-02' WHERE x.month = '2024-03'")
@@ -192,9 +202,9 @@ def month_delta(t):
 
 @query("report_months", sql("SELECT DISTINCT strftime(date_trunc('week', published_at) + INTERVAL 3 DAY, '%Y-%m') AS month FROM items WHERE kept", "items"))
 def report_months(t):
-    return pe.report_months(t.items)
+    return pe.report_months(t.facts)
 
 
 @query("review_material", _window_sql("SELECT period, total, CAST(place AS INT) AS place, id FROM (SELECT period, count(*) OVER (PARTITION BY period) AS total, row_number() OVER (PARTITION BY period ORDER BY coalesce(cross_score, 0) DESC, id) AS place, id FROM marked WHERE cur) WHERE place <= 20"))
 def material(t):
-    return pe.review_material(t.items, _windows(t))
+    return pe.review_material(t.facts, _windows(t))

@@ -5,7 +5,7 @@ from __future__ import annotations
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "base": (
         (),
-        """SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS source_id, substring(text, 1, 80) AS title, substring(text, 81, 400) AS summary,
+        """SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS source_id, substring(text, 1, 80) AS title, substring(text, 81) AS summary,
   'https://example.com/' || doc_id AS url, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id * 37 % 2016 AS INT)) AS published_at,
   TIMESTAMP '2024-04-01' AS collected_at, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id * 37 % 2016 AS INT)), '%G-W%V') AS published_week FROM documents""",
     ),

@@ -137,12 +137,12 @@ def enriched(t):
 
 @query("corpus_summary", sql("SELECT source, count(*) AS n, min(published_at) AS first_at, max(published_at) AS last_at, count(cross_score) AS scored, count(*) FILTER (kept) AS kept, count(*) FILTER (coalesce(insight, '') <> '') AS annotated, count(*) FILTER (published_at IS NULL) AS undated FROM items GROUP BY source", "items"))
 def corpus_summary(t):
-    return ingest.corpus_summary(t.items)
+    return ingest.corpus_summary(t.facts)
 
 
 @query("export_search_csv", sql("SELECT i.id, CAST(published_at + INTERVAL 9 HOUR AS DATE) AS day, title, source, coalesce(replace(a.axes, '+', ', '), '') AS axes, printf('%.1f', cross_score) AS score, url FROM items i LEFT JOIN axes_of a ON a.item_id = i.id WHERE kept ORDER BY published_at DESC, i.id DESC LIMIT 200", "items", "axes_of"))
 def export_rows(t):
-    return sinks.search_rows(t.items.where("kept"), t.item_axes, 200)
+    return sinks.search_rows(t.facts.where("kept"), t.item_axes, 200)
 
 
 @query("axis_keywords", sql("SELECT axis, keyword FROM vocabulary", "vocabulary"))

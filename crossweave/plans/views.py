@@ -53,33 +53,33 @@ def oldest(t):
 @query("keyword_items", sql(f"""SELECT CAST(row_number() OVER (ORDER BY kept DESC, cross_score DESC, published_at DESC, id DESC) AS INT) AS place, id, kept, cross_score, count(*) FILTER (kept) OVER () AS page_kept, total FROM (
   SELECT *, count(*) OVER () AS total FROM items WHERE id IN (SELECT item_id FROM kw_item WHERE keyword = '{KEYWORD}') ORDER BY kept DESC, cross_score DESC, published_at DESC, id DESC LIMIT 20)""", "items", "kw_item"))
 def keyword_items(t):
-    return xp.keyword_items(t.items, t.kw_item, KEYWORD)
+    return xp.keyword_items(t.facts, t.kw_item, KEYWORD)
 
 
 @query("related_items", sql("SELECT id, title, cross_score FROM items WHERE kept AND id <> 11 AND id IN (SELECT item_id FROM item_axes WHERE axis IN (SELECT axis FROM item_axes WHERE item_id = 11)) ORDER BY cross_score DESC, id LIMIT 8", "items", "item_axes"))
 def related(t):
-    return xp.related_items(t.items, t.item_axes, 11)
+    return xp.related_items(t.facts, t.item_axes, 11)
 
 
 @query("corpus_stats", sql("""SELECT count(*) AS total, count(*) FILTER (kept) AS kept, count(*) FILTER (coalesce(insight, '') <> '') AS annotated, count(*) FILTER (kept AND n_axes >= 3) AS wide, min(published_at) AS first_at, max(published_at) AS last_at,
   max(published_week) FILTER (kept) AS week, (SELECT count(*) FROM items WHERE kept AND published_week = (SELECT max(published_week) FROM items WHERE kept)) AS week_kept FROM items JOIN axis_n USING (id)""", "items", "axis_n"))
 def stats(t):
-    return xp.corpus_stats(t.items, t.item_axes)
+    return xp.corpus_stats(t.facts, t.item_axes)
 
 
 @query("source_counts", sql("SELECT source, count(*) AS n, count(*) FILTER (kept) AS kept FROM items GROUP BY source", "items"))
 def source_counts(t):
-    return xp.source_counts(t.items)
+    return xp.source_counts(t.facts)
 
 
 @query("week_list", sql("SELECT published_week AS week, count(*) AS n, published_week IN (SELECT week FROM digests) AS saved FROM items WHERE kept AND published_week <= '2024-W11' GROUP BY published_week", "items", "digests"))
 def weeks(t):
-    return xp.week_list(t.items, t.digests, "2024-W11")
+    return xp.week_list(t.facts, t.digests, "2024-W11")
 
 
 @query("month_tree", sql("""SELECT month, CAST(sum(n) AS BIGINT) AS n, string_agg(week || ':' || n, ',' ORDER BY week DESC) AS weeks, month = '2024-02' AS review FROM (SELECT published_week AS week, strftime(date_trunc('week', min(published_at)) + INTERVAL 3 DAY, '%Y-%m') AS month, count(*) AS n FROM items WHERE kept GROUP BY 1) GROUP BY month""", "items"))
 def months(t):
-    n = xp.week_list(t.items, t.digests)
+    n = xp.week_list(t.facts, t.digests)
     return xp.month_tree(n.select("week", "n"), t.spark.createDataFrame([("2024-02",)], "period string"))
 
 
@@ -88,32 +88,32 @@ _MONTH = "in_month AS (SELECT *, strftime(date_trunc('week', published_at) + INT
 
 @query("month_view", sql("", "items").rstrip() + "," + _MONTH + f"SELECT count(*) FILTER (month = '{MONTH}') AS kept, count(*) FILTER (month = '2024-02') AS before, CASE WHEN count(*) FILTER (month = '2024-02') > 0 THEN count(*) FILTER (month = '{MONTH}') - count(*) FILTER (month = '2024-02') END AS delta FROM in_month")
 def month(t):
-    return xp.month_totals(t.items, MONTH)
+    return xp.month_totals(t.facts, MONTH)
 
 
 @query("month_view_axes", sql("", "items", "item_axes").rstrip() + "," + _MONTH + f"SELECT axis, count(DISTINCT id) AS n FROM in_month JOIN item_axes ON item_id = id WHERE month = '{MONTH}' GROUP BY axis")
 def month_axes(t):
-    return xp.month_axes(t.items, t.item_axes, MONTH)
+    return xp.month_axes(t.facts, t.item_axes, MONTH)
 
 
 @query("month_view_top", sql("", "items").rstrip() + "," + _MONTH + f"SELECT id, title, cross_score FROM in_month WHERE month = '{MONTH}' ORDER BY cross_score DESC, id DESC LIMIT 8")
 def month_top(t):
-    return xp.month_top(t.items, MONTH)
+    return xp.month_top(t.facts, MONTH)
 
 
 @query("cross_items", sql("SELECT i.id, title, published_week, cross_score, axes AS combo FROM items i JOIN axes_of a ON a.item_id = i.id JOIN weeks ON week = published_week WHERE kept AND a.n = 2 ORDER BY cross_score DESC, published_at DESC, i.id DESC LIMIT 60", "items", "axes_of", "weeks"))
 def cross(t):
-    return xp.cross_items(t.items, t.item_axes, t.weeks, 2)
+    return xp.cross_items(t.facts, t.item_axes, t.weeks, 2)
 
 
 @query("cross_combos", sql("SELECT axes AS combo, count(*) AS n FROM items i JOIN axes_of a ON a.item_id = i.id JOIN weeks ON week = published_week WHERE kept AND a.n >= 2 GROUP BY axes", "items", "axes_of", "weeks"))
 def combos(t):
-    return xp.cross_combos(t.items, t.item_axes, t.weeks)
+    return xp.cross_combos(t.facts, t.item_axes, t.weeks)
 
 
 @query("cross_weeks", sql("SELECT w.week, count(i.id) AS n FROM weeks w LEFT JOIN (SELECT i.id, published_week FROM items i JOIN axes_of a ON a.item_id = i.id WHERE kept AND a.n = 3) i ON i.published_week = w.week GROUP BY w.week", "items", "axes_of", "weeks"))
 def cross_weeks(t):
-    return xp.cross_weeks(t.items, t.item_axes, t.weeks, 3).select("week", "n")
+    return xp.cross_weeks(t.facts, t.item_axes, t.weeks, 3).select("week", "n")
 
 
 _ORGS = """org_weeks AS (SELECT keyword, week, n FROM kw_week JOIN weeks USING (week) WHERE length(keyword) >= 5 AND (keyword LIKE '%tion' OR keyword LIKE '%ment')),
@@ -133,7 +133,7 @@ def recurring(t):
 
 @query("org_week_items", sql("SELECT *, count(*) OVER () AS total FROM (SELECT id, title, cross_score, published_at FROM items WHERE kept AND published_week = '2024-W12' AND id IN (SELECT item_id FROM kw_item WHERE keyword = 'tion')) ORDER BY cross_score DESC, published_at, id LIMIT 20", "items", "kw_item"))
 def org_week(t):
-    return xp.keyword_week_items(t.items, t.kw_item, "tion", ad.WEEK)
+    return xp.keyword_week_items(t.facts, t.kw_item, "tion", ad.WEEK)
 
 
 @query("regulatory_items", sql("SELECT id, published_at FROM items WHERE source = 'src0' AND published_at >= TIMESTAMP '2024-03-20' - INTERVAL 30 DAY AND (contains(lower(title), 'the') OR contains(lower(summary), 'the')) ORDER BY published_at DESC, id DESC LIMIT 100", "items"))
@@ -143,17 +143,17 @@ def regulatory(t):
 
 @query("checklist_rollup", sql("SELECT source AS name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM items WHERE id % 7 = 0 GROUP BY source", "items"))
 def checklist(t):
-    return xp.checklist_rollup(t.items)
+    return xp.checklist_rollup(t.facts)
 
 
 @query("checklist_removed", sql("SELECT id, CASE WHEN insight IS NOT NULL THEN 'note' END AS insight FROM items", "items"))
 def removed(t):
-    return t.items.select("id", xp.without_checklist(F.col("insight")).alias("insight"))
+    return t.facts.select("id", xp.without_checklist(F.col("insight")).alias("insight"))
 
 
 @query("source_health", sql("SELECT source, count(*) AS n, max(published_at) AS last_published, max(collected_at) AS last_collected, live, live AND date_diff('day', max(published_at), TIMESTAMP '2024-03-28') > 3 AS late FROM items JOIN sources USING (source) GROUP BY source, live", "items", "sources"))
 def health(t):
-    return xp.source_health(t.items, t.sources, "2024-03-28 00:00:00")
+    return xp.source_health(t.facts, t.sources, "2024-03-28 00:00:00")
 
 
 @query("issue_timeline", sql(f"SELECT *, count(*) OVER () AS total FROM (SELECT id, source, published_at FROM items WHERE kept AND published_at <= TIMESTAMP '2024-03-20' AND published_at >= TIMESTAMP '2024-03-20' - INTERVAL 60 DAY AND (contains(title, '{TEXT}') OR contains(summary, '{TEXT}'))) ORDER BY published_at, id LIMIT 50", "items"))

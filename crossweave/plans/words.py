@@ -12,6 +12,9 @@ from crossweave.operators import trend as tr
 from crossweave.plans.registry import query
 from crossweave.plans.sql import sql
 from crossweave.sources import adapter as ad
+from crossweave.sources import sinks
+from crossweave.sources.sinks import overwrite_index
+from crossweave.streaming.streams import scratch
 
 CENTER = "that"
 GRAPH_DF, GRAPH_NODES, GRAPH_COOC, GRAPH_CUT = 10, 300, 3, 0.05
@@ -59,7 +62,7 @@ def top(t):
 
 @query("keywords_scope", sql("SELECT keyword, count(*) AS n FROM tokens WHERE item_id IN (SELECT id FROM items WHERE kept) GROUP BY keyword", "tokens", "items"))
 def scope(t):
-    return kw.scope(t.tokens, t.items, True).groupBy("keyword").agg(F.count("*").alias("n"))
+    return kw.scope(t.tokens, t.facts, True).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 @query("replace_keywords", sql("SELECT week, count(*) AS n, count(DISTINCT keyword) AS n_keywords FROM (SELECT * FROM keywords WHERE item_id % 10 <> 0 UNION ALL SELECT item_id, upper(keyword), week FROM keywords WHERE item_id % 10 = 0) GROUP BY week", "keywords"))
@@ -109,6 +112,28 @@ def status(t):
     return ix.index_status({"kw_week": t.kw_week, "kw_meta": t.kw_meta, "kw_item": t.kw_item})
 
 
+@query("overwrite_index", sql("SELECT 'kw_meta' AS name, keyword, axis AS part, df AS n FROM kw_meta UNION ALL SELECT 'kw_item', keyword, NULL, count(*) FROM kw_item GROUP BY keyword UNION ALL SELECT 'kw_week', keyword, week, CASE WHEN week = '2024-W12' THEN n + 1 ELSE n END FROM kw_week", "kw_meta", "kw_item", "kw_week"))
+def overwritten(t):
+    """The index written twice: whole tables are replaced, of kw_week only the partition of the week that comes again."""
+    path = scratch(t.spark)
+    old = {"kw_meta": t.kw_meta.withColumn("keyword", F.upper("keyword")), "kw_item": t.kw_item.where("item_id % 2 = 0"), "kw_week": t.kw_week}
+    overwrite_index(old, path, {"kw_week": "week"})
+    overwrite_index({"kw_meta": t.kw_meta, "kw_item": t.kw_item, "kw_week": t.kw_week.where(F.col("week") == ad.WEEK).withColumn("n", F.col("n") + 1)}, path, {"kw_week": "week"})
+    meta, items, weeks = (t.spark.read.parquet(f"{path}/{name}") for name in ("kw_meta", "kw_item", "kw_week"))
+    rows = meta.select(F.lit("kw_meta").alias("name"), "keyword", F.col("axis").alias("part"), F.col("df").alias("n"))
+    rows = rows.union(items.groupBy("keyword").agg(F.count("*").alias("n")).select(F.lit("kw_item"), "keyword", F.lit(None).cast("string"), "n"))
+    return rows.union(weeks.select(F.lit("kw_week"), "keyword", "week", "n"))
+
+
+@query("export_trend_csv", sql("SELECT keyword, n, floor(score * 1e8 + 0.5) AS score, is_new FROM rising", "rising"))
+def export_trend(t):
+    """Rising keywords to a file and back."""
+    path = f"{scratch(t.spark)}/trend"
+    sinks.write_csv(t.rising.select("keyword", "n", F.floor(F.col("score") * 1e8 + 0.5).cast("long").alias("score"), "is_new"), path)
+    back = sinks.read_csv(t.spark, path)
+    return back.select("keyword", F.col("n").cast("long").alias("n"), F.col("score").cast("double").alias("score"), F.col("is_new").cast("boolean").alias("is_new"))
+
+
 @query("prev_weeks", sql("SELECT DISTINCT published_week AS week, strftime(published_at - INTERVAL 7 DAY, '%G-W%V') AS w1, strftime(published_at - INTERVAL 21 DAY, '%G-W%V') AS w3 FROM base", "base"))
 def prev_weeks(t):
     weeks = t.base.select(F.col("published_week").alias("week")).distinct()
@@ -156,7 +181,7 @@ def with_series(t):
 
 @query("latest_week", sql("SELECT max(published_week) AS week FROM items WHERE kept", "items"))
 def latest(t):
-    return tr.latest_week(t.items)
+    return tr.latest_week(t.facts)
 
 
 _GRAPH = f"""
@@ -180,10 +205,15 @@ def _graph_sql(body: str) -> str:
 
 
 class _Graph:
+    """The graph's tables; those that several others are made from are written once for a set of tables."""
+
     def __init__(self, t):
-        self.words = gr.graph_docs(t.keywords, t.items)
-        self.df = ix.kw_df(self.words)
-        self.nodes = gr.candidates(self.df, GRAPH_DF, GRAPH_NODES)
+        if not hasattr(t, "graph_of_kept"):
+            words = t.stored("graph_words", gr.graph_docs(t.keywords, t.facts))
+            df = t.stored("graph_df", ix.kw_df(words))
+            nodes = t.stored("graph_nodes", gr.candidates(df, GRAPH_DF, GRAPH_NODES))
+            t.graph_of_kept = words, df, nodes
+        self.words, self.df, self.nodes = t.graph_of_kept
         self.edges = gr.edges(self.words, self.nodes, self.df, GRAPH_COOC, GRAPH_CUT)
         self.shares = gr.axis_shares(self.words, self.nodes, t.item_axes)
 
@@ -225,9 +255,21 @@ def pure(t):
     return gr.axis_pure_nodes(_Graph(t).bridges()).select("keyword", "degree")
 
 
+@query("export_graph", _graph_sql("SELECT 'node' AS kind, keyword AS a, coalesce(axis, '') AS b, df AS n, floor(bridge * 1e8 + 0.5) AS weight FROM bridges UNION ALL SELECT 'edge', a, b, cooc, floor(npmi * 1e8 + 0.5) FROM g_edges"))
+def export_graph(t):
+    """Nodes and edges to files and back: nodes from the CSV, edges from the JSON."""
+    path = f"{scratch(t.spark)}/graph"
+    g = _Graph(t)
+    sinks.write_graph(g.bridges().select("keyword", "df", "axis", "degree", _scaled("bridge"), "spans"), g.edges.select("a", "b", _scaled("npmi"), "cooc"), path)
+    nodes = t.spark.read.option("header", True).csv(f"{path}/nodes_csv")
+    edges = t.spark.read.schema("a string, b string, npmi double, cooc long").json(f"{path}/edges_json")
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("keyword").alias("a"), F.coalesce("axis", F.lit("")).alias("b"), F.col("df").cast("long").alias("n"), F.col("bridge").cast("double").alias("weight"))
+    return rows.union(edges.select(F.lit("edge"), "a", "b", F.col("cooc").alias("n"), "npmi"))
+
+
 @query("graph_docs_scope", sql("SELECT item_id, count(*) AS n FROM keywords WHERE item_id IN (SELECT id FROM items WHERE kept) GROUP BY item_id", "keywords", "items"))
 def docs_scope(t):
-    return gr.graph_docs(t.keywords, t.items).groupBy("item_id").agg(F.count("*").alias("n"))
+    return gr.graph_docs(t.keywords, t.facts).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("suggest_keywords")
