@@ -52,11 +52,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rate is target / source_size; a document is taken floor(rate) times, and once more if its draw is
     under the fraction. Null text has size 0; a null source is a source; documents of size 0 have
     their source's rate; a source whose sizes are all 0 has rate 0. Rows with the same id draw alike.
-    An empty table gives no rows, and columns besides doc_id, text, source and `keep` are not read.
+    An empty table gives no rows, and columns besides doc_id, text, source and `keep` are not read; of
+    `keep`, names that the result has itself are left out.
 
     The table of sources comes from an aggregate with map-side combine; no row of a hot source is
     dealt by its source: documents join it by a broadcast below the session's size limit, and else
     with adaptive splitting of the large key."""
+    keep = tuple(k for k in keep if k not in ("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", "goal_source"))
     sized = docs.select("doc_id", "source", *[F.col(k) for k in keep], word_count().alias("size"))
     goals = source_targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "goal_source")
     joined = sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")), "left")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.functions.components import components, settle
+from crossweave.functions.components import components, settle, shared_folder
 
 __all__ = ["components", "save"]
 
@@ -22,12 +22,8 @@ PIECE_CHARS = 2_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir); a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.crossweave.scratch", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="crossweave-scratch-")
-        spark.conf.set("spark.crossweave.scratch", base)
-    return f"{base}/crossweave-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share (spark.checkpoint.dir); in a local session where that is unset a temporary one."""
+    return f"{shared_folder(spark)}/crossweave-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +38,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a task has let go of back to the system, as a worker waits for its next task with what it keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim_heap := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim_heap(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of the text column (one row at least)."""
     for batch in batches:
@@ -54,6 +58,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, column
+    trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -260,6 +260,67 @@ def test_packing_covers_every_id_once(spark, corpus):
     assert packing.binary_lengths(2048 + 5) == [1024, 1024, 4, 1] and packing.binary_lengths(1) == [1]
 
 
+ODD = [(None, "x y", None, None), (None, None, "en", None), (4, "one two three", "en", "a"), (4, "one two three", "en", "a"), (4, "other words", "fr", "b"), (9, "", None, "a"), (2, "w " * 30_000, "en", "a")]
+
+
+def test_packing_of_rows_with_the_same_or_no_id(spark):
+    got = packing.pack(table(spark, ODD)).collect()
+    sizes = sorted(((i, len(ids_of(t)) + 1) for i, t, *_ in ODD), key=str)
+    assert sorted(((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0), key=str) == sizes
+    assert sum(r["length"] for r in got) == sum(n for _, n in sizes)
+
+
+def test_token_files_of_rows_with_the_same_or_no_id(spark, monkeypatch):
+    """Null ids first, rows of one id follow each other, and a text longer than a shard is one of its own."""
+    monkeypatch.setattr(token_store, "BLOCK_CHARS", 1000)
+    got = sorted(token_store.round_trip(table(spark, ODD), shards=3).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 2, 4, 4, 4, 9]
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(i), len(ids_of(t)) + 1, crc([*ids_of(t), 2])) for i, t, *_ in ODD)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_mixing_of_rows_with_the_same_or_no_id(spark):
+    docs = table(spark, ODD).withColumn("rate", F.lit("r")).withColumn("source_size", F.lit(7))
+    got = mixing.mix(docs, keep=("lang", "size", "rate", "source_size")).collect()
+    assert len(got) == len(ODD) and got[0].__fields__.count("rate") == 1
+    assert len({r["copies"] for r in got if r["doc_id"] == 4 and r["lang"] == "en"}) == 1
+    assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 3, 3, 30_000]
+    mixed = mixing.mixed_documents(docs, tuple(docs.columns))
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in mixing.mix(docs).collect())
+
+
+def test_language_and_fingerprints_of_repeated_rows(spark):
+    docs = table(spark, [*ODD, (10, "the thing that is", "en", "s")])  # the one text that is learned from
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()]
+    assert len(got) == len(ODD) + 1 and len({r for r in got if r[0] == 4}) == 2
+    marks = fingerprints.fingerprint(table(spark, ODD)).collect()
+    assert len(marks) == len(ODD) and len({r["fingerprint"] for r in marks if r["doc_id"] == 4}) == 2
+
+
+def test_sharding_replaces_columns_of_its_names(spark):
+    docs = table(spark, ODD).withColumn("slot", F.lit("s")).withColumn("shard", F.lit("t"))
+    placed = sharding.place(docs)
+    assert placed.columns == [*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard"]
+    assert len({r["shard"] for r in placed.collect() if r["doc_id"] == 4}) == 1 and placed.count() == len(ODD)
+
+
+def test_without_copies_loses_no_other_text(spark):
+    same = "a b c d e f"
+    rows = [(None, same, None, None), (None, same, None, None), (1, same, None, "p"), (1, same, None, "q"), (1, "other words that are here too", None, None), (2, same, None, None), (3, "", None, None), (3, None, None, None), (7, same + " g", None, None), (7, "the third text of all that there is", None, None)]
+    docs = table(spark, rows).withColumn("sid", F.lit("s")).withColumn("row", F.lit("r")).withColumn("kept_id", F.lit("k"))
+    for parts in (1, 5):
+        stay = ngram_join.without_copies(docs.repartition(parts))
+        assert stay.columns == docs.columns
+        got = sorted(((r["doc_id"], r["text"], r["source"]) for r in stay.collect()), key=str)
+        assert got == sorted([(None, same, None), (None, same, None), (1, same, got[0][2] if got[0][1] == same else "p"), (1, "other words that are here too", None), (3, "", None), (3, None, None), (7, same + " g", None), (7, "the third text of all that there is", None)], key=str)
+    assert ngram_join.without_copies(docs.limit(0)).count() == 0
+    alone = docs.where("doc_id = 2 or source = 'p'")
+    assert [r["doc_id"] for r in ngram_join.without_copies(alone).collect()] == [1]
+
+
 def test_token_files_round_trip(spark, corpus):
     rows = [*corpus, (None, "x y", None, None)]
     got = token_store.round_trip(table(spark, rows), shards=3).collect()
