@@ -67,7 +67,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregate with map-side combine and a join that can split hot nodes; a task holds its share of
     the edges, and the number of rounds grows with the logarithm of the size."""
     kind = "hi long, lo long"
-    now = settle(edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi <> lo").mapInArrow(_forest, kind), "edges")
+    # edges that Python code makes are written first, so that a task never holds two Python workers
+    now = settle(edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi <> lo"), "edges")
+    now = settle(now.mapInArrow(_forest, kind), "edges")
     state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
     while state[0]:
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
