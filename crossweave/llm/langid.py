@@ -79,8 +79,7 @@ def prototypes(train: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
                 grams = trigrams(text)
                 if lang not in counts:
                     counts[lang] = np.zeros(SYMBOLS**3, np.int64)
-                if len(grams):
-                    counts[lang] += np.bincount(grams, minlength=SYMBOLS**3)
+                np.add.at(counts[lang], grams, 1)
         for lang, n in counts.items():
             bundle = np.zeros(dimensions)
             there = np.nonzero(n)[0]
