@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.functions.components import settle
 
 MIN_DF, MIN_COOC, CUT, TOP_NEIGHBORS, MOST_ITEMS = 10, 2, 0.15, 20, 60
+#: Pairs of a block of keywords at most, and pairs that a task holds before it counts them.
+BLOCK_PAIRS, HELD_PAIRS = 1 << 24, 1 << 22
 
 
 def kw_week(keywords: DataFrame, items: DataFrame) -> DataFrame:
@@ -22,24 +28,89 @@ def kw_df(keywords: DataFrame) -> DataFrame:
     return keywords.groupBy("keyword").agg(F.count_distinct("item_id").alias("df")).crossJoin(F.broadcast(docs))
 
 
+def numbered(keywords: DataFrame) -> DataFrame:
+    """(keyword, code): the distinct keywords numbered from 0 in their order, by the sorted partitions' sizes."""
+    rows = keywords.sort("keyword").select("keyword", F.monotonically_increasing_id().alias("i"))
+    rows = settle(rows.select("keyword", F.shiftright("i", 33).alias("part"), F.col("i").bitwiseAND((1 << 33) - 1).alias("at")), "sorted")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    begins = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))  # a row for each partition
+    return settle(rows.join(F.broadcast(begins), "part").select("keyword", (F.col("begin") + F.col("at")).alias("code")), "codes")
+
+
 def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None, least: int = 1) -> DataFrame:
     """(a, b, n) with a < b: documents that hold both, among keywords of min_df documents at least; pairs of `least` documents.
 
-    Keywords get numbers in their order, so that pairs are counted as two numbers. A document's
-    keywords are gathered once and unfolded to pairs there: the only rows that are dealt by keyword
-    are counted pairs with map-side combine, and a keyword of very many documents is spread over as
-    many pairs. most_df (off by default) leaves out more frequent keywords."""
+    Keywords get numbers in their order and are dealt into blocks. A document's numbers go to each
+    block that it has a keyword of, which counts the pairs that begin there: pairs themselves are
+    never dealt out, only counted ones leave a task. A block has BLOCK_PAIRS pairs at most; one that
+    would have more, for a keyword of very many documents, is split by document and its counts are
+    added up. most_df (off by default) leaves out more frequent keywords."""
     often = df.where(F.col("df") >= min_df)
     if most_df:
         often = often.where(F.col("df") <= most_df)
-    coded = settle(often.select("keyword").sort("keyword").withColumn("code", F.monotonically_increasing_id()), "codes")
+    coded = numbered(often.select("keyword"))
     chosen = keywords.select("item_id", "keyword").join(coded, "keyword").select("item_id", "code")
-    docs = chosen.groupBy("item_id").agg(F.sort_array(F.collect_set("code")).alias("ks"))
-    first = docs.select("ks", F.posexplode("ks").alias("i", "x"))
-    pairs = first.select("x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y"))
-    counted = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
-    counted = counted.where(F.col("n") >= least) if least > 1 else counted
-    counted = counted.join(coded.toDF("a", "x"), "x").join(coded.toDF("b", "y"), "y")
+    docs = settle(chosen.groupBy("item_id").agg(F.sort_array(F.collect_set("code")).alias("ks")).where(F.size("ks") > 1), "docs")
+    pairs = F.size("ks").cast("long") * (F.size("ks") - 1) / 2
+    total, vocabulary = docs.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0], coded.count()
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(4 * total // BLOCK_PAIRS))
+    block = lambda k: F.pmod(k, F.lit(blocks))
+    work = docs.select(F.size("ks").alias("size"), F.posexplode("ks").alias("i", "k")).groupBy(block(F.col("k")).alias("block")).agg(F.sum(F.col("size") - F.col("i") - 1).alias("pairs"))
+    work = settle(work.select("block", F.greatest(F.ceil(F.col("pairs") / BLOCK_PAIRS), F.lit(1)).cast("int").alias("parts")), "blocks")
+    dealt = docs.select("item_id", "ks", F.explode(F.array_distinct(F.transform("ks", block))).alias("block")).join(work, "block")
+    key = ["block", "part"]
+    dealt = dealt.select("block", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), "parts", "ks").repartition(*key).sortWithinPartitions(*key)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add_up() -> None:
+            nonlocal keys, counts, held, size
+            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
+            if len(keys):
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+            else:
+                keys, counts = new, n
+            held, size = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, counts
+            add_up()
+            split = now[2] > 1
+            enough = np.nonzero(counts >= (1 if split else least))[0]
+            for k in range(0, len(enough), 1 << 16):
+                own = enough[k : k + (1 << 16)]
+                yield pa.record_batch([pa.array(keys[own] // vocabulary), pa.array(keys[own] % vocabulary), pa.array(counts[own]), pa.array(np.full(len(own), split))], names=["x", "y", "n", "split"])
+            keys, counts = keys[:0], counts[:0]
+
+        for batch in batches:
+            block_of, part_of, parts_of = (batch.column(k).to_numpy() for k in range(3))
+            codes, ends = batch.column(3).flatten().to_numpy(), np.cumsum(batch.column(3).value_lengths().to_numpy())
+            for i, end in enumerate(ends.tolist()):
+                if now is None or (block_of[i], part_of[i]) != now[:2]:
+                    if now is not None:
+                        yield from done()
+                    now = (block_of[i], part_of[i], parts_of[i])
+                ks = codes[ends[i - 1] if i else 0 : end]
+                at = np.nonzero(ks % blocks == now[0])[0]
+                lengths = len(ks) - 1 - at
+                stops = np.cumsum(lengths)
+                ys = np.arange(stops[-1]) + np.repeat(at + 1 - (stops - lengths), lengths)
+                held.append(np.repeat(ks[at], lengths) * vocabulary + ks[ys])
+                size += len(ys)
+                if size >= HELD_PAIRS:
+                    add_up()
+        if now is not None:
+            yield from done()
+
+    counted = dealt.mapInArrow(count, "x long, y long, n long, split boolean")
+    if not work.where("parts > 1").isEmpty():
+        counted = settle(counted, "pairs")
+        split = counted.where("split").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counted = counted.where("not split").select("x", "y", "n").union(split)
+    counted = counted.select("x", "y", "n").join(coded.toDF("a", "x"), "x").join(coded.toDF("b", "y"), "y")
     return counted.select("a", "b", "n")
 
 

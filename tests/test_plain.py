@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import random
 import re
-from collections import deque
+from collections import Counter, deque
 from datetime import date
+from itertools import combinations
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from crossweave.operators import alerts, digest, keywords
+from crossweave.functions.components import shared_folder
+from crossweave.operators import alerts, digest, index, keywords
 from crossweave.plans import registry, reviews, words
 from crossweave.sources import adapter as ad
 from crossweave.sources import ingest, sinks
@@ -248,6 +252,33 @@ def test_all_pairs_and_classes_of_titles_agree(spark):
     assert {tuple(r) for r in digest.title_pairs(titles, reviews.TITLE_CUT).collect()} == expected
 
 
+@pytest.mark.parametrize(("block", "held"), [(1 << 24, 1 << 22), (40, 1 << 22), (300, 7)])
+def test_cooccurrence_is_brute_force(spark, monkeypatch, block, held):
+    """Also where blocks are split by document and counts are added up again and again."""
+    monkeypatch.setattr(index, "BLOCK_PAIRS", block)
+    monkeypatch.setattr(index, "HELD_PAIRS", held)
+    rng = random.Random(8)
+    docs = {i: {w for w in map(str, range(14)) if rng.random() < 0.4} | {"hot"} for i in range(60)} | {99: set(), 100: {"alone"}}
+    rows = spark.createDataFrame([(i, w) for i, ws in docs.items() for w in ws], "item_id long, keyword string")
+    df = index.kw_df(rows)
+    counts = Counter(p for ws in docs.values() for p in combinations(sorted(ws), 2))
+    for least in (1, 12):
+        got = {(r["a"], r["b"]): r["n"] for r in index.cooccurrence(rows, df, 2, least=least).collect()}
+        assert got == {p: n for p, n in counts.items() if n >= least}
+    assert index.cooccurrence(rows.limit(0), df.limit(0), 2).count() == 0
+
+
+def test_scratch_on_a_cluster_needs_the_shared_folder():
+    def session(master, folder=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}), conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None))
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "hdfs://shared")) == "hdfs://shared"
+    assert "crossweave" in shared_folder(session("local[8]")) and "crossweave" in shared_folder(session("local"))
+
+
 @pytest.mark.parametrize("cut", [0.22, 0.5, 0.9, 1.0])
 def test_title_pairs_are_brute_force(spark, cut):
     titles = [(k, x) for k, x in enumerate(["abcdef", "abcdeg", "bcdefg", "abcdefghijkl", "xyzxyz", "a-b c!def", "abc", None, "zzzzzz", "ghijklabcdef", "abcdef"])]
