@@ -352,14 +352,16 @@ def _inherited(first: list[str], blocks: list[Block], trusted: list[bool]) -> li
 
 
 def _largest_run(first: list[str], blocks: list[Block]) -> list[str]:
-    """Where nothing is good or near: the run of undecided blocks with most text, if that is not a few words."""
-    best, most, k = range(0), LENGTH_LOW - 1, 0
+    """Where nothing is good or near: the run of undecided blocks with most text, if that is more than a few words or a
+    heading with a text under it."""
+    best, most, k = range(0), 0, 0
     while k < len(first):
         to = k
         while to < len(first) and first[to] == "short":
             to += 1
         weight = sum(b.weight() for b in blocks[k:to])
-        if weight > most:
+        under = any(a.heading and not b.heading for a, b in zip(blocks[k:to], blocks[k + 1 : to], strict=False))
+        if weight > most and (weight >= LENGTH_LOW or under):
             best, most = range(k, to), weight
         k = max(to, k + 1)
     return ["good" if i in best else "bad" for i in range(len(first))]
