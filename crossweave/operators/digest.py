@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossweave.functions.components import settle
 from crossweave.functions.text import grams2
 from crossweave.operators.axes import with_axes
 
@@ -38,8 +39,9 @@ def title_classes(titles: DataFrame, cut: float = CUT) -> tuple[DataFrame, DataF
     Both sets must have four pairs at least. Shared pairs are found by joining on (week, gram): with the
     rarest pairs first, a set that shares `cut` of itself with a larger one shares one of its first
     n - ceil(cut * n) + 1, and only those are joined with the whole larger set."""
-    rows = titles.select("week", "id", F.sort_array(grams2("title")).alias("g")).where(F.size("g") >= LEAST_GRAMS)
-    kinds = rows.groupBy("week", "g").agg(F.min("id").alias("rep")).withColumn("n", F.size("g"))
+    number = lambda g: F.ascii(g).cast("long") * (1 << 21) + F.ascii(F.substring(g, 2, 1))  # noqa: E731  a pair's code points as one number
+    rows = settle(titles.select("week", "id", F.sort_array(F.transform(grams2("title"), number)).alias("g")).where(F.size("g") >= LEAST_GRAMS), "grams")
+    kinds = settle(rows.groupBy("week", "g").agg(F.min("id").alias("rep")).withColumn("n", F.size("g")), "kinds")
     members = rows.join(kinds, ["week", "g"]).select("week", "rep", "id")
     grams = kinds.select("week", "rep", "n", F.explode("g").alias("gram"))
     freq = grams.groupBy("week", "gram").agg(F.count("*").alias("df"))
