@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossweave.llm import fingerprints, html_text, langid, mixing, ngram_join, packing, sharding, token_store, urls, vectors
+from crossweave.llm import fingerprints, html_text, langid, lexical, mixing, ngram_join, packing, quality, sharding, spelling, token_store, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.listed_urls(pages))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_sharding,
         op10_url_filters,
+        op11_lexical_search,
+        op12_spelling_variants,
+        op13_quality_classifier,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL, "op10_url_filters": urls.SQL}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL, "op10_url_filters": urls.SQL, "op11_lexical_search": lexical.SQL}

@@ -109,23 +109,31 @@ def span_hashes(data: np.ndarray, first: np.ndarray, numbers: np.ndarray = BYTES
     return [mix64(h) for h in hashes]
 
 
-def word_hashes(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts in turn, A-Z taken as a-z, and the position where each text's words begin."""
+def word_starts(texts: list[str | None] | pa.Array, numbers: np.ndarray = _WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte of each word, number of the word with which each text begins); bytes whose number is 0 lie between words."""
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     if offsets[-1] == offsets[0]:
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     edges = offsets - offsets[0]
-    letter = _WORD_BYTES[data] != 0
+    letter = (numbers != 0)[data]
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
     heads = edges[:-1][edges[:-1] < len(data)]
     begins[heads] = letter[heads]
     first = np.nonzero(begins)[0]
-    return span_hashes(data, first, _WORD_BYTES)[0], np.searchsorted(first, edges)
+    return data, first, np.searchsorted(first, edges)
+
+
+def word_hashes(texts: list[str | None] | pa.Array, numbers: np.ndarray = _WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in turn and the position where each text's words begin.
+
+    By default words are `[^\\x20\\x09-\\x0D]+` with A-Z taken as a-z."""
+    data, first, starts = word_starts(texts, numbers)
+    return span_hashes(data, first, numbers)[0], starts
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
