@@ -22,7 +22,7 @@ from crossweave.llm.shared import BYTES, PIECE_CHARS, bit_position, bits_set, me
 __all__ = ["build_index", "search"]
 
 #: Documents are indexed in blocks of about so many bytes of text (one document at least).
-BLOCK_CHARS = 4 * PIECE_CHARS
+BLOCK_CHARS = 2 * PIECE_CHARS
 #: Items are searched together until they have so many terms; more items are further passes over the index.
 TERMS_AT_ONCE = 1 << 18
 #: States that are opened in one step.
@@ -36,8 +36,8 @@ TERM_BYTES[65:91] = BYTES[97:123]
 TERM_BYTES[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
 
 #: Bits set in a number under 16, and for each quarter of a cell with such a mask its place among the quarters there (-1: not there).
-_COUNT = np.array([bin(m).count("1") for m in range(16)], np.int64)
-_PLACE = np.array([[bin(m & (1 << k) - 1).count("1") if m >> k & 1 else -1 for k in range(4)] for m in range(16)], np.int64)
+_COUNT = np.array([bin(m).count("1") for m in range(16)], np.int32)
+_PLACE = np.array([[bin(m & (1 << k) - 1).count("1") if m >> k & 1 else -1 for k in range(4)] for m in range(16)], np.int32)
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -83,10 +83,10 @@ class Treap:
 
     @classmethod
     def unpack(cls, masks: bytes, drops: bytes, height: int) -> Treap:
-        packed, maxima = np.frombuffer(masks, np.uint8), np.frombuffer(drops, np.uint32).astype(np.int64)
+        packed, maxima = np.frombuffer(masks, np.uint8), np.frombuffer(drops, np.uint32).astype(np.int32)
         mask = np.stack([packed & 15, packed >> 4], axis=1).ravel()
         counts = _COUNT[mask]
-        ends = np.cumsum(counts) + 1
+        ends = (np.cumsum(counts) + 1).astype(np.int32)
         first = ends - counts
         a, b = 0, 1
         for _ in range(height):  # a level's cells are a to b, those inside them c to d
@@ -94,7 +94,7 @@ class Treap:
             maxima[c:d] = np.repeat(maxima[a:b], counts[a:b]) - maxima[c:d]
             a, b = c, d
         spare = len(maxima) + 1 - len(mask)
-        return cls(height, np.append(mask, np.zeros(spare, np.uint8)), np.append(first, np.zeros(spare, np.int64)), np.append(maxima, 0))
+        return cls(height, np.append(mask, np.zeros(spare, np.uint8)), np.append(first, np.zeros(spare, np.int32)), np.append(maxima, np.int32(0)))
 
     def best(self, rows: np.ndarray, weights: np.ndarray, doc_ids: np.ndarray, k: int, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the documents found before and those of this block: (scores, ids), by score and then by id.
@@ -180,6 +180,7 @@ def _block(parts: list[tuple], doc_ids: np.ndarray, n_docs: int, n_terms: int) -
 
 
 _INDEX = ("corpus_docs", "corpus_terms", "height", "doc_ids", "terms", "row_of", "dfs", "masks", "drops")
+_SEARCHED = ("height", "doc_ids", "terms", "row_of", "masks", "drops")
 _INDEX_TYPE = "corpus_docs long, corpus_terms long, height int, doc_ids binary, terms binary, row_of binary, dfs binary, masks binary, drops binary"
 
 
@@ -201,7 +202,8 @@ def build_index(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             if size >= block_chars:
                 if made := _block(parts, np.concatenate(ids), n_docs, n_terms):
                     yield pa.record_batch(made, names=_INDEX)
-                parts, ids, size = [], [], 0
+                parts, ids, size, made = [], [], 0, None
+                trim()
         if parts and (made := _block(parts, np.concatenate(ids), n_docs, n_terms)):
             yield pa.record_batch(made, names=_INDEX)
         trim()
@@ -270,7 +272,7 @@ def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asked)
         for batch in batches:
             for at in range(batch.num_rows):
-                raw = {name: batch.column(c)[at].as_buffer() for c, name in enumerate(_INDEX[3:], 1)}
+                raw = {name: batch.column(c)[at].as_buffer() for c, name in enumerate(_SEARCHED[1:], 1)}
                 tree = Treap.unpack(raw["masks"], raw["drops"], batch.column(0)[at].as_py())
                 terms, row_of, doc_ids = (np.frombuffer(raw[c], t) for c, t in (("terms", np.uint64), ("row_of", np.uint32), ("doc_ids", np.int64)))
                 for i, (_, _, hashes, weights) in enumerate(asked):
@@ -278,6 +280,8 @@ def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type
                     here = (terms[spot] == hashes) & (weights > 0)
                     if here.any():
                         best[i] = tree.best(row_of[spot[here]].astype(np.int64), weights[here], doc_ids, k, best[i])
+                del raw, tree, terms, row_of, doc_ids
+                trim()
         for (q, item_id, _, _), (scores, ids) in zip(asked, best, strict=True):
             if len(scores):
                 found = pa.array(ids, mask=ids == NO_ID)
@@ -285,7 +289,7 @@ def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type
                 yield pa.record_batch([pa.array([q] * len(ids)), pa.array([item_id] * len(ids), kind), found, pa.array(scores)], names=["q", "item_id", "doc_id", "score"])
         trim()
 
-    return index.select(*_INDEX[2:]).mapInArrow(run, f"q long, item_id {item_type}, doc_id long, score long")
+    return index.select(*_SEARCHED).mapInArrow(run, f"q long, item_id {item_type}, doc_id long, score long")
 
 
 def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
