@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from crossweave.llm.shared import BYTES, PIECE_CHARS, bit_position, bits_set, membership_bits, mix64, pieces, save, trim, word_hashes, word_starts
+from crossweave.llm.shared import BYTES, PIECE_CHARS, bit_position, bits_set, membership_bits, pieces, save, trim, word_hashes, word_starts
 
 __all__ = ["build_index", "search"]
 
@@ -262,10 +264,10 @@ def _passes(items: DataFrame) -> Iterator[list]:
         yield held
 
 
-def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type: str) -> DataFrame:
+def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type: DataType) -> DataFrame:
     """(q, item_id, doc_id, score): each task's k best documents of each item."""
     asked = [(r["q"], r["item_id"], np.array(r["terms"], np.int64).view(np.uint64), np.array(r["weights"], np.int64)) for r in rows]
-    shared = spark.sparkContext.broadcast(asked)
+    shared, kind = spark.sparkContext.broadcast(asked), to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -285,11 +287,10 @@ def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type
         for (q, item_id, _, _), (scores, ids) in zip(asked, best, strict=True):
             if len(scores):
                 found = pa.array(ids, mask=ids == NO_ID)
-                kind = pa.array([item_id]).type if item_id is not None else None
                 yield pa.record_batch([pa.array([q] * len(ids)), pa.array([item_id] * len(ids), kind), found, pa.array(scores)], names=["q", "item_id", "doc_id", "score"])
         trim()
 
-    return index.select(*_SEARCHED).mapInArrow(run, f"q long, item_id {item_type}, doc_id long, score long")
+    return index.select(*_SEARCHED).mapInArrow(run, f"q long, item_id {item_type.simpleString()}, doc_id long, score long")
 
 
 def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
@@ -304,7 +305,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     so that later blocks are opened only where they can beat them. Items go to the tasks in passes
     of a bounded number of terms."""
     spark = index.sparkSession
-    item_type = dict(items.dtypes)["item_id"]
+    item_type = items.schema["item_id"].dataType
     corpus = index.select("corpus_docs").first()
     found = None
     if corpus:
@@ -312,7 +313,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
             part = _search(spark, index, rows, k, item_type)
             found = part if found is None else found.union(part)
     if found is None:
-        return spark.createDataFrame([], f"item_id {item_type}, rank int, doc_id long, score long")
+        return spark.createDataFrame([], f"item_id {item_type.simpleString()}, rank int, doc_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
