@@ -113,8 +113,7 @@ def ego_expand(kw_neighbor: DataFrame, center: str, hops: int = 2, per_hop: int
 
 def induced_edges(kw_neighbor: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, npmi, cooc): edges between chosen nodes, each once."""
-    here = F.broadcast(nodes.select("keyword"))
-    rows = kw_neighbor.join(here, "keyword", "left_semi").join(F.broadcast(nodes.select(F.col("keyword").alias("neighbor"))), "neighbor", "left_semi")
+    rows = kw_neighbor.join(nodes.select("keyword"), "keyword", "left_semi").join(nodes.select(F.col("keyword").alias("neighbor")), "neighbor", "left_semi")
     return rows.groupBy(F.least("keyword", "neighbor").alias("a"), F.greatest("keyword", "neighbor").alias("b")).agg(F.max("npmi").alias("npmi"), F.max("cooc").alias("cooc"))
 
 
@@ -132,7 +131,8 @@ def shortest_hops(nodes: DataFrame, found_edges: DataFrame, center: str, most: i
 
 
 def suggest_keywords(kw_meta: DataFrame, part: str, limit: int = 10, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(place, keyword, df): completions of a part, without fragments of longer ones and without extensions of chosen ones.
+    """(place, keyword, df): completions of a part, without fragments of longer ones and without
+    extensions of chosen ones that are at least half as frequent.
 
     The most frequent limit * 8 are cut on the cluster; the choice among them depends on its own order."""
     rows = kw_meta.where(F.col("keyword").contains(part)).orderBy(F.desc("df"), "keyword").limit(limit * 8)
@@ -147,7 +147,7 @@ def suggest_keywords(kw_meta: DataFrame, part: str, limit: int = 10, stop_words:
         out: list[tuple[str, int]] = []
         for k, n in words:
             piece = any(k != w and k in w and m >= 0.5 * n for w, m in words)
-            longer = any(c in k for c, _ in out)
+            longer = any(c in k and n >= 0.5 * m for c, m in out)
             if not piece and not longer and len(out) < limit:
                 out.append((k, n))
         yield pd.DataFrame({"place": range(1, len(out) + 1), "keyword": [k for k, _ in out], "df": [n for _, n in out]}).astype({"place": "int32", "keyword": "object", "df": "int64"})

@@ -15,6 +15,8 @@ from crossweave.plans.sql import sql
 from crossweave.sources import adapter as ad
 from crossweave.streaming import streams as st
 
+#: Tasks that write a part of a replayed table.
+FILES = 4
 WATCH = ["th_t", "thing", "nosuchword", "ation"]
 
 _HITS = "hits AS (SELECT keyword, place, id, title FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY published_at DESC, id DESC) AS place FROM items, (VALUES " + ", ".join(f"('{k}')" for k in WATCH) + ") k(keyword) WHERE published_at >= TIMESTAMP '2024-03-20' - INTERVAL 7 DAY AND published_at <= TIMESTAMP '2024-03-20' AND (kept OR source = 'src0') AND (title ILIKE '%' || keyword || '%' OR summary ILIKE '%' || keyword || '%')) WHERE place <= 20)\n"
@@ -205,7 +207,7 @@ def stream_dedup(t):
     newest = rows.agg(F.max("ts").alias("newest"))
     late = rows.where("event_id % 10 = 0").crossJoin(F.broadcast(newest)).where("ts < newest - interval 15 days").select("event_id", F.col("newest").alias("ts"), "event_type", F.lit(1).alias("again"))
     doubled = rows.union(rows.where("event_id % 3 = 0"))
-    st.replay(doubled, lambda s: st.run_to_table(st.bounded_dedup(s, ["event_id"], "ts", "2 days"), f"{base}/checkpoint", f"{base}/out"), 4, then=late)
+    st.replay(doubled, lambda s: st.run_to_table(st.bounded_dedup(s, ["event_id"], "ts", "2 days"), f"{base}/checkpoint", f"{base}/out"), 4, then=late, files=FILES)
     return t.spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -213,7 +215,7 @@ def stream_dedup(t):
 def stream_weekly(t):
     """Weekly counts of a stream, complete at its end."""
     base = st.scratch(t.spark)
-    st.replay(_events(t), lambda s: st.run_to_table(st.weekly_counts(s, "ts", "event_type"), f"{base}/checkpoint", f"{base}/out", "complete"), 3)
+    st.replay(_events(t), lambda s: st.run_to_table(st.weekly_counts(s, "ts", "event_type"), f"{base}/checkpoint", f"{base}/out", "complete"), 3, files=FILES)
     rows = t.spark.read.parquet(f"{base}/out")
     last = rows.agg(F.max("batch").alias("last"))
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("week_start", "event_type", "n")
@@ -224,14 +226,14 @@ def stream_weekly_bounded(t):
     """Weekly counts with a watermark: a week is told once, when no row of it is awaited, and its state let go."""
     base = st.scratch(t.spark)
     last = _events(t).orderBy(F.desc("ts")).limit(1)  # one more file, so that the watermark reaches its end
-    st.replay(_events(t).join(last.select("event_id"), "event_id", "left_anti"), lambda s: st.run_to_table(st.weekly_counts(s, "ts", "event_type", "1 day"), f"{base}/checkpoint", f"{base}/out"), 3, then=last)
+    st.replay(_events(t).join(last.select("event_id"), "event_id", "left_anti"), lambda s: st.run_to_table(st.weekly_counts(s, "ts", "event_type", "1 day"), f"{base}/checkpoint", f"{base}/out"), 3, then=last, files=FILES)
     return t.spark.read.parquet(f"{base}/out").select("week_start", "event_type", "n")
 
 
 @query("stream_sliding_compare", "SELECT w AS window_start, w + INTERVAL 28 DAY AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('week', ts)::TIMESTAMP - to_days(7 * k) for k in range(4)]) AS w FROM events) GROUP BY 1, 2, 3")
 def stream_sliding(t):
     base = st.scratch(t.spark)
-    st.replay(_events(t), lambda s: st.run_to_table(st.sliding_counts(s, "ts", "event_type"), f"{base}/checkpoint", f"{base}/out", "complete"), 2)
+    st.replay(_events(t), lambda s: st.run_to_table(st.sliding_counts(s, "ts", "event_type"), f"{base}/checkpoint", f"{base}/out", "complete"), 2, files=FILES)
     rows = t.spark.read.parquet(f"{base}/out")
     last = rows.agg(F.max("batch").alias("last"))
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("window_start", "window_end", "event_type", "n")
@@ -241,10 +243,10 @@ def stream_sliding(t):
 def stream_alerts(t):
     """Watch hits streamed in twice: each item is told once."""
     base = st.scratch(t.spark)
-    hits = settle(_hits(t).select("keyword", "id").coalesce(1), "hits").coalesce(1)
+    hits = settle(_hits(t).select("keyword", "id"), "hits").repartition(2)
     hits.write.parquet(f"{base}/in/a=1")
     hits.write.parquet(f"{base}/in/a=2")
-    stream = t.spark.readStream.schema("keyword string, id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in")
+    stream = t.spark.readStream.schema("keyword string, id long").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{base}/in")
     st.stream_alerts(stream, f"{base}/state", f"{base}/out", f"{base}/checkpoint")
     return t.spark.read.parquet(f"{base}/out").groupBy("keyword", "id").agg(F.count("*").alias("n"))
 
@@ -255,14 +257,14 @@ def late_routing(t):
     """Every tenth event comes after all others: those that are late by then are kept aside and still counted."""
     base = st.scratch(t.spark)
     rows = _events(t)
-    st.replay(rows.where("event_id % 10 <> 0"), lambda s: st.route_late(s, "ts", "5 days", f"{base}/counts", f"{base}/late", f"{base}/edges", f"{base}/checkpoint"), 3, then=rows.where("event_id % 10 = 0"))
+    st.replay(rows.where("event_id % 10 <> 0"), lambda s: st.route_late(s, "ts", "5 days", f"{base}/counts", f"{base}/late", f"{base}/edges", f"{base}/checkpoint"), 3, then=rows.where("event_id % 10 = 0"), files=FILES)
     return st.routed_counts(t.spark, f"{base}/counts", f"{base}/late")
 
 
 @query("stream_source_freshness", "SELECT event_type, max(ts) AS last_at, date_diff('day', max(ts), TIMESTAMP '2024-02-03') > 3 AS late FROM events GROUP BY event_type")
 def stream_freshness(t):
     base = st.scratch(t.spark)
-    st.replay(_events(t), lambda s: st.run_to_table(st.freshness(s, "ts", "event_type", "2024-02-03 00:00:00"), f"{base}/checkpoint", f"{base}/out", "complete"), 2)
+    st.replay(_events(t), lambda s: st.run_to_table(st.freshness(s, "ts", "event_type", "2024-02-03 00:00:00"), f"{base}/checkpoint", f"{base}/out", "complete"), 2, files=FILES)
     rows = t.spark.read.parquet(f"{base}/out")
     last = rows.agg(F.max("batch").alias("last"))
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("event_type", "last_at", "late")

@@ -9,7 +9,7 @@ from crossweave.operators import graph as gr
 from crossweave.operators import index as ix
 from crossweave.operators import keywords as kw
 from crossweave.operators import trend as tr
-from crossweave.plans.registry import query
+from crossweave.plans.registry import ORACLES, query
 from crossweave.plans.sql import sql
 from crossweave.sources import adapter as ad
 from crossweave.sources import sinks
@@ -294,10 +294,10 @@ def expand(t):
 
 
 @query("ego_induced_edges", sql("""SELECT a, b, floor(npmi * 1e8 + 0.5) AS npmi, cooc FROM (SELECT least(keyword, neighbor) AS a, greatest(keyword, neighbor) AS b, max(npmi) AS npmi, max(cooc) AS cooc FROM kw_neighbor
-WHERE keyword IN (SELECT keyword FROM kw_meta ORDER BY df, keyword LIMIT 60) AND neighbor IN (SELECT keyword FROM kw_meta ORDER BY df, keyword LIMIT 60) GROUP BY 1, 2)""", "kw_neighbor", "kw_meta"))
+WHERE keyword IN (SELECT keyword FROM kw_meta) AND neighbor IN (SELECT keyword FROM kw_meta) GROUP BY 1, 2)""", "kw_neighbor", "kw_meta"))
 def induced(t):
-    few = t.kw_meta.orderBy("df", "keyword").limit(60)
-    return gr.induced_edges(t.kw_neighbor, few).select("a", "b", _scaled("npmi"), "cooc")
+    """The edges among all keywords, each once."""
+    return gr.induced_edges(t.kw_neighbor, t.kw_meta).select("a", "b", _scaled("npmi"), "cooc")
 
 
 @query("ego_chosen_edges")
@@ -314,13 +314,10 @@ def hops(t):
     return gr.shortest_hops(found, gr.induced_edges(t.kw_neighbor, found), hub)
 
 
-@query("neighbors_topk", sql("SELECT keyword, neighbor, cooc, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY npmi DESC, neighbor DESC) AS place FROM kw_neighbor WHERE cooc >= 3 AND keyword IN (SELECT keyword FROM kw_meta ORDER BY df, keyword LIMIT 40)) WHERE place <= 5", "kw_neighbor", "kw_meta"))
+@query("neighbors_topk", sql("SELECT keyword, neighbor, cooc, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY npmi DESC, neighbor DESC) AS place FROM kw_neighbor WHERE cooc >= 3 AND keyword IN (SELECT keyword FROM kw_meta)) WHERE place <= 5", "kw_neighbor", "kw_meta"))
 def topk(t):
-    few = t.kw_meta.orderBy("df", "keyword").limit(40)
-    return gr.neighbors_topk(t.kw_neighbor, few, 5, 3).select("keyword", "neighbor", "cooc", "place")
-
-
-@query("neighbors_topk_all", sql("SELECT keyword, neighbor, cooc, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY npmi DESC, neighbor DESC) AS place FROM kw_neighbor WHERE cooc >= 3 AND keyword IN (SELECT keyword FROM kw_meta)) WHERE place <= 5", "kw_neighbor", "kw_meta"))
-def topk_all(t):
     """The neighbours of every keyword."""
     return gr.neighbors_topk(t.kw_neighbor, t.kw_meta, 5, 3).select("keyword", "neighbor", "cooc", "place")
+
+
+query("neighbors_topk_all", ORACLES["neighbors_topk"])(topk)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +59,11 @@ def append_new(spark: SparkSession, path: str, new: DataFrame) -> int:
     The table is partitioned by source, and only the partitions of the batch's sources are read."""
     try:
         target = spark.read.schema(new.schema).parquet(path)
-        target.limit(1).count()
-    except Exception as error:  # the first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # the first batch: no table yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         target = spark.createDataFrame([], new.schema)
-    touched = target.join(F.broadcast(new.select("source").distinct()), "source", "left_semi")
+    touched = target.join(new.select("source").distinct(), "source", "left_semi")
     counted = Observation()
     insert_ignore(touched, new).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("source").parquet(path)
     return counted.get["n"]

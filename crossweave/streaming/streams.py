@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.functions.components import settle, shared_folder
+from crossweave.functions.components import shared_folder
 from crossweave.operators.alerts import alert_state
 from crossweave.sources.ingest import append_new, normalize_items, parse_lines
 
@@ -25,13 +25,13 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     """Landed JSON lines to the items table, each key once, also when a batch is run again.
 
     A batch is cut to unseen keys against the table before it is appended, and the checkpoint moves
-    on only after that."""
+    on only after that. Rejects are a part of their own for each batch."""
 
-    def batch(lines: DataFrame, _: int) -> None:
+    def batch(lines: DataFrame, number: int) -> None:
         records, bad = parse_lines(lines)
         append_new(lines.sparkSession, target, normalize_items(records, now))
         if rejects:
-            bad.write.mode("append").text(rejects)
+            bad.write.mode("overwrite").text(f"{rejects}/batch={number}")
 
     run = read_lines(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -72,22 +72,28 @@ def run_to_table(streamed: DataFrame, checkpoint: str, path: str, mode: str = "a
     writer.foreachBatch(batch).start().awaitTermination()
 
 
-def stream_alerts(hits: DataFrame, state_path: str, out: str, checkpoint: str, most: int = 5000) -> None:
-    """Each hit (keyword, id) is told once: a batch is cut against the remembered ids, written, then remembered."""
+def stream_alerts(hits: DataFrame, state_path: str, out: str, checkpoint: str, most: int = 5000, before: DataFrame | None = None) -> None:
+    """Each hit (keyword, id) is told once, whatever batch is run again and wherever a run breaks off.
+
+    What a batch tells is a function of its rows and of the ids remembered after the batch before, and
+    what it remembers is written apart from what it read: state_path has two slots, a batch reads its
+    predecessor's and writes its own, so that its input is whole until the next batch has begun. The
+    output of a batch is a part of `out` of its own, written before its state. A batch that is run
+    again thus writes the same two parts anew. `before` has ids that are remembered at the start, for a
+    checkpoint that is new. The state has `most` ids at most (see alert_state)."""
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        try:
-            seen = spark.read.schema("id long").parquet(state_path)
-            seen.limit(1).count()
-        except Exception as error:  # nothing remembered yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            seen = spark.createDataFrame([], "id long")
-        new = rows.dropDuplicates(["keyword", "id"]).join(seen.withColumnRenamed("id", "seen"), F.col("id") == F.col("seen"), "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        told = spark.read.parquet(f"{out}/batch={number}")
-        settle(alert_state(seen, told, most), "alerts").write.mode("overwrite").parquet(state_path)
+        if number:
+            seen = spark.read.schema("id long, after long").parquet(f"{state_path}/slot={(number - 1) % 2}").where(F.col("after") == number - 1).select("id")
+        else:
+            seen = before.select("id") if before is not None else spark.createDataFrame([], "id long")
+        others = [c for c in rows.columns if c not in ("keyword", "id")]
+        once = rows.groupBy("keyword", "id").agg(F.min(F.struct(F.lit(0).alias("one"), *others)).alias("r"))
+        new = once.join(seen.select(F.col("id").alias("seen")), F.col("id") == F.col("seen"), "left_anti")
+        new.select(*[F.col(f"r.`{c}`").alias(c) if c in others else F.col(c) for c in rows.columns]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        told = spark.read.schema(rows.schema).parquet(f"{out}/batch={number}")
+        alert_state(seen, told, most).withColumn("after", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{state_path}/slot={number % 2}")
 
     hits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -124,14 +130,15 @@ def routed_counts(spark: SparkSession, table: str, backfill: str) -> DataFrame:
     return on_time.union(late).groupBy("week").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"), (F.sum("on_time") + F.sum("late")).alias("n"))
 
 
-def replay(events: DataFrame, work: Callable[[DataFrame], None], pieces: int = 4, order: str = "ts", then: DataFrame | None = None) -> None:
-    """Writes a table as a few files in order of time, and `then` as the last one, and streams them one by one: for
-    tests and queries that hold a stream against the table."""
+def replay(events: DataFrame, work: Callable[[DataFrame], None], pieces: int = 4, order: str = "ts", then: DataFrame | None = None, files: int = 1) -> None:
+    """Writes a table in parts in order of time, and `then` as the last one, and streams them part by part: for
+    tests and queries that hold a stream against the table. A part is written by so many tasks,
+    which needs several times as many rows in all parts but the last."""
     spark = events.sparkSession
     base = scratch(spark)
     for k, part in enumerate([*split_by_time(events, pieces, order), *([then] if then is not None else [])]):
-        part.select(*events.columns).coalesce(1).write.parquet(f"{base}/in/part={k}")
-    work(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in"))
+        part.select(*events.columns).repartition(files).write.parquet(f"{base}/in/part={k}")
+    work(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{base}/in"))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import shutil
 from collections import Counter, deque
 from datetime import date
 from itertools import combinations
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossweave.functions.components import shared_folder
-from crossweave.operators import alerts, digest, index, keywords
+from crossweave.operators import alerts, digest, graph, index, keywords
 from crossweave.plans import registry, reviews, words
 from crossweave.sources import adapter as ad
 from crossweave.sources import ingest, sinks
@@ -98,12 +99,21 @@ def test_suggestions_are_the_plain_choice(spark):
     chosen = []
     for k, n in first:
         fragment = [w for w, m in first if k in w and w != k and 2 * m >= n]
-        if not fragment and not [c for c, _ in chosen if c in k] and len(chosen) < 10:
+        if not fragment and not [c for c, m in chosen if c in k and 2 * n >= m] and len(chosen) < 10:
             chosen.append((k, n))
     assert rows_of(spark, "suggest_keywords", "place", "keyword", "df") == [(p, k, n) for p, (k, n) in enumerate(chosen, 1)]
     assert len(chosen) > 3
 
 
+def test_a_rare_extension_of_a_chosen_word_stays(spark):
+    meta = spark.createDataFrame([("shop", 100), ("shops", 60), ("shopper", 10), ("workshop", 49), ("bishop", 50), ("sho", 90), ("stop shop", 30)], "keyword string, df long")
+    found = graph.suggest_keywords(meta, "sho", 10, ("stop shop",)).orderBy("place").collect()
+    # shop is a fragment of shops (60 of 100) and sho of shop; bishop and workshop hold shop, which is not chosen; shopper holds neither
+    assert [(r["place"], r["keyword"]) for r in found] == [(1, "shops"), (2, "bishop"), (3, "workshop"), (4, "shopper")]
+    meta = spark.createDataFrame([("shop", 100), ("shops", 30), ("shopshop", 50)], "keyword string, df long").where("keyword <> 'shopshop'")
+    assert [r["keyword"] for r in graph.suggest_keywords(meta, "shop").orderBy("place").collect()] == ["shop", "shops"]  # 30 is under half of 100
+
+
 def plain_expansion(neighbours, center, hops=2, per_hop=8, most=40):
     chosen, edge = {center: 0}, [center]
     for hop in range(1, hops + 1):
@@ -222,6 +232,49 @@ def test_an_item_is_told_once_for_a_keyword(spark, tmp_path):
     assert sorted((r["keyword"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("j", 1), ("k", 1), ("k", 2)]
 
 
+def alert_runs(spark, folder, rows_of_batch, most=5000):
+    """A function that streams all batches landed so far, and one that reads what was told, by batch."""
+    for k, rows in enumerate(rows_of_batch):
+        spark.createDataFrame(rows, "keyword string, id long, title string").coalesce(1).write.parquet(f"{folder}/in/b={k}")
+
+    def run():
+        stream = spark.readStream.schema("keyword string, id long, title string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        streams.stream_alerts(stream, f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", most)
+
+    def told():
+        return sorted((r["batch"], r["keyword"], r["id"], r["title"]) for r in spark.read.parquet(f"{folder}/out").collect())
+
+    return run, told
+
+
+@pytest.mark.parametrize("crash", ["before output", "after output", "after state"])
+def test_alerts_are_told_once_wherever_a_batch_breaks_off(spark, tmp_path, crash):
+    batches = [[("a", k, f"t{k}") for k in range(10)], [("a", k, "again") for k in range(5, 15)] + [("b", 20, "y"), ("b", 20, "x")]]
+    run, told = alert_runs(spark, tmp_path, batches)
+    run()
+    first = told()
+    assert first == sorted([(0, "a", k, f"t{k}") for k in range(10)] + [(1, "a", k, "again") for k in range(10, 15)] + [(1, "b", 20, "x")])
+    last = tmp_path / "checkpoint/commits/1"
+    last.unlink()
+    (last.parent / ".1.crc").unlink(missing_ok=True)
+    if crash != "after state":
+        shutil.rmtree(tmp_path / "state/slot=1")
+    if crash == "before output":
+        shutil.rmtree(tmp_path / "out/batch=1")
+    run()
+    assert told() == first
+    run()  # nothing landed since
+    assert told() == first
+
+
+def test_one_more_than_is_remembered_forgets_the_least(spark, tmp_path):
+    batches = [[("a", k, "t") for k in range(5001)], [("a", 0, "t"), ("a", 1, "t"), ("a", 5000, "t")], [("a", 1, "t"), ("a", 2, "t")]]
+    run, told = alert_runs(spark, tmp_path, batches)
+    run()
+    # 0 was forgotten, told again, and not remembered, as it is the least
+    assert [(b, i) for b, _, i, _ in told() if b] == [(1, 0)]
+
+
 def test_late_rows_are_kept_aside_and_a_batch_run_again_counts_once(spark, tmp_path):
     at = lambda *days: spark.createDataFrame([(d, f"2024-01-{d:02d} 00:00:00") for d in days], "event_id long, ts string").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     path = [str(tmp_path / x) for x in ("counts", "late", "edges")]
