@@ -69,54 +69,53 @@ def title_pairs(titles: DataFrame, cut: float = CUT) -> DataFrame:
     return crossed.union(same).select("week", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def _fresh(candidates: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
+    """(week, key): candidates (week, rep, key) to which no told class and no candidate with a lesser key is close.
+
+    Whether a candidate is fresh hangs on what was looked at before it, not on what was chosen, so
+    that keys of classes tell it: a class's first candidate is fresh if no class near it begins earlier."""
+    first = candidates.where("rep is not null").groupBy("week", "rep").agg(F.min("key").alias("key"))
+    earlier = near.join(first.toDF("week", "other", "other_key"), ["week", "other"]).groupBy("week", "rep").agg(F.min("other_key").alias("other_key"))
+    closed = told.union(near.join(told.toDF("week", "other"), ["week", "other"]).select("week", "rep"))
+    open_ones = first.join(closed, ["week", "rep"], "left_anti").join(earlier, ["week", "rep"], "left")
+    alone = candidates.where("rep is null").select("week", "key")  # too few pairs of characters to be close to any
+    return open_ones.where(F.col("other_key").isNull() | (F.col("key") < F.col("other_key"))).select("week", "key").union(alone)
+
+
 def digest_sections(pool: DataFrame, item_axes: DataFrame, axes: list[str], top_crossing: int = 5, per_axis: int = 5, cut: float = CUT) -> DataFrame:
-    """(week, section, place, id): the crossing section (three axes first, then two), then each axis's by relevance.
+    """(week, section, place, id): the crossing section (three axes first, then two), then each of the given axes by relevance.
 
     An item appears once, regulatory ones nowhere; a title close to one seen before is passed over but
-    still counts as seen. The choice depends on its own order, so a week is one group, of all its
-    items with an axis that are not regulatory."""
+    still counts as seen. What a section sees are its candidates up to its last choice, or all where it is
+    not filled. Each section is a few joins by week and class of titles for all weeks at once; a week is never
+    one group, and of a week's candidates the window ranks the first few."""
     rows = with_axes(pool.where("not regulatory").select("week", "place", "id", "title", "relevance"), item_axes).where(F.size("axes") > 0)
-
-    def grams(title: str) -> frozenset:
-        s = "".join(ch for ch in title or "" if ch.isalnum())
-        return frozenset(s[i : i + 2] for i in range(len(s) - 1))
-
-    def choose(week: pd.DataFrame) -> pd.DataFrame:
-        week = week.sort_values("place", kind="stable")
-        used: set[int] = set()
-        seen: list[frozenset] = []
-        out: list[tuple] = []
-
-        def take(i: int, title: str) -> bool:
-            if i in used:
-                return False
-            used.add(i)
-            g = grams(title)
-            close = len(g) >= LEAST_GRAMS and any(len(p) >= LEAST_GRAMS and len(g & p) / min(len(g), len(p)) >= cut for p in seen)
-            seen.append(g)
-            return not close
-
-        picked: list[int] = []
-        for need in (3, 2):
-            for i, title, found in zip(week["id"], week["title"], week["axes"], strict=True):
-                if len(picked) >= top_crossing:
-                    break
-                if len(found) == need and take(i, title):
-                    picked.append(i)
-        out += [("crossing", k + 1, i) for k, i in enumerate(picked)]
-        by_relevance = week.assign(r=-week["relevance"].fillna(0.0)).sort_values("r", kind="stable")
-        for axis in axes:
-            picked = []
-            for i, title, found in zip(by_relevance["id"], by_relevance["title"], by_relevance["axes"], strict=True):
-                if len(picked) >= per_axis:
-                    break
-                if axis in found and take(i, title):
-                    picked.append(i)
-            out += [(axis, k + 1, i) for k, i in enumerate(picked)]
-        name = week["week"].iloc[0]
-        return pd.DataFrame([(name, *r) for r in out], columns=["week", "section", "place", "id"])
-
-    return rows.select("week", "place", "id", "title", "relevance", "axes").groupBy("week").applyInPandas(choose, "week string, section string, place int, id long")
+    members, close = title_classes(rows, cut)
+    near = settle(close.toDF("week", "rep", "other").union(close.select("week", "b", "a")), "near")
+    by_place = F.struct(F.lit(0.0).alias("r"), "place", "id")
+    by_relevance = F.struct((-F.coalesce("relevance", F.lit(0.0))).alias("r"), "place", "id")
+    rows = rows.join(members, ["week", "id"], "left").select("week", "rep", "axes", by_place.alias("by_place"), by_relevance.alias("by_relevance"), F.lit(False).alias("seen"))
+    rows = settle(rows, "candidates")
+    sections = [("crossing", F.size("axes") == n, "by_place", top_crossing) for n in (3, 2)]
+    sections += [(axis, F.array_contains("axes", axis), "by_relevance", per_axis) for axis in axes]
+    chosen = None
+    for section, wanted, key, room in sections:
+        told = rows.where("seen and rep is not null").select("week", "rep").distinct()
+        before = None
+        if chosen is not None:
+            before = chosen.where(F.col("section") == section).groupBy("week").agg(F.count("*").alias("before"))
+        fresh = _fresh(rows.where(wanted & ~F.col("seen")).select("week", "rep", F.col(key).alias("key")), near, told)
+        first = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("week").orderBy("key"))).where(F.col("rank") <= room)
+        first = first.join(before, "week", "left").withColumn("before", F.coalesce("before", F.lit(0))) if before is not None else first.withColumn("before", F.lit(0))
+        first = first.withColumn("place", (F.col("rank") + F.col("before")).cast("int")).where(F.col("place") <= room)
+        own = settle(first.select("week", F.lit(section).alias("section"), "place", F.col("key.id").alias("id"), "key"), "chosen")
+        chosen = own if chosen is None else chosen.union(own)
+        # a section that is filled saw its candidates up to the last choice, another one all
+        filled = chosen.where(F.col("section") == section).groupBy("week").agg((F.count("*") == room).alias("filled"))
+        ends = filled.join(own.groupBy("week").agg(F.max("key").alias("end")), "week", "left")
+        saw = F.when(F.coalesce("filled", F.lit(False)), F.coalesce(F.col(key) <= F.col("end"), F.lit(False))).otherwise(True)
+        rows = settle(rows.join(ends, "week", "left").withColumn("seen", F.col("seen") | (wanted & saw)).drop("filled", "end"), "candidates")
+    return chosen.select("week", "section", "place", "id")
 
 
 def digest_upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.dates import local_date, week_label, week_month
 from crossweave.operators.axes import axes_arrays, with_axes
+from crossweave.operators.search_index import TextIndex
 
 
-def search_items(items: DataFrame, item_axes: DataFrame, kw_item: DataFrame, text: str | None = None, axis: str | None = None, since: str | None = None, until: str | None = None, kept_only: bool = True) -> DataFrame:
+def search_items(items: DataFrame, item_axes: DataFrame, kw_item: DataFrame, text: str | None = None, axis: str | None = None, since: str | None = None, until: str | None = None, kept_only: bool = True, texts: TextIndex | None = None) -> DataFrame:
     """Items by kept, local dates (until included), axis and literal text.
 
     The text is found in the title, in the summary, or as an indexed keyword of the item; it has no
-    wildcards. One scan with a flag from the keyword table instead of a union of three."""
+    wildcards. With an index of texts the items need no summaries: the other tests come first, the index
+    names candidates among what is left, and only ids meet the items. Without one the items are scanned."""
     rows = items.where("kept") if kept_only else items
     day = local_date("published_at")
     if since:
@@ -23,9 +25,12 @@ def search_items(items: DataFrame, item_axes: DataFrame, kw_item: DataFrame, tex
     if axis:
         rows = rows.join(item_axes.where(F.col("axis") == axis).select("item_id"), F.col("id") == F.col("item_id"), "left_semi")
     if text:
-        flagged = kw_item.where(F.col("keyword") == text).select(F.col("item_id").alias("kw_id"), F.lit(True).alias("hit")).distinct()
-        rows = rows.join(flagged, F.col("id") == F.col("kw_id"), "left")
-        rows = rows.where(F.col("title").contains(text) | F.col("summary").contains(text) | F.coalesce("hit", F.lit(False))).drop("kw_id", "hit")
+        flagged = kw_item.where(F.col("keyword") == text).select(F.col("item_id").alias("hit_id"))
+        if texts:
+            hits = texts.ids(text, rows).select(F.col("id").alias("hit_id")).union(flagged)
+            return rows.join(hits, F.col("id") == F.col("hit_id"), "left_semi")
+        rows = rows.join(flagged.distinct().withColumn("hit", F.lit(True)), F.col("id") == F.col("hit_id"), "left")
+        rows = rows.where(F.col("title").contains(text) | F.col("summary").contains(text) | F.coalesce("hit", F.lit(False))).drop("hit_id", "hit")
     return rows
 
 
@@ -33,20 +38,56 @@ def search_total(found: DataFrame) -> DataFrame:
     return found.agg(F.count_distinct("id").alias("total"))
 
 
+#: Keys of each order: column and whether it descends; nulls come last, and the id, which is never null, ends each.
+ORDERS = {
+    "oldest": (("published_at", False), ("id", False)),
+    "newest": (("published_at", True), ("id", True)),
+    "relevance": (("cross_score", True), ("published_at", True), ("id", True)),
+}
+
+
 def search_order(order: str) -> list[Column]:
-    newest = [F.col("published_at").desc_nulls_last(), F.desc("id")]
-    return {"oldest": [F.col("published_at").asc_nulls_last(), F.asc("id")], "newest": newest, "relevance": [F.col("cross_score").desc_nulls_last(), *newest]}[order]
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in ORDERS[order]]
+
+
+def beyond(order: str, last: dict) -> Column:
+    """Rows that come after the row with these keys."""
+    test = F.lit(False)
+    for column, down in reversed(ORDERS[order]):
+        value = last[column]
+        if value is None:
+            test = F.col(column).isNull() & test
+        else:
+            further = F.col(column) < F.lit(value) if down else F.col(column) > F.lit(value)
+            test = F.coalesce(further, F.lit(True)) | F.coalesce(F.col(column) == F.lit(value), F.lit(False)) & test
+    return test
+
 
+def search_page(found: DataFrame, item_axes: DataFrame, order: str = "relevance", page: int = 1, size: int = 25, texts: TextIndex | None = None, after: dict | None = None) -> DataFrame:
+    """One page with place, axes and a short summary; axes and summaries are attached to the page's rows alone.
 
-def search_page(found: DataFrame, item_axes: DataFrame, order: str = "relevance", page: int = 1, size: int = 25) -> DataFrame:
-    """One page with place, axes and a short summary; axes are attached to the page's rows alone."""
+    `after` has the keys of the row before the page (see ORDERS and last_keys): what comes after them is
+    sought, so that no page before is sorted; without it the page is counted off from the first row."""
     size = min(max(size, 1), 200)
-    rows = found.orderBy(*search_order(order)).offset((page - 1) * size).limit(size)
+    if after is not None:
+        rows = found.where(beyond(order, after)).orderBy(*search_order(order)).limit(size)
+    else:
+        rows = found.orderBy(*search_order(order)).offset((page - 1) * size).limit(size)
+    if texts:
+        shown = rows.collect()  # `size` rows at most
+        rows = found.sparkSession.createDataFrame(shown, rows.schema)
+        rows = rows.join(texts.named([r["id"] for r in shown]).select("id", "summary"), "id", "left")
     rows = with_axes(rows, item_axes)
     place = F.row_number().over(Window.orderBy(*search_order(order))) + F.lit((page - 1) * size)
     return rows.select(place.alias("place"), "id", "title", F.substring("summary", 1, 300).alias("summary"), "source", "published_at", "cross_score", F.array_join("axes", "+").alias("axes"))
 
 
+def last_keys(page: DataFrame, order: str = "relevance") -> dict | None:
+    """The keys of a page's last row, from which the next page goes on; None for an empty page."""
+    last = page.orderBy(F.desc("place")).select(*[c for c, _ in ORDERS[order]]).first()
+    return last.asDict() if last else None
+
+
 def keyword_items(items: DataFrame, kw_item: DataFrame, keyword: str, page: int = 1, size: int = 20) -> DataFrame:
     """A page of an indexed keyword's items, kept or not, with the total and the kept items of the page."""
     rows = items.join(kw_item.where(F.col("keyword") == keyword).select("item_id"), F.col("id") == F.col("item_id"), "left_semi")
@@ -152,12 +193,14 @@ def keyword_week_items(items: DataFrame, kw_item: DataFrame, keyword: str, week:
     return rows.orderBy(F.col("cross_score").desc_nulls_last(), F.col("published_at").asc_nulls_last(), "id").limit(limit).select("id", "title", "cross_score", "published_at").crossJoin(F.broadcast(total))
 
 
-def regulatory_items(items: DataFrame, sources: DataFrame, days: int | None = None, text: str | None = None, now: str | None = None, limit: int = 100) -> DataFrame:
-    """Items of regulatory sources, kept or not, newest first; text is found in any case."""
+def regulatory_items(items: DataFrame, sources: DataFrame, days: int | None = None, text: str | None = None, now: str | None = None, limit: int = 100, texts: TextIndex | None = None) -> DataFrame:
+    """Items of regulatory sources, kept or not, newest first; text is found in any case, by the index of texts if there is one."""
     rows = items.join(F.broadcast(sources.where("regulatory").select(F.col("source").alias("s"))), F.col("source") == F.col("s"), "left_semi")
     if days is not None:
         rows = rows.where(F.col("published_at") >= F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(days)))
-    if text:
+    if text and texts:
+        rows = rows.join(texts.ids(text, rows, True), "id", "left_semi")
+    elif text:
         rows = rows.where(F.lower("title").contains(text.lower()) | F.lower("summary").contains(text.lower()))
     return rows.orderBy(F.col("published_at").desc_nulls_last(), F.desc("id")).limit(limit)
 
@@ -189,12 +232,17 @@ def source_health(items: DataFrame, sources: DataFrame, now: str, late_days: int
     return rows.select("source", "n", "last_published", "last_collected", live.alias("live"), (live & (F.datediff(F.to_timestamp(F.lit(now)), "last_published") > late_days)).alias("late"))
 
 
-def issue_timeline(items: DataFrame, text: str, now: str, days: int = 60, page: int = 1, size: int = 50) -> DataFrame:
-    """Kept items with the literal text in the last 7 to 365 days up to now, oldest first, with their total."""
+def issue_timeline(items: DataFrame, text: str, now: str, days: int = 60, page: int = 1, size: int = 50, texts: TextIndex | None = None) -> DataFrame:
+    """Kept items with the literal text in the last 7 to 365 days up to now, oldest first, with their total.
+
+    With an index of texts the items need no summaries."""
     days = min(max(days, 7), 365)
     at = F.to_timestamp(F.lit(now))
     rows = items.where("kept").where((F.col("published_at") <= at) & (F.col("published_at") >= at - F.make_dt_interval(F.lit(days))))
-    rows = rows.where(F.col("title").contains(text) | F.col("summary").contains(text))
+    if texts:
+        rows = rows.join(texts.ids(text, rows), "id", "left_semi")
+    else:
+        rows = rows.where(F.col("title").contains(text) | F.col("summary").contains(text))
     total = rows.agg(F.count("*").alias("total"))
     part = rows.orderBy("published_at", "id").offset((page - 1) * size).limit(size)
     return part.select("id", "source", "published_at").crossJoin(F.broadcast(total))

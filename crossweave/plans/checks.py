@@ -27,7 +27,7 @@ def _hits_sql(body: str) -> str:
 
 
 def _hits(t, seen=None):
-    return al.alert_hits(t.items, t.sources, WATCH, ad.NOW, 7, seen)
+    return al.alert_hits(t.base, t.sources, WATCH, ad.NOW, 7, seen, t.facts)
 
 
 def _seen(t):
@@ -174,7 +174,7 @@ def integrity(t):
 def parity(t):
     """A search of titles and summaries against one that also knows keywords."""
     plain = t.items.where(F.col("kept") & (F.col("title").contains("that") | F.col("summary").contains("that")))
-    return qu.search_parity(plain, xp.search_items(t.items, t.item_axes, t.kw_item, "that"))
+    return qu.search_parity(plain, xp.search_items(t.facts, t.item_axes, t.kw_item, "that", texts=t.texts))
 
 
 @query("index_consistency", sql("SELECT keyword, week, coalesce(n, 0) AS counted, coalesce(listed, 0) AS listed FROM kw_week FULL JOIN (SELECT keyword, published_week AS week, count(*) AS listed FROM kw_item JOIN items ON id = item_id WHERE kept GROUP BY 1, 2) l USING (keyword, week) WHERE coalesce(n, 0) <> coalesce(listed, 0)", "kw_week", "kw_item", "items"))

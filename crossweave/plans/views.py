@@ -23,7 +23,7 @@ def _found_sql(body: str, *more: str) -> str:
 
 
 def _found(t):
-    return xp.search_items(t.items, t.item_axes, t.kw_item, TEXT, "ai", "2024-01-10", "2024-03-10")
+    return xp.search_items(t.facts, t.item_axes, t.kw_item, TEXT, "ai", "2024-01-10", "2024-03-10", texts=t.texts)
 
 
 @query("search_items", _found_sql("SELECT id FROM found"))
@@ -42,12 +42,15 @@ def _page_sql(order: str, size: int, offset: int) -> str:
 
 @query("search_page", _page_sql("cross_score DESC NULLS LAST, published_at DESC NULLS LAST, f.id DESC", 25, 0))
 def page(t):
-    return xp.search_page(_found(t), t.item_axes)
+    return xp.search_page(_found(t), t.item_axes, texts=t.texts)
 
 
 @query("search_page_oldest", _page_sql("published_at ASC NULLS LAST, f.id ASC", 10, 10))
 def oldest(t):
-    return xp.search_page(_found(t), t.item_axes, "oldest", 2, 10)
+    """The second page, sought from the last row of the first."""
+    found = _found(t)
+    first = xp.search_page(found, t.item_axes, "oldest", 1, 10, t.texts)
+    return xp.search_page(found, t.item_axes, "oldest", 2, 10, t.texts, xp.last_keys(first, "oldest"))
 
 
 @query("keyword_items", sql(f"""SELECT CAST(row_number() OVER (ORDER BY kept DESC, cross_score DESC, published_at DESC, id DESC) AS INT) AS place, id, kept, cross_score, count(*) FILTER (kept) OVER () AS page_kept, total FROM (
@@ -138,7 +141,7 @@ def org_week(t):
 
 @query("regulatory_items", sql("SELECT id, published_at FROM items WHERE source = 'src0' AND published_at >= TIMESTAMP '2024-03-20' - INTERVAL 30 DAY AND (contains(lower(title), 'the') OR contains(lower(summary), 'the')) ORDER BY published_at DESC, id DESC LIMIT 100", "items"))
 def regulatory(t):
-    return xp.regulatory_items(t.items, t.sources, 30, "The", ad.NOW).select("id", "published_at")
+    return xp.regulatory_items(t.facts, t.sources, 30, "The", ad.NOW, texts=t.texts).select("id", "published_at")
 
 
 @query("checklist_rollup", sql("SELECT source AS name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM items WHERE id % 7 = 0 GROUP BY source", "items"))
@@ -158,7 +161,7 @@ def health(t):
 
 @query("issue_timeline", sql(f"SELECT *, count(*) OVER () AS total FROM (SELECT id, source, published_at FROM items WHERE kept AND published_at <= TIMESTAMP '2024-03-20' AND published_at >= TIMESTAMP '2024-03-20' - INTERVAL 60 DAY AND (contains(title, '{TEXT}') OR contains(summary, '{TEXT}'))) ORDER BY published_at, id LIMIT 50", "items"))
 def timeline(t):
-    return xp.issue_timeline(t.items, TEXT, ad.NOW)
+    return xp.issue_timeline(t.facts, TEXT, ad.NOW, texts=t.texts)
 
 
 @query("axes_of_items", sql("SELECT item_id, axes FROM axes_of", "axes_of"))

@@ -14,6 +14,7 @@ from crossweave.operators import axes as ax
 from crossweave.operators import index as ix
 from crossweave.operators import keywords as kw
 from crossweave.operators import score as sc
+from crossweave.operators import search_index as si
 from crossweave.operators import trend as tr
 from crossweave.operators import vectors as ve
 from crossweave.sources.sinks import overwrite_index
@@ -85,6 +86,12 @@ class Tables:
         more = [c for c in self.facts.columns if c not in self.base.columns]
         return self.facts.join(self.base.select("id", "summary"), "id").select(*self.base.columns, *more)
 
+    @cached_property
+    def texts(self) -> si.TextIndex:
+        """Titles and summaries by ranges of ids, and the postings of their trigrams."""
+        rows, bounds = si.parted(self.base)
+        return si.TextIndex(self.stored("text_grams", si.postings(self.base), "folder"), self.stored("item_texts", rows, "part"), bounds)
+
     @cached_property
     def ranked_items(self) -> DataFrame:
         """Items with the relevance of those that have a vector."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 import re
 import shutil
+import string
 from collections import Counter, deque
 from datetime import date
 from itertools import combinations
@@ -79,6 +81,27 @@ def test_digest_sections_are_the_plain_choice(spark):
     assert len({r[0] for r in expected}) > 5
 
 
+@pytest.mark.parametrize("cut", [0.22, 0.9])
+def test_sections_of_a_large_week_with_close_titles(spark, cut):
+    rng = random.Random(31)
+    themes = [[rng.choice(string.ascii_lowercase) * rng.choice((1, 2)) + "".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(6)] for _ in range(9)]
+    rows, axes = [], {}
+    for i in range(6000):
+        week = "2024-W01" if i % 20 else f"2024-W0{2 + i // 20 % 4}"
+        title = None if i % 97 == 0 else "AI" if i % 89 == 0 else " ".join(rng.sample(rng.choice(themes), rng.choice((2, 3, 6))))
+        rows.append((week, i // 3, i, title, rng.choice((None, 0.1, 0.2, 0.5, -0.3)), i % 50 == 7))
+        axes[i] = set(rng.sample(["a", "b", "c"], rng.choices((0, 1, 2, 3), (20, 70, 9, 1))[0]))
+    # places are those of a week, without gaps or ties
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    rows = [(r[0], k, *r[2:]) for k, r in enumerate(rows)]
+    pool = spark.createDataFrame(rows, "week string, place int, id long, title string, relevance double, regulatory boolean")
+    item_axes = spark.createDataFrame([(i, x) for i, own in axes.items() for x in own], "item_id long, axis string")
+    expected = plain_sections(pool.collect(), axes, ["c", "a", "b"], cut)
+    found = digest.digest_sections(pool, item_axes, ["c", "a", "b"], cut=cut)
+    assert sorted(tuple(r) for r in found.select("week", "section", "place", "id").collect()) == expected
+    assert "applyInPandas" not in inspect.getsource(digest)
+
+
 def test_humanize_weeks_is_the_plain_rewrite(spark):
     def name(year, week):
         thursday = date.fromisocalendar(year, week, 4)
