@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from crossweave.functions.components import settle
 MIN_DF, MIN_COOC, CUT, TOP_NEIGHBORS, MOST_ITEMS = 10, 2, 0.15, 20, 60
 #: Pairs of a block of keywords at most, and pairs that a task holds before it counts them.
 BLOCK_PAIRS, HELD_PAIRS = 1 << 24, 1 << 22
+#: Cells of the table in which a block counts, at most (four bytes each).
+DENSE = 1 << 24
 
 
 def kw_week(keywords: DataFrame, items: DataFrame) -> DataFrame:
@@ -37,19 +40,21 @@ def numbered(keywords: DataFrame) -> DataFrame:
     return settle(rows.join(F.broadcast(begins), "part").select("keyword", (F.col("begin") + F.col("at")).alias("code")), "codes")
 
 
-def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None, least: int = 1) -> DataFrame:
-    """(a, b, n) with a < b: documents that hold both, among keywords of min_df documents at least; pairs of `least` documents.
+def pair_counts(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(x, y, n) with x < y, and (keyword, code, df, n_docs): documents that hold both of two keywords, by their numbers.
 
-    Keywords get numbers in their order and are dealt into blocks. A document's numbers go to each
-    block that it has a keyword of, which counts the pairs that begin there: pairs themselves are
-    never dealt out, only counted ones leave a task. A block has BLOCK_PAIRS pairs at most; one that
-    would have more, for a keyword of very many documents, is split by document and its counts are
-    added up. most_df (off by default) leaves out more frequent keywords."""
+    Keywords of min_df documents at least get numbers in their order and are dealt into blocks. A document's
+    numbers go to each block that it has a keyword of, from that keyword on, and the block counts the pairs
+    that begin there: what is dealt are at most as many numbers as a document has pairs and keywords, and only
+    counted pairs leave a task. A block has BLOCK_PAIRS pairs at most; one that would have more, for a keyword
+    of very many documents, is split by document and its counts are added up. A block counts in a table
+    of its keywords by all if that has DENSE cells at most, else it sorts. most_df (off by default)
+    leaves out more frequent keywords; pairs of fewer than `least` documents are left out."""
     often = df.where(F.col("df") >= min_df)
     if most_df:
         often = often.where(F.col("df") <= most_df)
-    coded = numbered(often.select("keyword"))
-    chosen = keywords.select("item_id", "keyword").join(coded, "keyword").select("item_id", "code")
+    coded = settle(numbered(often.select("keyword")).join(often.select("keyword", "df", "n_docs"), "keyword"), "coded")
+    chosen = keywords.select("item_id", "keyword").join(coded.select("keyword", "code"), "keyword").select("item_id", "code")
     docs = settle(chosen.groupBy("item_id").agg(F.sort_array(F.collect_set("code")).alias("ks")).where(F.size("ks") > 1), "docs")
     pairs = F.size("ks").cast("long") * (F.size("ks") - 1) / 2
     total, vocabulary = docs.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0], coded.count()
@@ -57,61 +62,79 @@ def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_
     block = lambda k: F.pmod(k, F.lit(blocks))
     work = docs.select(F.size("ks").alias("size"), F.posexplode("ks").alias("i", "k")).groupBy(block(F.col("k")).alias("block")).agg(F.sum(F.col("size") - F.col("i") - 1).alias("pairs"))
     work = settle(work.select("block", F.greatest(F.ceil(F.col("pairs") / BLOCK_PAIRS), F.lit(1)).cast("int").alias("parts")), "blocks")
-    dealt = docs.select("item_id", "ks", F.explode(F.array_distinct(F.transform("ks", block))).alias("block")).join(work, "block")
+    firsts = F.transform("ks", block)
+    dealt = docs.select("item_id", "ks", firsts.alias("bs")).select("item_id", "ks", "bs", F.explode(F.array_distinct("bs")).alias("block")).join(work, "block")
     key = ["block", "part"]
-    dealt = dealt.select("block", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), "parts", "ks").repartition(*key).sortWithinPartitions(*key)
+    onward = F.expr("slice(ks, int(array_position(bs, block)), size(ks))")
+    dealt = dealt.select("block", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), "parts", onward.alias("ks")).repartition(*key).sortWithinPartitions(*key)
+    height = -(-vocabulary // blocks)
+    dense = height * vocabulary <= DENSE
+
+    def found(x: np.ndarray, y: np.ndarray, n: np.ndarray, split: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(x), 1 << 16):
+            own = slice(k, k + (1 << 16))
+            yield pa.record_batch([pa.array(x[own].astype(np.int64)), pa.array(y[own].astype(np.int64)), pa.array(n[own].astype(np.int64)), pa.array(np.full(len(x[own]), split))], names=["x", "y", "n", "split"])
+
+    def in_table(lists: Iterator[np.ndarray], number: int, split: bool) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((height, vocabulary), np.int32)
+        for ks in lists:
+            own = ks[ks % blocks == number] // blocks
+            table[own[:, None], ks[None, :]] += 1
+        for a in range(0, height, 64):
+            row, y = np.nonzero(table[a : a + 64] >= (1 if split else least))
+            x = (row + a) * blocks + number
+            later = y > x
+            yield from found(x[later], y[later], table[row[later] + a, y[later]], split)
+
+    def by_sorting(lists: Iterator[np.ndarray], number: int, split: bool) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate([keys[:0], *held]), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+        for ks in lists:
+            at = np.nonzero(ks % blocks == number)[0]
+            lengths = len(ks) - 1 - at
+            stops = np.cumsum(lengths)
+            ys = np.arange(stops[-1]) + np.repeat(at + 1 - (stops - lengths), lengths)
+            held.append(np.repeat(ks[at], lengths) * vocabulary + ks[ys])
+            size += len(ys)
+            if size >= HELD_PAIRS:
+                (keys, counts), held, size = added(), [], 0
+        keys, counts = added()
+        enough = counts >= (1 if split else least)
+        yield from found(keys[enough] // vocabulary, keys[enough] % vocabulary, counts[enough], split)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def add_up() -> None:
-            nonlocal keys, counts, held, size
-            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
-            if len(keys):
-                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
-            else:
-                keys, counts = new, n
-            held, size = [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, counts
-            add_up()
-            split = now[2] > 1
-            enough = np.nonzero(counts >= (1 if split else least))[0]
-            for k in range(0, len(enough), 1 << 16):
-                own = enough[k : k + (1 << 16)]
-                yield pa.record_batch([pa.array(keys[own] // vocabulary), pa.array(keys[own] % vocabulary), pa.array(counts[own]), pa.array(np.full(len(own), split))], names=["x", "y", "n", "split"])
-            keys, counts = keys[:0], counts[:0]
-
-        for batch in batches:
-            block_of, part_of, parts_of = (batch.column(k).to_numpy() for k in range(3))
-            codes, ends = batch.column(3).flatten().to_numpy(), np.cumsum(batch.column(3).value_lengths().to_numpy())
-            for i, end in enumerate(ends.tolist()):
-                if now is None or (block_of[i], part_of[i]) != now[:2]:
-                    if now is not None:
-                        yield from done()
-                    now = (block_of[i], part_of[i], parts_of[i])
-                ks = codes[ends[i - 1] if i else 0 : end]
-                at = np.nonzero(ks % blocks == now[0])[0]
-                lengths = len(ks) - 1 - at
-                stops = np.cumsum(lengths)
-                ys = np.arange(stops[-1]) + np.repeat(at + 1 - (stops - lengths), lengths)
-                held.append(np.repeat(ks[at], lengths) * vocabulary + ks[ys])
-                size += len(ys)
-                if size >= HELD_PAIRS:
-                    add_up()
-        if now is not None:
-            yield from done()
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                block_of, part_of, parts_of = (batch.column(k).to_pylist() for k in range(3))
+                codes, ends = batch.column(3).flatten().to_numpy(), np.cumsum(batch.column(3).value_lengths().to_numpy()).tolist()
+                for i, end in enumerate(ends):
+                    yield (block_of[i], part_of[i], parts_of[i] > 1), codes[ends[i - 1] if i else 0 : end]
+
+        for (number, _, split), group in groupby(rows(), key=lambda r: r[0]):
+            yield from (in_table if dense else by_sorting)((ks for _, ks in group), number, split)
 
     counted = dealt.mapInArrow(count, "x long, y long, n long, split boolean")
     if not work.where("parts > 1").isEmpty():
         counted = settle(counted, "pairs")
         split = counted.where("split").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         counted = counted.where("not split").select("x", "y", "n").union(split)
-    counted = counted.select("x", "y", "n").join(coded.toDF("a", "x"), "x").join(coded.toDF("b", "y"), "y")
-    return counted.select("a", "b", "n")
+    return counted.select("x", "y", "n"), coded
+
+
+def named_pairs(counts: DataFrame, coded: DataFrame) -> DataFrame:
+    """(a, b, n) with a < b, by the keywords of the numbers."""
+    one, two = (coded.select(F.col("keyword").alias(name), F.col("code").alias(number)) for name, number in (("a", "x"), ("b", "y")))
+    return counts.join(one, "x").join(two, "y").select("a", "b", "n")
+
+
+def cooccurrence(keywords: DataFrame, df: DataFrame, min_df: int = MIN_DF, most_df: int | None = None, least: int = 1) -> DataFrame:
+    """(a, b, n) with a < b: documents that hold both, among keywords of min_df documents at least (see pair_counts)."""
+    return named_pairs(*pair_counts(keywords, df, min_df, most_df, least))
 
 
 def npmi(n: Column, df_a: Column, df_b: Column, n_docs: Column) -> Column:
@@ -131,12 +154,25 @@ def pair_strength(pairs: DataFrame, df: DataFrame, min_cooc: int = MIN_COOC) ->
 def neighbors(pairs: DataFrame, df: DataFrame, stop_words: tuple[str, ...] = (), min_cooc: int = MIN_COOC, cut: float = CUT, top: int = TOP_NEIGHBORS) -> DataFrame:
     """(keyword, neighbor, npmi, cooc, df): each keyword's strongest neighbours, in both directions.
 
-    Pairs of which one holds the other, and stop words, go before the cut; ranks are by the unrounded
+    Pairs of which one holds the other, and stop words, go before the rank; ranks are by the unrounded
     npmi, then neighbour, then count, all descending."""
-    strong = pair_strength(pairs, df, min_cooc).where(~F.col("a").contains(F.col("b")) & ~F.col("b").contains(F.col("a")))
+    return _ranked(pair_strength(pairs, df, min_cooc).where(F.col("npmi") >= cut), stop_words, top)
+
+
+def counted_neighbors(counts: DataFrame, coded: DataFrame, stop_words: tuple[str, ...] = (), min_cooc: int = MIN_COOC, cut: float = CUT, top: int = TOP_NEIGHBORS) -> DataFrame:
+    """The same from pair_counts: pairs stay numbers until they are cut, and only strong ones get their names."""
+    one = coded.select(F.col("code").alias("x"), F.col("df").alias("df_a"), "n_docs")
+    two = coded.select(F.col("code").alias("y"), F.col("df").alias("df_b"))
+    rows = counts.where(F.col("n") >= min_cooc).join(one, "x").join(two, "y")
+    strong = settle(rows.withColumn("npmi", npmi(F.col("n"), F.col("df_a"), F.col("df_b"), F.col("n_docs"))).where(F.col("npmi") >= cut), "strong")
+    a, b = (coded.select(F.col("code").alias(number), F.col("keyword").alias(name)) for number, name in (("x", "a"), ("y", "b")))
+    return _ranked(strong.join(a, "x").join(b, "y"), stop_words, top)
+
+
+def _ranked(strong: DataFrame, stop_words: tuple[str, ...], top: int) -> DataFrame:
+    strong = strong.where(~F.col("a").contains(F.col("b")) & ~F.col("b").contains(F.col("a")))
     if stop_words:
         strong = strong.where(~F.col("a").isin(*stop_words) & ~F.col("b").isin(*stop_words))
-    strong = strong.where(F.col("npmi") >= cut)
     both = strong.select(F.col("a").alias("keyword"), F.col("b").alias("neighbor"), "npmi", F.col("n").alias("cooc"), F.col("df_b").alias("df"))
     both = both.union(strong.select("b", "a", "npmi", "n", "df_a"))
     place = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("npmi"), F.desc("neighbor"), F.desc("cooc")))

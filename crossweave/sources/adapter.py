@@ -122,14 +122,19 @@ class Tables:
     def rising(self) -> DataFrame:
         return tr.rising_keywords(self.kw_week, self.facts, self.weeks)
 
+    @cached_property
+    def pair_counts(self) -> tuple[DataFrame, DataFrame]:
+        """Counted pairs of keywords as numbers, and the numbers' keywords."""
+        counts, coded = ix.pair_counts(self.keywords, self.kw_df, MIN_DF)
+        return self.stored("pair_counts", counts), coded
+
     @cached_property
     def cooccurrence(self) -> DataFrame:
-        return ix.cooccurrence(self.keywords, self.kw_df, MIN_DF)
+        return ix.named_pairs(*self.pair_counts)
 
     @cached_property
     def kw_neighbor(self) -> DataFrame:
-        pairs = ix.cooccurrence(self.keywords, self.kw_df, MIN_DF, least=ix.MIN_COOC)
-        return self.stored("kw_neighbor", ix.neighbors(pairs, self.kw_df))
+        return self.stored("kw_neighbor", ix.counted_neighbors(*self.pair_counts))
 
     @cached_property
     def kw_meta(self) -> DataFrame:

@@ -344,6 +344,22 @@ def test_cooccurrence_is_brute_force(spark, monkeypatch, block, held):
     assert index.cooccurrence(rows.limit(0), df.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 24])
+def test_pairs_counted_in_a_table_and_by_sorting(spark, monkeypatch, dense):
+    monkeypatch.setattr(index, "DENSE", dense)
+    rng = random.Random(9)
+    docs = {i: {f"k{min(rng.randrange(60), rng.randrange(60)):02d}" for _ in range(rng.choice((1, 5, 30)))} for i in range(200)}
+    rows = spark.createDataFrame([(i, w) for i, ws in docs.items() for w in ws], "item_id long, keyword string")
+    df = index.kw_df(rows)
+    counts = Counter(p for ws in docs.values() for p in combinations(sorted(ws), 2))
+    for block in (1 << 24, 300):
+        monkeypatch.setattr(index, "BLOCK_PAIRS", block)
+        assert {(r["a"], r["b"]): r["n"] for r in index.cooccurrence(rows, df, 1).collect()} == counts
+    named = index.neighbors(index.cooccurrence(rows, df, 3), df, ("k01",), cut=0.05, top=4)
+    numbers = index.counted_neighbors(*index.pair_counts(rows, df, 3), ("k01",), cut=0.05, top=4)
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, numbers.collect())) != []
+
+
 def test_scratch_on_a_cluster_needs_the_shared_folder():
     def session(master, folder=None):
         return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}), conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None))
