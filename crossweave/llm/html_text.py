@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,12 +68,15 @@ def set_apart(marks: str, apart_words: frozenset[str] = APART_WORDS) -> bool:
 #: Bounds of the first pass: stop-word density, length in characters, link density.
 STOP_LOW, STOP_HIGH, LENGTH_LOW, LENGTH_HIGH, LINKS_MOST = 0.15, 0.25, 70, 200, 0.33
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+#: A tag ends before the next < outside quotes, so that each place is looked at once whatever a page leaves open.
 _MARKS = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:$|[\s=/])")
 _NOT_SHOWN = re.compile(r"(?i)\bstyle\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|[^\s\"'>]*?display:none)")
 _ARIA_HIDDEN = re.compile(r"(?i)\baria-hidden\s*=\s*[\"']?true")
+#: An open line or cell ends with the next one unless one of these is between.
+BOUNDS = frozenset(("ul", "ol", "dl", "table", "div", "article", "section", "main", "blockquote"))
 #: A part holds most of the page's text where it has so many times the text outside.
 MOST = 4
 
@@ -115,36 +119,50 @@ def find_wrappers(parts: list[Part], outside: int) -> None:
 
     outside is the text in no part; parts come with their own text, which is summed over what they hold."""
     own = [p.text for p in parts]
-    for p in reversed(parts):
+    inside: list[list[int]] = [[] for _ in parts]
+    for k in range(len(parts) - 1, -1, -1):
+        p = parts[k]
         if p.within >= 0:
             parts[p.within].text += p.text
             parts[p.within].article += p.article
+            inside[p.within].append(k)
+    shown = [False] * len(parts)  # wrappers that nothing but wrappers is around
+    under = [0] * len(parts)  # text that is shown in a part if the part is: that of its wrappers, and of theirs
+    known = outside  # text in no part but shown ones
 
     def beside(k: int) -> int:
         """Text that is in no part but wrappers and those around k."""
-        around, at = set(), parts[k].within
-        while at >= 0:
-            around.add(at)
-            at = parts[at].within
-        seen, total = [False] * len(parts), outside
-        for i, p in enumerate(parts):
-            seen[i] = i != k and (p.wraps or i in around) and (p.within < 0 or seen[p.within])
-            total += own[i] if seen[i] else 0
+        total, at, before = known, parts[k].within, None
+        while at >= 0 and not shown[at]:
+            total += own[at] + under[at]
+            if before is not None and parts[before].wraps:
+                total -= own[before] + under[before]
+            before, at = at, parts[at].within
         return total
 
-    known = outside  # what beside() gives at least
+    def wrap(k: int) -> None:
+        nonlocal known
+        parts[k].wraps = True
+        at = k
+        while parts[at].wraps and parts[at].within >= 0 and not shown[at]:
+            under[parts[at].within] += own[k] + under[k]
+            at = parts[at].within
+        if parts[k].within < 0 or shown[parts[k].within]:
+            todo = [k]
+            while todo:
+                i = todo.pop()
+                shown[i] = True
+                known += own[i]
+                todo += [c for c in inside[i] if parts[c].wraps]
+
     for k in sorted(range(len(parts)), key=lambda k: (parts[k].rank, -parts[k].text, k)):
         p = parts[k]
         if p.text and p.rank < 2 and (p.text >= MOST * known or p.article >= max(1, known)):
             rest = beside(k)
-            p.wraps = p.text >= MOST * rest or p.article >= max(1, rest)
-        elif p.text and p.rank == 2 and not known:
-            p.wraps = not beside(k)
-        if p.wraps:
-            shown = [False] * len(parts)
-            for i, q in enumerate(parts):
-                shown[i] = q.wraps and (q.within < 0 or shown[q.within])
-            known = outside + sum(n for n, s in zip(own, shown, strict=True) if s)
+            if p.text >= MOST * rest or p.article >= max(1, rest):
+                wrap(k)
+        elif p.text and p.rank == 2 and not known and not beside(k):
+            wrap(k)
 
 
 def marks_of(attributes: str) -> str:
@@ -172,12 +190,17 @@ def blocks_of(page: str) -> list[Block]:
     depth_hidden = depth_main = depth_article = links = linked = 0
     heading = False
     skipped: list[str] = []  # open elements inside a line whose text is left out
+    skipped_names: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places of each name among the open elements
+    bounds: list[int] = []  # places of those that an open line or cell does not reach beyond
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
 
     around: list[int] = []  # the parts around open ones
 
     def close_block() -> None:
         nonlocal linked
         skipped.clear()
+        skipped_names.clear()
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
@@ -194,6 +217,9 @@ def blocks_of(page: str) -> list[Block]:
     def pop(k: int) -> None:
         nonlocal part, depth_hidden, depth_main, depth_article
         for name, was_apart, was_hidden, was_main in open_tags[k:]:
+            opened[name].pop()
+            if name in BOUNDS:
+                bounds.pop()
             depth_article -= name == "article"
             if was_apart:
                 part = around.pop()
@@ -220,20 +246,23 @@ def blocks_of(page: str) -> list[Block]:
             if name == "a":
                 links = max(0, links - 1)
             if name in INLINE:
-                if name in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                while skipped_names[name]:  # the last one of this name and all in it end
+                    ended = skipped.pop()
+                    skipped_names[ended] -= 1
+                    if ended == name:
+                        break
                 continue
             close_block()
             if name in HEADINGS:
                 heading = False
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    pop(k)
-                    break
+            if opened[name]:
+                pop(opened[name][-1])
             continue
         if name in NOT_TEXT and not (name == "head" or name in VOID):
             if name in RAW or name in ("object", "canvas", "audio", "video", "select", "button", "datalist", "option"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+                if close is None:
+                    unclosed.add(name)
                 at = close.end() if close else (end if name in RAW else at)
                 if name not in ("button", "select", "option"):
                     close_block()
@@ -245,18 +274,15 @@ def blocks_of(page: str) -> list[Block]:
         if name in INLINE:
             if name not in VOID and (skipped or tag[3] and not_in_line(tag[3])):
                 skipped.append(name)
+                skipped_names[name] += 1
             continue
         close_block()
         heading = name in HEADINGS
         if name in VOID or tag[3].endswith("/"):
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", *HEADINGS):  # an open element of this kind ends here
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    pop(k)
-                    break
-                if open_tags[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "blockquote"):
-                    break
+            if opened[name] and opened[name][-1] > (bounds[-1] if bounds else -1):
+                pop(opened[name][-1])
         marks = marks_of(tag[3])
         is_main = name in MAIN
         is_apart = name in APART and not (name == "header" and depth_main > 0)
@@ -267,6 +293,9 @@ def blocks_of(page: str) -> list[Block]:
         is_hidden = bool(tag[3] and not_shown(tag[3]))
         if tag[3] and _ARIA_HIDDEN.search(tag[3]):
             is_apart = True
+        opened[name].append(len(open_tags))
+        if name in BOUNDS:
+            bounds.append(len(open_tags))
         open_tags.append((name, is_apart, is_hidden, is_main))
         if is_apart:
             apart.append(Part(part, rank_of(name, marks)))
