@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.llm.shared import save
+
 #: Each block is eight words of 64 bits, one bit in each for a URL.
 WORDS = 8
 #: A block for so many listed URLs, but from FEWEST to MOST blocks (64 KB to 8 MB); a fuller filter only passes more rows on to the exact join.
@@ -12,9 +14,8 @@ PER_BLOCK, FEWEST, MOST = 32, 1 << 10, 1 << 17
 
 #: The rules of the filter (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: The list of the registered query has the pages of hosts with these labels, and every hundredth page.
+#: The list of the registered query has every hundredth page.
 LISTED_PAGES = 100
-LISTED_LABELS = ("spam-farm", "cheap-pills", "casino", "xxx-videos", "warez")
 
 
 def url_host(url: str = "url") -> Column:
@@ -73,7 +74,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str =
     without :// have empty host and path, no rule, and are allowed. Repeated rows are judged each;
     columns besides page_id and url are not read; an empty list blocks nothing."""
     host, path = url_host(), url_path()
-    exact = listed.select(F.col("url")).where("url is not null").select(canonical(host, path).alias("canon")).where("canon <> ''").distinct()
+    exact = save(listed.select(F.col("url")).where("url is not null").select(canonical(host, path).alias("canon")).where("canon <> ''").distinct(), "listed")
     blocks = blocks_for(exact.count())
     words = bloom_filter(exact, blocks)
     block, masks = _bits("canon", blocks)
@@ -92,13 +93,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str =
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
-def listed_urls(pages: DataFrame, labels=LISTED_LABELS, every: int = LISTED_PAGES, page_id: str = "page_id") -> DataFrame:
-    """The list that the registered query uses: the URLs of pages one of whose host's labels is listed, and of those
-    whose id is divisible by `every`. Other pages with the same canonical URL are found by the filter and the join alone."""
-    found = F.col(page_id) % every == 0
-    for label in labels:
-        found = found | F.concat(F.lit("."), url_host(), F.lit(".")).contains(f".{label}.")
-    return pages.where(found).select("url")
+def listed_urls(pages: DataFrame, every: int = LISTED_PAGES, page_id: str = "page_id") -> DataFrame:
+    """The list that the registered query uses: the URLs of pages whose id is divisible by `every`.
+
+    Other pages with the same canonical URL are found by the filter and the join alone."""
+    return pages.where(F.col(page_id) % every == 0).select("url")
 
 
 SQL = r"""
@@ -107,9 +106,8 @@ WITH cut AS (
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 canon AS (
-  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/index\.html?|\.html?)?/*$', '') AS canon,
-    regexp_matches('.' || host || '.', '\.(spam-farm|cheap-pills|casino|xxx-videos|warez)\.') AS bad FROM cut),
-listed AS (SELECT DISTINCT canon FROM canon WHERE (bad OR page_id % 100 = 0) AND canon <> ''),
+  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/index\.html?|\.html?)?/*$', '') AS canon FROM cut),
+listed AS (SELECT DISTINCT canon FROM canon WHERE page_id % 100 = 0 AND canon <> ''),
 judged AS (
   SELECT c.page_id, c.host, c.path,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
