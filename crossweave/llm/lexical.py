@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from crossweave.llm.shared import BYTES, PIECE_CHARS, bit_position, bits_set, membership_bits, pieces, save, trim, word_hashes, word_starts
+from crossweave.llm.shared import BYTES, PIECE_CHARS, bits_set, dense_table, pieces, save, trim, word_hashes, word_starts
 
 __all__ = ["build_index", "search"]
 
@@ -27,6 +27,8 @@ __all__ = ["build_index", "search"]
 BLOCK_CHARS = 2 * PIECE_CHARS
 #: Items are searched together until they have so many terms; more items are further passes over the index.
 TERMS_AT_ONCE = 1 << 18
+#: Bits of the table of asked terms, whatever their number.
+ASKED_BITS = 1 << 24
 #: States that are opened in one step.
 OPENED = 128
 #: Stands for a null doc_id, which comes after all others.
@@ -229,22 +231,21 @@ def _asked(items: DataFrame) -> DataFrame:
 def _weighted(index: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
     """(q, item_id, terms, weights) of each item, from the number of documents with each of its terms.
 
-    Blocks send the counts of asked terms only (and of few others: a bit table of fixed size)."""
-    bits = membership_bits(asked, "term")
+    Blocks send the counts of asked terms only, and of few others: a broadcast table of ASKED_BITS has the
+    bits of asked terms set. What it lets through besides falls out of the join."""
+    place = F.col("term").bitwiseAND(ASKED_BITS - 1)
+    words = asked.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("value"))
+    bits = index.sparkSession.sparkContext.broadcast(dense_table(words, ASKED_BITS // 64, "uint64").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 terms, df = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, np.int64), (1, np.uint32)))
-                yield pa.record_batch([pa.array(terms), pa.array(df.astype(np.int64))], names=["term", "df"])
-
-    counts = index.select("terms", "dfs").mapInArrow(run, "term long, df long")
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bits_set(bits.value, batch.column(2).to_numpy()))).select(["term", "df"])
+                some = bits_set(bits.value, terms & (ASKED_BITS - 1))
+                yield pa.record_batch([pa.array(terms[some]), pa.array(df[some].astype(np.int64))], names=["term", "df"])
+        trim()
 
-    rows = counts.withColumn("place", bit_position("term")).mapInArrow(wanted, "term long, df long")
+    rows = index.select("terms", "dfs").mapInArrow(run, "term long, df long")
     df = rows.groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1))).cast("long")
     own = asked.join(df, "term").groupBy("q", "item_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
