@@ -230,7 +230,7 @@ def stream_weekly_bounded(t):
     return t.spark.read.parquet(f"{base}/out").select("week_start", "event_type", "n")
 
 
-@query("stream_sliding_compare", "SELECT w AS window_start, w + INTERVAL 28 DAY AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('week', ts)::TIMESTAMP - to_days(7 * k) for k in range(4)]) AS w FROM events) GROUP BY 1, 2, 3")
+@query("stream_sliding_counts", "SELECT w AS window_start, w + INTERVAL 28 DAY AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('week', ts)::TIMESTAMP - to_days(7 * k) for k in range(4)]) AS w FROM events) GROUP BY 1, 2, 3")
 def stream_sliding(t):
     base = st.scratch(t.spark)
     st.replay(_events(t), lambda s: st.run_to_table(st.sliding_counts(s, "ts", "event_type"), f"{base}/checkpoint", f"{base}/out", "complete"), 2, files=FILES)
@@ -239,6 +239,21 @@ def stream_sliding(t):
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("window_start", "window_end", "event_type", "n")
 
 
+@query("stream_sliding_compare", """WITH own AS (SELECT date_trunc('week', ts)::TIMESTAMP AS week, user_id, count(*) AS k FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+ended AS (SELECT DISTINCT week AS week_start FROM own WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+counts AS (SELECT week_start, user_id, CAST(coalesce(sum(k) FILTER (week = week_start), 0) AS BIGINT) AS n, CAST(coalesce(sum(k) FILTER (week < week_start), 0) AS BIGINT) AS before
+  FROM ended JOIN own ON week BETWEEN week_start - INTERVAL 28 DAY AND week_start GROUP BY 1, 2),
+totals AS (SELECT week_start, greatest(sum(n), 1) AS now, greatest(sum(before), 1) AS past FROM counts GROUP BY 1)
+SELECT week_start, user_id, n, before, n / now AS share, before / past AS prev_share, (n / now) / (before / past + 1 / now) AS score, before = 0 AS is_new FROM counts JOIN totals USING (week_start) WHERE n >= 3""")
+def stream_compare(t):
+    """Users' events of each ended week against the four weeks before, from a stream that joins a week with its own past."""
+    base = st.scratch(t.spark)
+    rows = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    last = rows.orderBy(F.desc("ts")).limit(1)  # one more file, so that the watermark reaches its end
+    st.replay(rows.join(last.select("event_id"), "event_id", "left_anti"), lambda s: st.stream_compare(s, "ts", "user_id", "1 day", f"{base}/counts", f"{base}/out", f"{base}/checkpoint", least=3), 3, then=last, files=FILES)
+    return t.spark.read.parquet(f"{base}/out").select("week_start", "user_id", "n", "before", "share", "prev_share", "score", "is_new")
+
+
 @query("stream_alerts", _hits_sql("SELECT keyword, id, count(*) AS n FROM hits GROUP BY keyword, id"))
 def stream_alerts(t):
     """Watch hits streamed in twice: each item is told once."""

@@ -56,6 +56,44 @@ def sliding_counts(events: DataFrame, time: str, by: str, delay: str | None = No
     return n.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "n")
 
 
+def trailing_counts(events: DataFrame, time: str, by: str, back: int = 4, delay: str | None = None) -> DataFrame:
+    """(week_start, by, n, before): rows of a week and of the `back` weeks before it; the same on a table and on a stream.
+
+    A window of back + 1 weeks holds a week and its past, so that a key has one state for each open week and the
+    watermark lets go of it with the week. Keys that a week has no row of are left out."""
+    rows = events.withWatermark(time, delay) if delay else events
+    rows = rows.select(F.window(time, f"{7 * (back + 1)} days", WEEK, MONDAY).alias("w"), F.col(time).alias("at"), by)
+    week = F.col("w.end") - F.expr(f"interval {WEEK}")
+    n = rows.groupBy("w", by).agg(F.count_if(F.col("at") >= week).alias("n"), F.count_if(F.col("at") < week).alias("before"))
+    return n.select(week.alias("week_start"), by, "n", "before")
+
+
+def compared(counts: DataFrame, by: str, least: int = 1) -> DataFrame:
+    """(week_start, by, n, before, share, prev_share, score, is_new) of keys with `least` rows in a week, from trailing_counts.
+
+    Shares are of all rows of the week and of its past, so that a week with more rows of every key lifts none; one row's
+    share is added to the past, so that a new key has a score."""
+    totals = counts.groupBy("week_start").agg(F.greatest(F.sum("n"), F.lit(1)).alias("now"), F.greatest(F.sum("before"), F.lit(1)).alias("then"))
+    rows = counts.where(F.col("n") >= max(least, 1)).join(totals, "week_start")
+    share, past = F.col("n") / F.col("now"), F.col("before") / F.col("then")
+    return rows.select("week_start", by, "n", "before", share.alias("share"), past.alias("prev_share"), (share / (past + F.lit(1) / F.col("now"))).alias("score"), (F.col("before") == 0).alias("is_new"))
+
+
+def stream_compare(events: DataFrame, time: str, by: str, delay: str, counts: str, out: str, checkpoint: str, back: int = 4, least: int = 1) -> None:
+    """Each week against its past, told once, when no row of it is awaited any more.
+
+    All keys of a week end in one batch, as the watermark is one for all, so that a batch has the whole totals of
+    its weeks. It writes its own parts of `counts` and `out`, which a batch that is run again replaces."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        ended = rows.sparkSession.read.schema(rows.schema).parquet(f"{counts}/batch={number}")
+        compared(ended, by, least).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    n = trailing_counts(events, time, by, back, delay)
+    n.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def freshness(events: DataFrame, time: str, by: str, now: str, late_days: int = 3) -> DataFrame:
     """(by, last_at, late): newest event of each; in a stream the state is one row for each."""
     last = events.groupBy(by).agg(F.max(time).alias("last_at"))
