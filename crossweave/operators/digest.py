@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.functions.components import settle
+from crossweave.functions.ranks import placed
 from crossweave.functions.text import grams2
 from crossweave.operators.axes import with_axes
 
@@ -23,8 +24,7 @@ def digest_pool(items: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("regulatory", F.coalesce("r", F.lit(False))).drop("r").withColumn("kept", F.coalesce("kept", F.lit(False))).where("kept or regulatory")
     kept = F.col("kept")
     order = [kept.desc(), F.when(kept, F.col("cross_score")).desc_nulls_last(), F.when(kept, F.col("relevance")).desc_nulls_last(), F.when(~kept, F.col("published_at")).desc_nulls_last(), F.asc("id")]
-    place = F.row_number().over(Window.partitionBy("published_week").orderBy(*order))
-    return rows.withColumn("place", place).withColumnRenamed("published_week", "week")
+    return placed(rows, "published_week", order).withColumnRenamed("published_week", "week")
 
 
 def digest_regulatory(pool: DataFrame, per_axis: int = 5) -> DataFrame:

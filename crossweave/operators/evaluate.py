@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossweave.functions.ranks import placed
+
 
 def _draw(seed: int, column: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
@@ -14,8 +16,8 @@ def label_sample(items: DataFrame, item_axes: DataFrame, n: int, seed: int = 0)
     """n // 2 kept items and the rest of n not kept, drawn by a seeded hash, with their axes."""
     kept = F.coalesce("kept", F.lit(False))
     rows = items.select("id", kept.alias("kept"))
-    place = F.row_number().over(Window.partitionBy("kept").orderBy(_draw(seed), "id"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("kept"), n // 2).otherwise(n - n // 2))
+    first = [rows.where(one).orderBy(_draw(seed), "id").limit(k) for one, k in (("kept", n // 2), ("not kept", n - n // 2))]
+    rows = first[0].union(first[1])
     axes = item_axes.groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_set("axis")), "+").alias("axes"))
     return rows.join(axes, F.col("id") == F.col("item_id"), "left").select("id", "kept", F.coalesce("axes", F.lit("")).alias("axes"))
 
@@ -60,9 +62,9 @@ def error_cases(labels: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def stratified_folds(labels: DataFrame, folds: int = 2, seed: int = 0) -> DataFrame:
-    """(id, label, fold): each label's rows in a seeded order, dealt in turn."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(_draw(seed), "id"))
-    return labels.select("id", "label", F.pmod(place, F.lit(folds)).alias("fold"))
+    """(id, label, fold): each label's rows in a seeded order, dealt in turn; a label of any size spreads over tasks."""
+    rows = placed(labels.select("id", "label", _draw(seed).alias("draw")), "label", [F.asc("draw"), F.asc("id")])
+    return rows.select("id", "label", F.pmod("place", F.lit(folds)).cast("int").alias("fold"))
 
 
 def majority_vote(votes: DataFrame) -> DataFrame:

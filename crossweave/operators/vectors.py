@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.components import components, star_forest
 from crossweave.functions.numbers import dot, norm
+from crossweave.functions.ranks import quantiles
 
 #: Vectors of a block are compared in tiles of so many.
 TILE = 4096
@@ -38,9 +39,11 @@ def contrast_relevance(vectors: DataFrame, positive: DataFrame, negative: DataFr
 
 
 def similarity_quantiles(scores: DataFrame, column: str = "relevance") -> DataFrame:
-    """Exact quantiles with linear interpolation, mean and extremes."""
-    marks = (0.5, 0.75, 0.9, 0.95, 0.99)
-    return scores.agg(*[F.percentile(column, m).alias(f"p{round(m * 100)}") for m in marks], F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+    """Exact quantiles with linear interpolation, mean and extremes: one row, of nulls where there is no score."""
+    marks = [0.5, 0.75, 0.9, 0.95, 0.99]
+    found = quantiles(scores, column, marks).agg(*[F.max(F.when(F.col("mark") == m, F.col("value"))).alias(f"p{round(m * 100)}") for m in marks])
+    stats = scores.agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+    return found.crossJoin(stats)  # one row and one row
 
 
 def threshold_sweep(scores: DataFrame, grid: list[float], column: str = "relevance") -> DataFrame:

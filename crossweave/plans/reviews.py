@@ -32,7 +32,7 @@ def _pool(t):
 
 @query("digest_pool", _pool_sql("SELECT week, CAST(place AS INT) AS place, id, regulatory FROM pool"))
 def pool(t):
-    return _pool(t).select("week", "place", "id", "regulatory")
+    return _pool(t).select("week", F.col("place").cast("int").alias("place"), "id", "regulatory")
 
 
 @query("digest_regulatory", _pool_sql("SELECT week, CAST(rank AS INT) AS rank, id, title FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY place) AS rank FROM pool WHERE regulatory) WHERE rank <= 5"))

@@ -18,7 +18,7 @@ COMPARED = [
     "contrast_relevance", "weekly_dedup", "extract_keywords", "kw_week", "kw_neighbors", "kw_item", "rising_keywords", "rising_groups", "bridge_scores",
     "search_page", "keyword_items", "corpus_stats", "month_tree", "recurring_orgs", "digest_pool", "title_containment", "period_axis_compare", "available_periods",
     "task_candidates", "alert_hits", "confusion_matrix", "metric_spread", "month_material", "index_consistency", "stream_ingest", "stream_weekly_counts", "late_data_routing",
-    "stream_sliding_counts", "stream_sliding_compare", "index_delta", "pair_delta",
+    "stream_sliding_counts", "stream_sliding_compare", "index_delta", "pair_delta", "similarity_quantiles", "label_sample", "stratified_folds", "digest_regulatory",
 ]
 
 
