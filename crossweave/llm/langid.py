@@ -16,6 +16,10 @@ DIMENSIONS = 2048
 #: Symbols: the gap between words, a-z, the small letters of Latin-1, and 36 classes that all other letters are hashed to.
 SYMBOLS, OTHERS = 96, 60
 SEED = 20_240_101
+#: Texts and trigrams that are bundled at once, and trigrams whose vectors are held at once.
+BLOCK_TEXTS, BLOCK_GRAMS, VECTORS = 256, 1 << 19, 2048
+#: Values of lang, at most: with 16 KB each, 64 MB are broadcast.
+MOST_LANGUAGES = 4096
 
 
 @cache
@@ -65,61 +69,74 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def bundled(grams: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A row for each list of trigrams: the sum of their vectors, made for all lists at once as counts times vectors.
+
+    Sums are whole numbers, which single precision holds exactly for lists under 2^24 trigrams; longer ones take
+    double. VECTORS trigrams' vectors are held at a time."""
+    every, owner = np.concatenate([np.zeros(0, np.int64), *grams]), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    kind = np.float32 if max(map(len, grams), default=0) < 1 << 24 else np.float64
+    there = np.flatnonzero(np.bincount(every, minlength=SYMBOLS**3))
+    column = np.zeros(SYMBOLS**3, np.int64)
+    column[there] = np.arange(len(there))
+    at, out = column[every], np.zeros((len(grams), dimensions), kind)
+    for k in range(0, len(there), VECTORS):
+        part = there[k : k + VECTORS]
+        mine = (at >= k) & (at < k + len(part))
+        counts = np.bincount(owner[mine] * len(part) + at[mine] - k, minlength=len(grams) * len(part)).reshape(len(grams), len(part))
+        out += counts.astype(kind) @ gram_vectors(part, dimensions).astype(kind)
+    return out
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first, trigrams of each text): consecutive texts that are bundled together, at most BLOCK_TEXTS with about BLOCK_GRAMS trigrams."""
+    first, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(trigrams(text))
+        size += len(held[-1])
+        if size >= BLOCK_GRAMS or len(held) == BLOCK_TEXTS:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
 def prototypes(train: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """(lang, dim, value): each language's bundle (sum) of all trigram vectors of all training texts.
 
-    A task counts the trigrams of its rows by language and bundles them once, so that it sends one
-    vector for each language, which are summed with map-side combine."""
+    A task bundles its rows by language and sends one vector for each, which are summed with map-side combine."""
     rows = train.select("lang", "text").where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in pieces(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = trigrams(text)
-                if lang not in counts:
-                    counts[lang] = np.zeros(SYMBOLS**3, np.int64)
-                np.add.at(counts[lang], grams, 1)
-        for lang, n in counts.items():
-            bundle = np.zeros(dimensions)
-            there = np.nonzero(n)[0]
-            for k in range(0, len(there), 1024):
-                part = there[k : k + 1024]
-                bundle += n[part].astype(np.float64) @ gram_vectors(part, dimensions).astype(np.float64)
+            named = batch.column(0).to_pylist()
+            for first, grams in blocks(batch.column(1).to_pylist()):
+                own: dict[str, list[np.ndarray]] = {}
+                for k, g in enumerate(grams):
+                    own.setdefault(named[first + k], []).append(g)
+                for lang, bundle in zip(own, bundled([np.concatenate(g) for g in own.values()], dimensions), strict=True):
+                    sums[lang] = sums.get(lang, np.zeros(dimensions)) + bundle
+        for lang, bundle in sums.items():
             yield pa.record_batch([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(bundle)], names=["lang", "dim", "value"])
 
     return rows.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
 
 
-def score_table(learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Each trigram's part of the cosine with each language's prototype (the prototype scaled to length 1).
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """The languages and a row of length 1 for each: their bundles over the text and lang of all rows that are not held out.
 
-    The dot product of a bundle with a prototype is the sum of its trigrams' dot products, so that a
-    text is compared with all languages by adding rows of this table: the same numbers as from the
-    bundled vectors, without making them."""
-    langs = sorted(k for k, v in learned.items() if np.any(v))
-    if not langs:
-        return [], np.zeros((SYMBOLS**3, 0), np.float32)
-    v = letter_vectors(dimensions).astype(np.float32)
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    table = np.empty((SYMBOLS, SYMBOLS, SYMBOLS, len(langs)), np.float32)
-    for k, name in enumerate(langs):
-        profile = (learned[name] / np.linalg.norm(learned[name])).astype(np.float32)
-        for a in range(SYMBOLS):  # all trigrams that begin with one symbol
-            table[a, :, :, k] = second * (first[a] * profile) @ v.T
-    table = table.reshape(SYMBOLS**3, len(langs))
-    return langs, table
-
-
-def train_table(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Learns from the text and lang of all rows that are not held out; the driver gets one vector for each language."""
-    rows = prototypes(docs.where(~held_out()), dimensions).toPandas()
-    learned = {}
-    for lang, part in rows.groupby("lang"):
-        v = np.zeros(dimensions)
+    The driver gets, and sends, `dimensions` numbers a language (16 KB); more than MOST_LANGUAGES values of lang raise."""
+    rows = prototypes(docs.where(~held_out()), dimensions).where("value <> 0")
+    n = docs.where("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang; they are no languages")
+    found: dict[str, np.ndarray] = {}
+    for lang, part in rows.toPandas().groupby("lang"):
+        v = found.setdefault(lang, np.zeros(dimensions))
         v[part["dim"].to_numpy()] = part["value"].to_numpy()
-        learned[lang] = v
-    return score_table(learned, dimensions)
+    langs = sorted(found)
+    return langs, np.array([found[k] / np.linalg.norm(found[k]) for k in langs]).reshape(len(langs), dimensions)
 
 
 def known_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -134,40 +151,30 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, keep: tuple[str, ...
     """(doc_id, [keep], held_out, lang_pred, score) for every whole text.
 
     The prediction is the language whose prototype has the highest cosine with the bundle of the
-    text's trigrams, the first by name in a tie; the score is that cosine (0 at least), the bundle's
-    length taken as that of its trigram counts times the square root of the dimensions, which is
-    what random vectors have. Null texts and texts without a letter are und with score 0, as are all
-    where nothing could be learned. lang, source and doc_id are no inputs of a prediction. Each row
-    is judged by itself, repeated rows alike; other columns are not read.
-
-    One pass to learn (a vector for each language and task is shuffled) and one map to predict. The
-    table that is broadcast has SYMBOLS^3 rows and a column for each language."""
-    langs, table = train_table(docs, dimensions)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, table))
+    text's trigrams, the first by name in a tie; the score is that cosine, to twelve decimals (0 at
+    least). Null texts and texts without a letter are und with score 0, as are all where nothing could
+    be learned. lang, source and doc_id are no inputs of a prediction. Each row is judged by itself,
+    repeated rows alike; other columns are not read.
+
+    One pass to learn (a vector for each language and task is shuffled) and one map to predict. What is
+    broadcast is a vector for each language, of which there are MOST_LANGUAGES at most."""
+    langs, profiles = learn(docs, dimensions)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, profiles))
     kept = [k for k in keep if k != "doc_id"]
     others = [k for k in keep if k not in ("text", "doc_id")]
     rows = docs.select("text", "doc_id", held_out().alias("held_out"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = shared.value
+        langs, profiles = shared.value
         for batch in pieces(batches):
-            names, scores = [], []
-            for text in batch.column(0).to_pylist():
-                grams = trigrams(text)
-                if not len(grams) or not langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                if len(grams) > 4096:
-                    distinct, n = np.unique(grams, return_counts=True)
-                    dots = n.astype(np.float64) @ table[distinct]
-                else:
-                    n = np.unique(grams, return_counts=True)[1]
-                    dots = table[grams].sum(axis=0, dtype=np.float64)
-                best = int(np.argmax(dots))
-                length = np.sqrt(float((n.astype(np.float64) ** 2).sum()) * dimensions)
-                names.append(langs[best])
-                scores.append(min(1.0, max(0.0, float(dots[best] / length))))
+            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            for first, grams in blocks(batch.column(0).to_pylist() if langs else []):
+                some = [k for k, g in enumerate(grams) if len(g)]
+                b = bundled([grams[k] for k in some], dimensions).astype(np.float64)
+                cosines = np.round(b @ profiles.T / np.maximum(np.linalg.norm(b, axis=1), 1)[:, None], 12)
+                for k, row in zip(some, cosines, strict=True):
+                    best = int(np.argmax(row))
+                    names[first + k], scores[first + k] = langs[best], min(1.0, max(0.0, row[best]))
             yield pa.record_batch([batch.column(1), *[batch.column(0 if k == "text" else 3 + others.index(k)) for k in kept], batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *kept, "held_out", "lang_pred", "score"])
 
     kinds = dict(rows.dtypes)

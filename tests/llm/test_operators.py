@@ -371,18 +371,33 @@ def test_language_of_odd_texts(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([10, 5, 6, None], key=str) and kept.columns == table(spark, rows).columns
 
 
-def test_trigram_scores_are_those_of_the_bundles():
-    texts = {"en": "the thing and that is the way of it", "fr": "le la les des une dans pour"}
-    learned = {k: langid.gram_vectors(langid.trigrams(t)).astype(float).sum(axis=0) for k, t in texts.items()}
-    langs, scores = langid.score_table(learned)
-    grams = langid.trigrams("that is the one")
-    bundle = langid.gram_vectors(grams).astype(float).sum(axis=0)
-    direct = [bundle @ learned[k] / np.linalg.norm(learned[k]) for k in langs]
-    assert np.allclose(scores[grams].sum(axis=0), direct, rtol=1e-4)
+@pytest.mark.parametrize("held", [2048, 7])
+def test_bundles_of_many_texts_are_those_of_each(monkeypatch, held):
+    monkeypatch.setattr(langid, "VECTORS", held)
+    grams = [langid.trigrams(t) for t in ("the thing and that is the way of it", "", "le la les des une dans pour", "ab" * 5000, "это и есть")]
+    direct = [langid.gram_vectors(g).astype(float).sum(axis=0) for g in grams]
+    assert np.array_equal(langid.bundled(grams), np.array(direct))
+
+
+def test_blocks_hold_all_texts_in_order(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(langid, "BLOCK_GRAMS", 20)
+    texts = ["one", None, "", "a text that is longer than a block may be", "five", "six", "seven", "eight"]
+    got = list(langid.blocks(texts))
+    assert [first for first, _ in got] == list(np.cumsum([0, *[len(g) for _, g in got]])[:-1])
+    assert all(np.array_equal(a, langid.trigrams(t)) for a, t in zip([g for _, block in got for g in block], texts, strict=True))
+
+
+def test_more_values_than_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(k, "a text of words", f"l{k % 3}", "s") for k in range(9)]
+    assert {r["lang_pred"] for r in langid.identify(table(spark, rows)).collect()} <= {"l0", "l1", "l2"}
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.identify(table(spark, [*rows, (9, "a text", "l4", "s")]))
 
 
 def test_language_query_is_the_plain_bundle_and_cosine(spark, sf_dir):
-    """Every text's bundle is made and compared with the bundles of all training texts; scores differ by the length taken as its expectation."""
+    """Every text's bundle is made and compared with the bundles of all training texts."""
     rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
     bundles, learned = {}, {}
@@ -401,7 +416,7 @@ def test_language_query_is_the_plain_bundle_and_cosine(spark, sf_dir):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
             continue
         cosines = [float(b @ learned[k] / np.linalg.norm(b) / np.linalg.norm(learned[k])) for k in langs]
-        assert r["lang_pred"] == langs[int(np.argmax(cosines))] and abs(r["score"] - max(cosines)) < 0.1
+        assert r["lang_pred"] == langs[int(np.argmax(cosines))] and abs(r["score"] - max(0.0, *cosines)) < 1e-9
 
 
 def test_language_of_other_scripts(spark):
