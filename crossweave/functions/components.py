@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,11 +26,28 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside are deleted as each of them ends, on all executors, instead of when the
+    driver's garbage is next collected. A plan that is run again after that makes its shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder of spark.checkpoint.dir that all executors share, read back: cuts the lineage."""
+    """A table in the folder of spark.checkpoint.dir that all executors share, read back: cuts the lineage.
+
+    What its shuffles left on the executors' disks goes once the table is written, so that a job of many
+    steps takes the disk of its largest step."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/crossweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with shuffles_end_here(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +77,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(node), pa.array(root)], names=["hi", "lo"])
 
 
+def _told(now: DataFrame) -> Row:
+    """Number of edges, a sum of their hashes, and how many upper ends they have."""
+    with shuffles_end_here(now.sparkSession):
+        return now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node that each node of an edge is connected with; ids are longs.
 
@@ -70,7 +94,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     # edges that Python code makes are written first, so that a task never holds two Python workers
     now = settle(edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi <> lo"), "edges")
     now = settle(now.mapInArrow(_forest, kind), "edges")
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
+    state = _told(now)
     while state[0]:
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -78,7 +102,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         tied = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
         joined = tied.select("hi", F.col("m").alias("lo")).union(tied.select("lo", "m")).where("hi <> lo").distinct()
         now = settle(joined.mapInArrow(_forest, kind).distinct(), "edges")
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
+        after = _told(now)
         if after == state and after[0] == after[2]:
             break
         state = after
