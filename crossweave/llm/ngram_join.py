@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.llm.shared import bit_position, bits_set, components, membership_bits, mix64, pieces, release, save, shingle_sets
+from crossweave.llm.shared import bit_position, bits_set, components, membership_bits, mix64, pieces, save, shingle_sets, shuffles_end_here
 
 WIDTH = 5
 #: Links are 100 * |A & B| >= PERCENT * |A | B|.
@@ -309,7 +309,9 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
 
     found = rows.mapInArrow(count, "chunk int, raw binary").repartition("chunk").mapInArrow(add, "chunk int, raw binary")
     table = np.zeros(SLOTS, np.int32)
-    for row in found.collect():  # SLOTS / chunk rows at most
+    with shuffles_end_here(rows.sparkSession):
+        told = found.collect()  # SLOTS / chunk rows at most
+    for row in told:
         table[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["raw"], np.int32)
     return rows.sparkSession.sparkContext.broadcast(table.tobytes())
 
@@ -482,7 +484,6 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     sets = save(sets, "sets")
 
     met = save(meet(_posted(rows, width, percent)), "met")
-    release(docs.sparkSession)
     flagged = met.where("hot").select(F.col("a").alias("sid"))
     pairs = met.where("not hot").select("a", "b")
     tied = None
@@ -492,14 +493,12 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         again = save(meet(_posted(rows, width, percent, member, order, members=True), members=True), "met_again")
         member.unpersist()
         order.unpersist()
-        release(docs.sparkSession)
         pairs = pairs.union(again.where("not hot").select("a", "b")).distinct()
         tied = hot_pairs(again.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key")), sets, percent)
     close = sketch_filter(pairs, sets, percent)
     if tied is not None:
         close = close.union(tied)
     groups = components(close)
-    release(docs.sparkSession)
     links = verified_links(docs.where("doc_id is not null"), groups, sets, width, percent)
     roots = components(links).select(F.col("node").alias("sid"), "root")
     label = sets.select("sid", "first_doc").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

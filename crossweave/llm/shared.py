@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.functions.components import components, settle, shared_folder
+from crossweave.functions.components import components, settle, shared_folder, shuffles_end_here
 
-__all__ = ["components", "save"]
+__all__ = ["components", "save", "shuffles_end_here"]
 
 #: Python code gets its texts in pieces of about so many characters, whatever the size of Arrow's batches.
 PIECE_CHARS = 2_000_000
@@ -31,13 +31,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return settle(df, name)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of steps whose results are saved: Spark's cleaner deletes them once the
-    driver has collected the garbage of their plans, which a quiet driver would put off until its disk fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def trim() -> None:
     """Gives memory that a task has let go of back to the system, as a worker waits for its next task with what it keeps."""
     gc.collect()
