@@ -378,3 +378,23 @@ def test_title_pairs_are_brute_force(spark, cut):
     g = {k: pairs_of(x) for k, x in titles}
     expected = {(i, j) for i in g for j in g if i < j and min(len(g[i]), len(g[j])) >= 4 and len(g[i] & g[j]) / min(len(g[i]), len(g[j])) >= cut}
     assert {(r["a"], r["b"]) for r in digest.title_pairs(df, cut).collect()} == expected
+
+
+@pytest.mark.parametrize("dense", [0, 400, 1 << 26])
+def test_strongest_neighbors_without_a_table_of_pairs(spark, monkeypatch, dense):
+    """The same as from all pairs, with ties, keywords that hold others, and stop words; a number is dealt to as many tiles as there are groups, at most."""
+    monkeypatch.setattr(index, "DENSE", dense)
+    rng = random.Random(11)
+    names = [f"k{n}" for n in range(40)]  # k1 is held by k10 to k19
+    docs = {i: {names[min(rng.randrange(40), rng.randrange(40))] for _ in range(rng.choice((2, 5, 20)))} for i in range(150)}
+    rows = spark.createDataFrame([(i, w) for i, ws in docs.items() for w in ws], "item_id long, keyword string")
+    df = index.kw_df(rows)
+    for stop, top in (((), 3), (("k01", "k7"), 4)):
+        named = index.neighbors(index.cooccurrence(rows, df, 3), df, stop, cut=0.02, top=top)
+        got = index.strongest_neighbors(rows, df, stop, 3, cut=0.02, top=top)
+        assert sorted(map(tuple, named.collect())) == sorted(map(tuple, got.collect())) != []
+    coded, lists = index._coded(rows, df, 1, None)
+    groups = index._groups(spark, coded.count())
+    sent = sum(len(r["a"]) + len(r["b"]) for r in index._dealt(lists, groups).collect()) // 2
+    assert sent <= (groups + 1) * sum(map(len, docs.values()))
+    assert index.strongest_neighbors(rows.limit(0), df.limit(0)).count() == 0
