@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweave.functions.dates import iso_week, parse_time
-from crossweave.functions.text import clean_text, unescape_all
+from crossweave.functions.text import clean_text, unescape_all, unescape_basic
 
 #: A landed record.
 RECORD = T.StructType(
@@ -113,11 +113,11 @@ def law_rows(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select(F.lit("law").alias("source"), F.concat_ws(":", "target", value("seq")).alias("source_id"), F.trim(value("name")).alias("title"), F.array_join(parts, " · ").alias("summary"), F.try_to_timestamp(value("day"), F.lit("yyyyMMdd")).alias("published_at"), F.map_filter("fields", lambda _, v: F.trim(v) != "").alias("meta")).where("source_id not like '%:'")
 
 
-def topic_pages(pages: DataFrame, suffix: str = r"\s*[|-]\s*[^|-]*$") -> DataFrame:
+def topic_pages(pages: DataFrame, suffix: str = r"\s*[|-]\s*[^|-]*$", unescape=unescape_basic) -> DataFrame:
     """(page_id, state, title, summary, published_at) of landed HTML pages.
 
     The title is og:title, else the title element without the site's name; the date comes from
-    meta, else JSON-LD, else a time element; state is ok, not_found or bot_challenge."""
+    meta, else JSON-LD, else a time element; state is ok, not_found or bot_challenge. `unescape` decodes titles."""
     html = F.coalesce("html", F.lit(""))
     tag = lambda name: F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]+(?:property|name)=["\']{name}["\'][^>]*?content=["\'](.*?)["\']', 1), F.lit(""))
     plain = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
@@ -125,7 +125,7 @@ def topic_pages(pages: DataFrame, suffix: str = r"\s*[|-]\s*[^|-]*$") -> DataFra
     date = F.coalesce(tag("article:published_time"), F.nullif(F.regexp_extract(html, r'"datePublished"\s*:\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(html, r'(?is)<time[^>]+datetime=["\']([^"\']+)["\']', 1), F.lit("")))
     low = F.lower(plain)
     state = F.when(low.rlike(r"just a moment|attention required|are you a robot") | F.lower(html).contains("cf-challenge"), "bot_challenge").when((html == "") | low.rlike(r"404|not found"), "not_found").otherwise("ok")
-    return pages.select("page_id", state.alias("state"), clean_text(title).alias("title"), clean_text(F.coalesce(tag("og:description"), F.lit(""))).alias("summary"), parse_time(date).alias("published_at"))
+    return pages.select("page_id", state.alias("state"), clean_text(title, unescape).alias("title"), clean_text(F.coalesce(tag("og:description"), F.lit(""))).alias("summary"), parse_time(date).alias("published_at"))
 
 
 def feed_entries(entries: DataFrame) -> DataFrame:

@@ -91,3 +91,10 @@ def test_editorial_cites_two_items_without_gathering_a_month(spark, sf_dir):
     for r in t.items.where("kept").select(F.date_format(F.col("published_at") + F.expr("interval 9 hours"), "yyyy-MM").alias("m"), "id").collect():
         months.setdefault(r["m"], []).append(r["id"])
     assert {r["period"]: [x["id"] for x in r["sources"]] for r in found.collect()} == {m: sorted(ids)[:2] for m, ids in months.items()}
+
+
+def test_topic_pages_decode_what_their_sql_decodes(spark, tmp_path):
+    rows = [(1, "<title>a &amp; b &quot;c&quot; | Site</title>"), (2, "<title>&lt;x&gt; &#39;y&#39; &amp;amp;</title>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    expected = duckdb.connect().sql(registry.ORACLES["parse_topic_pages"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["parse_topic_pages"](spark, str(tmp_path)).collect())) == sorted(expected)
