@@ -631,6 +631,26 @@ def test_url_query_finds_other_pages_of_a_listed_url(spark, tmp_path):
     assert got == [(7, "/p/x", "block"), (8, "/p/x/", "block"), (8, "/p/y", "allow"), (9, "", "allow"), (11, "/1/index.html", "block"), (100, "/p/x.html", "block"), (200, "", "allow"), (300, "/1", "block")]
 
 
+def test_url_query_lists_pages_of_listed_labels_too(spark, tmp_path):
+    rows = [(11, "http://a.casino.net/1"), (12, "http://WAREZ/x"), (13, "http://casinos.net/1"), (14, None), (15, "http://a.casino.org/1")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["verdict"], r["listed"]) for r in QUERIES["op10_url_filters"](spark, str(tmp_path)).collect()}
+    assert got == {11: ("block", True), 12: ("block", True), 13: ("allow", False), 14: ("allow", False), 15: ("allow", True)}
+
+
+def test_every_set_posts_once_whatever_it_shares(spark):
+    """Rows that are posted grow with the sets, not with how many of them share a frequent passage."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    posted = []
+    for n in (10, 40):
+        docs = spark.createDataFrame([(i, f"{passage} " + " ".join(f"w{i}_{k}" for k in range(40))) for i in range(n)], "p long, text string")
+        order = ngram_join._frequencies(docs, 5, 80)
+        rows = ngram_join._posted(docs, 5, 80, order)
+        posted.append(rows.count())
+        order.unpersist()
+    assert posted[1] == 4 * posted[0]
+
+
 def test_bloom_filter_grows_with_its_list_within_bounds():
     assert urls.blocks_for(0) == urls.FEWEST and urls.blocks_for(10**12) == urls.MOST
     assert urls.blocks_for(1_000_000) == 1 << 15
