@@ -398,3 +398,18 @@ def test_strongest_neighbors_without_a_table_of_pairs(spark, monkeypatch, dense)
     sent = sum(len(r["a"]) + len(r["b"]) for r in index._dealt(lists, groups).collect()) // 2
     assert sent <= (groups + 1) * sum(map(len, docs.values()))
     assert index.strongest_neighbors(rows.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_title_tiles_deal_only_their_classes(spark, monkeypatch, tile):
+    """Titles of a few characters meet on every pair of them; what leaves the tiles are close pairs alone, each once."""
+    monkeypatch.setattr(digest, "TILE", tile)
+    rng = random.Random(12)
+    titles = [(f"w{k % 2}" if k % 9 else None, k, "".join(rng.choice("abc") for _ in range(rng.choice((5, 8, 12))))) for k in range(90)]
+    df = spark.createDataFrame(titles, "week string, id long, title string")
+    sets = {k: (w, pairs_of(x)) for w, k, x in titles}
+    expected = {(i, j) for i, (v, g) in sets.items() for j, (w, h) in sets.items() if i < j and v == w and v and min(len(g), len(h)) >= 4 and len(g & h) / min(len(g), len(h)) >= 0.8}
+    got = [(r["a"], r["b"]) for r in digest.title_pairs(df, 0.8).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    close = digest.title_classes(df, 0.8)[1]
+    assert "Aggregate" not in close._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
