@@ -11,10 +11,9 @@ shares one of its first D + 1 non-empty blocks, in any order that all sets keep,
 (pigeonhole); blocks are joined on equality, candidates pass the short sketch, and what is left is
 verified on the sets themselves. No step is a guess: no link is lost, and none is made below the bound.
 
-Groups of copies: equal sets are one set from the start. A block's key shared by more than HOT sets
-is not paired up. Its sets are dealt anew with the blocks in order of how many sets have them, so
-that passages which many documents share come last and drop out; sets that still meet in a hot
-block are compared by their short sketches in tiles, which emit a spanning forest of the pairs that
+Groups of copies: equal sets are one set from the start. Blocks are taken in order of how many sets
+have them, so that passages which many documents share come last and drop out. A block's key shared
+by more than HOT sets is not paired up; sets that meet in a hot block are compared by their short sketches in tiles, which emit a spanning forest of the pairs that
 pass; what hangs together then is compared exactly, in tiles that emit a spanning forest of true links."""
 
 from __future__ import annotations
@@ -240,35 +239,32 @@ def meet(postings: DataFrame, members: bool = False) -> DataFrame:
     return found.select(low.alias("a"), high.alias("b"), "hot").distinct()
 
 
-def _posted(rows: DataFrame, width: int, percent: int, member=None, order=None, members: bool = False) -> DataFrame:
-    """(key, sid; members: other): the first D + 1 keys of each set; `order` has the blocks' frequencies by slot."""
+def _posted(rows: DataFrame, width: int, percent: int, order) -> DataFrame:
+    """(key, sid, other): the D + 1 rarest keys of each set; `order` has the blocks' frequencies by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(order.value, np.int32) if order is not None else None
+        counts = np.frombuffer(order.value, np.int32)
         keys: list[np.ndarray] = []
         sids: list[np.ndarray] = []
         made = 0
         for batch in pieces(batches):
             seen: set[int] = set()
-            for found in shingle_sets(_members(batch, member), width):
+            for found in shingle_sets(batch.column(1), width):
                 if not len(found) or (sid := set_id(found)) in seen:
                     continue
                 seen.add(sid)
                 for most, own in all_keys(found, percent):
-                    if counts is not None:
-                        own = own[np.lexsort((own, counts[own % SLOTS]))][: most + 1]
-                    elif len(own) > most + 1:
-                        own = np.partition(own, most)[: most + 1]
+                    own = own[np.lexsort((own, counts[own % SLOTS]))][: most + 1]
                     keys.append(own)
                     sids.append(np.full(len(own), sid, np.int64))
                     made += len(own)
             if made >= SENT:
-                yield _local(np.concatenate(keys), np.concatenate(sids), members)
+                yield _local(np.concatenate(keys), np.concatenate(sids), True)
                 keys, sids, made = [], [], 0
         if made:
-            yield _local(np.concatenate(keys), np.concatenate(sids), members)
+            yield _local(np.concatenate(keys), np.concatenate(sids), True)
 
-    return rows.mapInArrow(run, "key long, sid long" + ", other long" * members)
+    return rows.mapInArrow(run, "key long, sid long, other long")
 
 
 def _members(batch: pa.RecordBatch, member) -> pa.Array:
@@ -278,7 +274,7 @@ def _members(batch: pa.RecordBatch, member) -> pa.Array:
     return batch.column(1).filter(pa.array(bits_set(member.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
 
-def _frequencies(rows: DataFrame, width: int, percent: int, member):
+def _frequencies(rows: DataFrame, width: int, percent: int):
     """A broadcast table of SLOTS counters: how many sets have a block that falls in the slot.
 
     A task counts all its rows in one table and sends that in chunks; chunks are added up as they come."""
@@ -289,7 +285,7 @@ def _frequencies(rows: DataFrame, width: int, percent: int, member):
         for batch in pieces(batches):
             keys = [np.zeros(0, np.int64)]
             seen: set[int] = set()
-            for found in shingle_sets(_members(batch, member), width):
+            for found in shingle_sets(batch.column(1), width):
                 if len(found) and (sid := set_id(found)) not in seen:
                     seen.add(sid)
                     keys += [own for _, own in all_keys(found, percent)]
@@ -483,21 +479,13 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     sets = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sets = save(sets, "sets")
 
-    met = save(meet(_posted(rows, width, percent)), "met")
-    flagged = met.where("hot").select(F.col("a").alias("sid"))
-    pairs = met.where("not hot").select("a", "b")
-    tied = None
-    if not flagged.isEmpty():
-        member = membership_bits(sets.join(flagged, "sid", "left_semi"), "first_doc")
-        order = _frequencies(rows, width, percent, member)
-        again = save(meet(_posted(rows, width, percent, member, order, members=True), members=True), "met_again")
-        member.unpersist()
-        order.unpersist()
-        pairs = pairs.union(again.where("not hot").select("a", "b")).distinct()
-        tied = hot_pairs(again.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key")), sets, percent)
-    close = sketch_filter(pairs, sets, percent)
-    if tied is not None:
-        close = close.union(tied)
+    order = _frequencies(rows, width, percent)
+    met = save(meet(_posted(rows, width, percent, order), members=True), "met")
+    order.unpersist()
+    close = sketch_filter(met.where("not hot").select("a", "b"), sets, percent)
+    hot = met.where("hot").select(F.col("a").alias("sid"), F.col("b").alias("key"))
+    if not hot.isEmpty():
+        close = close.union(hot_pairs(hot, sets, percent))
     groups = components(close)
     links = verified_links(docs.where("doc_id is not null"), groups, sets, width, percent)
     roots = components(links).select(F.col("node").alias("sid"), "root")
