@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.components import settle
 from crossweave.functions.text import fold_key
-from crossweave.operators.index import cooccurrence, pair_strength
+from crossweave.operators.index import axis_hits, cooccurrence, listed, pair_strength
 from crossweave.operators.trend import fragments
 
 
 def graph_docs(keywords: DataFrame, items: DataFrame) -> DataFrame:
-    """Keyword rows of kept items."""
+    """The index (rows or lists) of kept items."""
     return keywords.join(items.where("kept").select(F.col("id").alias("item_id")), "item_id", "left_semi")
 
 
@@ -30,7 +30,7 @@ def candidates(df: DataFrame, min_df: int, max_nodes: int, stop_words: tuple[str
 
 def edges(keywords: DataFrame, nodes: DataFrame, df: DataFrame, min_cooc: int, cut: float) -> DataFrame:
     """(a, b, npmi, cooc) among the nodes; pairs in every document have no edge."""
-    among = keywords.join(nodes.select("keyword"), "keyword", "left_semi")
+    among = listed(keywords).join(nodes.select("keyword"), "keyword", "left_semi")
     chosen = df.join(nodes.select("keyword"), "keyword", "left_semi")
     strong = pair_strength(cooccurrence(among, chosen, 1), chosen, min_cooc)
     return strong.where((F.col("npmi") >= cut) & (F.col("npmi") != 0)).select("a", "b", "npmi", F.col("n").alias("cooc"))
@@ -38,7 +38,7 @@ def edges(keywords: DataFrame, nodes: DataFrame, df: DataFrame, min_cooc: int, c
 
 def axis_shares(keywords: DataFrame, nodes: DataFrame, item_axes: DataFrame) -> DataFrame:
     """(keyword, axis, hits, share, main): a node's items by axis; main marks the dominant one (by name in a tie)."""
-    hits = keywords.join(nodes.select("keyword"), "keyword", "left_semi").join(item_axes, "item_id").groupBy("keyword", "axis").agg(F.count("*").alias("hits"))
+    hits = axis_hits(keywords, item_axes).join(nodes.select("keyword"), "keyword", "left_semi").withColumnRenamed("n", "hits")
     by = Window.partitionBy("keyword")
     return hits.select("keyword", "axis", "hits", (F.col("hits") / F.sum("hits").over(by)).alias("share"), (F.row_number().over(by.orderBy(F.desc("hits"), "axis")) == 1).alias("main"))
 
