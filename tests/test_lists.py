@@ -50,3 +50,15 @@ def test_newest_items_are_picked_before_the_shuffle(spark):
     lists, rows, _, _ = tables(spark)
     plan = ix.kw_item(lists, ix.kw_df(rows), kw.is_org("keyword", ("tion",), 5), 2, 2, 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_a_large_csv_is_several_files_each_with_its_header(spark, tmp_path):
+    key, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        sinks.write_csv(spark.range(2000).select(F.concat(F.lit("k,"), F.col("id").cast("string")).alias("keyword"), "id"), str(tmp_path / "out"))
+    finally:
+        spark.conf.set(key, before)
+    files = [p.read_bytes() for p in (tmp_path / "out").glob("part-*.csv")]
+    assert len(files) > 1 and all(f.startswith(b"\xef\xbb\xbfkeyword,id\n") for f in files)
+    assert sorted(map(tuple, sinks.read_csv(spark, str(tmp_path / "out")).collect())) == sorted((f"k,{k}", str(k)) for k in range(2000))
