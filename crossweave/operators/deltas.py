@@ -31,7 +31,11 @@ def _part(name: str, parts: int) -> Column:
 
 def _write(rows: DataFrame, path: str, name: str, number: int, parts: int) -> None:
     """Parts of a version; those of other versions stay, and a version that is written again replaces its own."""
-    dealt = rows.select(*_keys(name), F.col("n").cast("long").alias("n"), _part(name, parts).alias("part"), F.lit(number).alias("upto")).hint("rebalance", "part")
+    if "keywords" in rows.columns:  # lists go to their parts whole
+        dealt = ix.listed(rows.withColumn("part", _part(name, parts)).hint("rebalance", "part")).withColumn("n", F.lit(1))
+    else:
+        dealt = rows if "part" in rows.columns else rows.withColumn("part", _part(name, parts)).hint("rebalance", "part")
+    dealt = dealt.select(*_keys(name), F.col("n").cast("long").alias("n"), "part", F.lit(number).alias("upto"))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "upto").parquet(f"{path}/{name}")
 
 
@@ -46,13 +50,14 @@ def read(spark: SparkSession, path: str, name: str, number: int, only: list[int]
 
 
 def counted(keywords: DataFrame, items: DataFrame, item_axes: DataFrame) -> dict[str, DataFrame]:
-    """The tables of an index (item_id, keyword, week), which has a keyword once for an item; items have id, kept and published_week."""
+    """The tables of an index (item_id, keyword, week), which has a keyword once for an item, or of its lists (item_id, week,
+    keywords), which stay lists in `rows`; items have id, kept and published_week."""
     return {
-        "rows": keywords.select("item_id", "keyword", "week", F.lit(1).alias("n")),
+        "rows": keywords if "keywords" in keywords.columns else keywords.select("item_id", "keyword", "week", F.lit(1).alias("n")),
         "kw_week": ix.kw_week(keywords, items),
-        "kw_df": keywords.groupBy("keyword").agg(F.count_distinct("item_id").alias("n")),
-        "n_docs": keywords.agg(F.count_distinct("item_id").alias("n")).select(F.lit("all").alias("index"), "n"),
-        "kw_axis": keywords.join(item_axes, "item_id").groupBy("keyword", "axis").agg(F.count("*").alias("n")),
+        "kw_df": ix.documents_of(keywords).withColumnRenamed("df", "n"),
+        "n_docs": ix.n_docs(keywords).select(F.lit("all").alias("index"), F.col("n_docs").alias("n")),
+        "kw_axis": ix.axis_hits(keywords, item_axes),
     }
 
 
@@ -78,7 +83,8 @@ def _merge(spark: SparkSession, path: str, name: str, number: int, delta: DataFr
     touched = [r["part"] for r in delta.select(_part(name, parts).alias("part")).distinct().collect()]  # `parts` at most
     if not touched:
         return
-    summed = read(spark, path, name, number - 1, touched).unionByName(delta).groupBy(*_keys(name)).agg(F.sum("n").alias("n"))
+    both = read(spark, path, name, number - 1, touched).unionByName(delta).withColumn("part", _part(name, parts))
+    summed = both.repartition("part").groupBy("part", *_keys(name)).agg(F.sum("n").alias("n"))  # added where they are written
     below = F.raise_error(F.lit(f"{name}: a count below 0; the items before the change are not those of the index")).cast("long")
     _write(summed.withColumn("n", F.when(F.col("n") >= 0, F.col("n")).otherwise(below)), path, name, number, parts)
 
