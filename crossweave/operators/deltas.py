@@ -140,6 +140,12 @@ def kw_meta(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF
     return often.join(best, "keyword", "left").select("keyword", "df", F.col("best.axis").alias("axis"))
 
 
+def counted_pairs(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF) -> DataFrame:
+    """(a, b, n), as pair_counts, of an index that keeps no pairs: counted from its rows where they are read, as a table of
+    all pairs is many times as large as the rows."""
+    return ix.cooccurrence(read(spark, path, "rows", number), kw_df(spark, path, number), min_df)
+
+
 def pair_counts(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF) -> DataFrame:
     """(a, b, n), as index.cooccurrence; index.neighbors makes the strongest of them, whose strengths all change with n_docs."""
     often = read(spark, path, "kw_df", number).where(F.col("n") >= min_df)

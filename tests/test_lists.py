@@ -62,3 +62,15 @@ def test_a_large_csv_is_several_files_each_with_its_header(spark, tmp_path):
     files = [p.read_bytes() for p in (tmp_path / "out").glob("part-*.csv")]
     assert len(files) > 1 and all(f.startswith(b"\xef\xbb\xbfkeyword,id\n") for f in files)
     assert sorted(map(tuple, sinks.read_csv(spark, str(tmp_path / "out")).collect())) == sorted((f"k,{k}", str(k)) for k in range(2000))
+
+
+def test_pairs_after_a_change_without_a_table_of_pairs(spark, tmp_path):
+    path = str(tmp_path / "index")
+    lists, _, items, axes = tables(spark)
+    lists = lists.where("item_id <> 3")
+    deltas.begin(path, lists, items, axes, parts=4)
+    now = spark.createDataFrame([(2, "that", "w1"), (2, "nation", "w1"), (6, "that", "w1"), (6, "nation", "w1")], "item_id long, keyword string, week string")
+    after = items.where("id <> 6").union(spark.createDataFrame([(6, "w1", True)], items.schema))
+    deltas.change(path, 1, spark.createDataFrame([(2,), (6,)], "id long"), now, (items, axes), (after, axes), parts=4)
+    assert not (tmp_path / "index/pairs").exists()
+    assert {(r["a"], r["b"]): r["n"] for r in deltas.counted_pairs(spark, path, 1, 2).collect()} == {("nation", "that"): 3, ("nation", "thing"): 1, ("that", "thing"): 2}
