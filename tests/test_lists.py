@@ -74,3 +74,14 @@ def test_pairs_after_a_change_without_a_table_of_pairs(spark, tmp_path):
     deltas.change(path, 1, spark.createDataFrame([(2,), (6,)], "id long"), now, (items, axes), (after, axes), parts=4)
     assert not (tmp_path / "index/pairs").exists()
     assert {(r["a"], r["b"]): r["n"] for r in deltas.counted_pairs(spark, path, 1, 2).collect()} == {("nation", "that"): 3, ("nation", "thing"): 1, ("that", "thing"): 2}
+
+
+def test_grams_of_a_run_of_ascii_words_and_of_others(spark):
+    items = spark.createDataFrame([(1, "one two three", "x. y"), (2, "é un deux trois", None), (3, "", "")], "id long, title string, summary string")
+    got = {}
+    for r in kw.extract_keywords(items).collect():
+        got.setdefault(r["item_id"], set()).add(r["keyword"])
+    assert got == {
+        1: {"one", "two", "three", "x", "y", "one two", "two three", "three x"},
+        2: {"é", "un", "deux", "trois", "éun", "un deux", "deux trois", "éundeux", "éundeuxtrois"},
+    }
