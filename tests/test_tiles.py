@@ -7,7 +7,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from crossweave.operators import index
+from pyspark.sql import functions as F
+
+from crossweave.operators import digest, index
 
 
 def _words(spark, seed):
@@ -49,3 +51,20 @@ def test_first_of_many_ties():
     assert index._first("a", score, spots, kind, spots, names, 3) == [149, 148, 147]
     kinds = np.append(np.full(50, 7), np.arange(100) % 2)
     assert sorted(index._first("x", score, spots, kinds, spots, names, 60)) == list(range(150))
+
+
+def test_titles_are_written_once(spark, monkeypatch):
+    """Classes lie in one tile each, however many tiles they meet; pairs are those of brute force."""
+    monkeypatch.setattr(digest, "TILE", 8)
+    rng = random.Random(5)
+    rows = [("2024-W01" if n % 3 else "2024/W02", n, "".join(rng.choice("abcd") for _ in range(rng.choice((2, 9, 14))))) for n in range(90)]
+    df = spark.createDataFrame(rows, "week string, id long, title string")
+    members, close = digest.title_classes(df, 0.5)
+    kinds = members.select("week", F.col("rep")).distinct().join(df.withColumnRenamed("id", "rep"), ["week", "rep"])
+    stored = digest._tiles(kinds.select("week", "rep", F.array(F.col("rep")).alias("g")))
+    assert spark.read.parquet(stored).count() == kinds.count() > 24
+    gram = {n: {t[k : k + 2] for k in range(len(t) - 1)} for _, n, t in rows}
+    week = {n: w for w, n, _ in rows}
+    reps = sorted(r["rep"] for r in kinds.collect())
+    expected = {(week[a], a, b) for a, b in combinations(reps, 2) if week[a] == week[b] and len(gram[a] & gram[b]) / min(len(gram[a]), len(gram[b])) >= 0.5}
+    assert sorted(map(tuple, close.collect())) == sorted(expected) != []
