@@ -14,8 +14,9 @@ from crossweave.functions.components import star_forest
 from crossweave.llm.shared import components, save
 
 CUT = 0.9
-#: Blocks that the rotated vector is cut into.
-BLOCKS = 8
+#: Blocks that the rotated vector is cut into. Each costs a pass over the pairs that its cells leave and a copy of the rows;
+#: fewer have more coordinates each, so that cells leave more pairs and budgets fewer candidates.
+BLOCKS = 4
 #: Vectors of a cell that a task holds at a time; others stream past them.
 TILE = 16_384
 #: Rows that the cells' split points are taken from (all rows are then dealt into the cells).
@@ -27,6 +28,8 @@ VISITORS = 1 << 18
 SEED = 11
 #: Candidates whose exact cosines are computed at a time.
 CHUNK = 32_768
+#: Rows and columns of the distances that are computed at a time, 1 MB.
+ROWS, COLUMNS = 256, 1024
 
 
 @cache
@@ -120,21 +123,24 @@ def _pairs(one: np.ndarray, two: np.ndarray, parts: list[tuple[int, int]], which
     """Positions of the pairs whose first block within its budget is `which`, and whose cosine reaches the cut."""
     a, b = parts[which]
     x, y = one[:, a:b], two[:, a:b]
-    norm_x, norm_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    # squared distances, norms and all, are one product
+    one_x, one_y = np.ones((len(x), 1), np.float32), np.ones((len(y), 1), np.float32)
+    left = np.hstack([-2 * x, (x**2).sum(axis=1, keepdims=True), one_x])
+    right = np.ascontiguousarray(np.hstack([y, one_y, (y**2).sum(axis=1, keepdims=True)]).T)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for k in range(0, len(x), 256):
-        distance = x[k : k + 256] @ y.T
-        distance *= -2
-        distance += norm_x[k : k + 256, None]
-        distance += norm_y[None, :]
-        i, j = np.nonzero(distance <= limits[which] + SLACK)
-        i += k
+    for k in range(0, len(x), ROWS):
+        near = [np.zeros((2, 0), np.int64)]
+        for at in range(k if same else 0, len(y), COLUMNS):
+            distance = left[k : k + ROWS] @ right[:, at : at + COLUMNS]
+            i, j = np.divmod(np.flatnonzero(distance <= limits[which] + SLACK), distance.shape[1])
+            near.append(np.stack([i + k, j + at]))
+        i, j = np.concatenate(near, axis=1)
         if same:
             i, j = i[i < j], j[i < j]
         for c in range(0, len(i), CHUNK):
             p, q = i[c : c + CHUNK], j[c : c + CHUNK]
-            near = np.einsum("ij,ij->i", one[p], two[q]) >= cut - SLACK
-            p, q = p[near], q[near]
+            close = np.einsum("ij,ij->i", one[p], two[q]) >= cut - SLACK
+            p, q = p[close], q[close]
             u, w = exact[0][p], exact[1][q]
             cosine = np.einsum("ij,ij->i", u, w) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", w, w)))
             p, q = p[cosine >= cut], q[cosine >= cut]

@@ -702,3 +702,18 @@ def test_vector_join_of_large_clusters(spark):
             expected |= {a: (1, a), a + 1: (1, a), a + 2: (0, a + 2)}
     for tile in (300, 4096):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.join(df, tile=tile).collect()} == expected
+
+
+def test_pairs_of_a_tile_are_found_once_in_few_blocks():
+    """Tiles that are no multiple of the products' sizes, against themselves and others; each block costs a pass over all pairs."""
+    rng = np.random.default_rng(6)
+    given = rng.normal(size=(900, 64)).repeat(3, axis=0)[:2600] + 0.25 * rng.normal(size=(2600, 64))
+    x, parts = vectors.turned(given), vectors.cuts(64)
+    assert len(parts) <= 4
+    unit = given / np.linalg.norm(given, axis=1, keepdims=True)
+    limits = [vectors.budget(c, 64) for c in parts]
+    for mine, other, same in ((slice(0, 2600), slice(0, 2600), True), (slice(0, 1300), slice(1300, 2600), False)):
+        near = unit[mine] @ unit[other].T >= 0.9
+        expected = sorted(zip(*np.nonzero(np.triu(near, 1) if same else near), strict=True))
+        found = [vectors._pairs(x[mine], x[other], parts, k, limits, 0.9, (given[mine], given[other]), same) for k in range(len(parts))]
+        assert expected and sorted(pair for p, q in found for pair in zip(p, q, strict=True)) == expected
