@@ -82,7 +82,8 @@ def ego_expand(kw_neighbor: DataFrame, center: str, hops: int = 2, per_hop: int
     """(keyword, hop): nodes found from the centre, hop by hop.
 
     Each hop's strongest neighbours are ranked on the cluster; the choice among them, which depends on
-    its own order, sees per_hop rows for each of at most max_nodes keywords. A node that holds, or is
+    its own order, sees per_hop rows for each of at most max_nodes keywords. Chosen nodes are few and marked as such
+    (broadcast), so that the neighbours are not shuffled to meet them. A node that holds, or is
     held by, a chosen one of more than two characters is skipped."""
     hops, per_hop, max_nodes = min(max(hops, 1), 3), min(max(per_hop, 3), 30), min(max(max_nodes, 6), 120)
     spark = kw_neighbor.sparkSession
@@ -92,7 +93,7 @@ def ego_expand(kw_neighbor: DataFrame, center: str, hops: int = 2, per_hop: int
         if not frontier or room <= 0:
             break
         budget = max(2, room // len(frontier))
-        rows = neighbors_topk(kw_neighbor, spark.createDataFrame([(k,) for k in frontier], "keyword string"), per_hop)
+        rows = neighbors_topk(kw_neighbor, F.broadcast(spark.createDataFrame([(k,) for k in frontier], "keyword string")), per_hop)
         found: dict[str, list[str]] = {}
         for r in rows.orderBy("keyword", "place").collect():  # at most per_hop * max_nodes rows
             found.setdefault(r["keyword"], []).append(r["neighbor"])
@@ -108,7 +109,7 @@ def ego_expand(kw_neighbor: DataFrame, center: str, hops: int = 2, per_hop: int
                 following.append(n)
                 taken += 1
         frontier = following
-    return spark.createDataFrame(list(chosen.items()), "keyword string, hop int")
+    return F.broadcast(spark.createDataFrame(list(chosen.items()), "keyword string, hop int"))
 
 
 def induced_edges(kw_neighbor: DataFrame, nodes: DataFrame) -> DataFrame:

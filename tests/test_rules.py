@@ -272,3 +272,14 @@ def test_topic_pages_dates_and_states(spark):
     assert [got[k]["title"] for k in (1, 2, 3)] == ["Real", "B", "C"]
     assert [str(got[k]["published_at"])[:10] for k in (1, 2, 3)] == ["2026-01-01", "2026-01-02", "2026-01-03"]
     assert [got[k]["state"] for k in (4, 5, 6)] == ["not_found", "bot_challenge", "not_found"]
+
+
+def test_chosen_nodes_meet_the_neighbours_without_shuffling_them(spark, tmp_path):
+    rows = [("a", f"n{k}", 0.9 - k / 100, 5, 9) for k in range(6)] + [("n0", "n1", 0.5, 4, 9), ("n1", "n0", 0.5, 4, 9)]
+    spark.createDataFrame(rows, "keyword string, neighbor string, npmi double, cooc long, df long").write.parquet(f"{tmp_path}/n")
+    table = spark.read.parquet(f"{tmp_path}/n")
+    found = graph.ego_expand(table, "a")
+    edges = graph.induced_edges(table, found)
+    assert {(r["a"], r["b"]) for r in edges.collect()} >= {("a", "n0"), ("n0", "n1")}
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
