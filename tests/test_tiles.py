@@ -68,3 +68,23 @@ def test_titles_are_written_once(spark, monkeypatch):
     reps = sorted(r["rep"] for r in kinds.collect())
     expected = {(week[a], a, b) for a, b in combinations(reps, 2) if week[a] == week[b] and len(gram[a] & gram[b]) / min(len(gram[a]), len(gram[b])) >= 0.5}
     assert sorted(map(tuple, close.collect())) == sorted(expected) != []
+
+
+def test_title_pairs_are_told_where_they_are_found(spark, monkeypatch):
+    """All pairs of close titles over several tiles, equal ones in large groups and an id that comes twice among them; no join,
+    broadcast or shuffle has the pairs."""
+    monkeypatch.setattr(digest, "TILE", 16)
+    monkeypatch.setattr(digest, "TOLD", 5)
+    monkeypatch.setattr(digest, "NAMES", 7)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.choice((2, 9, 14)))) for _ in range(60)] + ["abcdabca"] * 50
+    rows = [("2024-W01" if n % 3 else "2024/W02", n, text) for n, text in enumerate(texts)]
+    rows += [("2024-W01", 3, "dcbadcbd"), (None, 500, "abcdabca"), ("2024-W01", None, "abcdabca")]
+    found = digest.title_pairs(spark.createDataFrame(rows, "week string, id long, title string"), 0.5)
+    told = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+    assert len(told) == 2 and "Join" not in told[0] and "Repartition" not in told[0]
+    sets = [(w, n, {t[k : k + 2] for k in range(len(t) - 1)}) for w, n, t in rows if w and n is not None]
+    sets = [s for s in sets if len(s[2]) >= 4]
+    pairs = [(x, y) if x[1] < y[1] else (y, x) for x, y in combinations(sets, 2) if x[0] == y[0] and x[1] != y[1]]
+    expected = [(x[0], x[1], y[1]) for x, y in pairs if len(x[2] & y[2]) / min(len(x[2]), len(y[2])) >= 0.5]
+    assert sorted(map(tuple, found.collect())) == sorted(expected) != []
