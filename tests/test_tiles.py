@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossweave.operators import digest, index
+from crossweave.plans import registry
 
 
 def _words(spark, seed):
@@ -88,3 +89,16 @@ def test_title_pairs_are_told_where_they_are_found(spark, monkeypatch):
     pairs = [(x, y) if x[1] < y[1] else (y, x) for x, y in combinations(sets, 2) if x[0] == y[0] and x[1] != y[1]]
     expected = [(x[0], x[1], y[1]) for x, y in pairs if len(x[2] & y[2]) / min(len(x[2]), len(y[2])) >= 0.5]
     assert sorted(map(tuple, found.collect())) == sorted(expected) != []
+
+
+def test_title_containment_has_the_reference_cut(spark, sf_dir):
+    """The registered query tells all pairs at the operator's own cut (the reference's 0.22), not near copies alone."""
+    titles = registry.tables(spark, sf_dir).base.select("published_week", "id", "title").collect()
+    sets = {}
+    for week, n, title in titles:
+        s = "".join(c for c in title or "" if c.isalnum())
+        sets[n] = (week, {s[k : k + 2] for k in range(len(s) - 1)})
+    large = {n: s for n, s in sets.items() if len(s[1]) >= 4}
+    expected = {(large[a][0], a, b) for a, b in combinations(sorted(large), 2) if large[a][0] == large[b][0] and len(large[a][1] & large[b][1]) / min(len(large[a][1]), len(large[b][1])) >= 0.22}
+    assert {tuple(r) for r in registry.QUERIES["title_containment"](spark, sf_dir).collect()} == expected
+    assert digest.CUT == 0.22
