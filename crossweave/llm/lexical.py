@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from crossweave.llm.shared import BYTES, PIECE_CHARS, bits_set, dense_table, pieces, save, trim, word_hashes, word_starts
+from crossweave.llm.shared import BYTES, PIECE_CHARS, bits_set, dense_table, pieces, rows_alone, save, trim, word_hashes, word_starts
 
 __all__ = ["build_index", "search"]
 
@@ -31,6 +31,8 @@ TERMS_AT_ONCE = 1 << 18
 ASKED_BITS = 1 << 24
 #: States that are opened in one step.
 OPENED = 128
+#: A block is a row group of its own: writers and readers of Parquet hold a whole row group, and by default at least a hundred rows.
+BLOCKWISE = {"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1"}
 #: Stands for a null doc_id, which comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -194,7 +196,7 @@ def build_index(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     A null or empty text has no terms and is in no row; rows that repeat an id are documents of their
     own; other columns are not read. Terms are known by 64-bit hashes of their bytes. Two passes
     over the texts without a shuffle: one counts documents and terms, of which impacts are made, one
-    writes the blocks. A task holds one block."""
+    writes the blocks. A task holds one block, also as it writes them, however many it has."""
     n_docs, n_terms = _corpus(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def build_index(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield pa.record_batch(made, names=_INDEX)
         trim()
 
-    return save(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, _INDEX_TYPE), "lexical_index")
+    return save(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, _INDEX_TYPE), "lexical_index", BLOCKWISE)
 
 
 def _asked(items: DataFrame) -> DataFrame:
@@ -249,7 +251,8 @@ def _weighted(index: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
     df = rows.groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1))).cast("long")
     own = asked.join(df, "term").groupBy("q", "item_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
-    return save(own.select("q", "item_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "weighted_items")
+    with rows_alone(index.sparkSession):
+        return save(own.select("q", "item_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "weighted_items")
 
 
 def _passes(items: DataFrame) -> Iterator[list]:
@@ -291,7 +294,8 @@ def _search(spark: SparkSession, index: DataFrame, rows: list, k: int, item_type
                 yield pa.record_batch([pa.array([q] * len(ids)), pa.array([item_id] * len(ids), kind), found, pa.array(scores)], names=["q", "item_id", "doc_id", "score"])
         trim()
 
-    return index.select(*_SEARCHED).mapInArrow(run, f"q long, item_id {item_type.simpleString()}, doc_id long, score long")
+    with rows_alone(spark):
+        return save(index.select(*_SEARCHED).mapInArrow(run, f"q long, item_id {item_type.simpleString()}, doc_id long, score long"), "found")
 
 
 def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
@@ -304,7 +308,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
 
     The index is read without a shuffle; a task keeps k documents for each item over all its blocks,
     so that later blocks are opened only where they can beat them. Items go to the tasks in passes
-    of a bounded number of terms."""
+    of a bounded number of terms, each of which is run as this is called; a task holds one block at a time."""
     spark = index.sparkSession
     item_type = items.schema["item_id"].dataType
     corpus = index.select("corpus_docs").first()

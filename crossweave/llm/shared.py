@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/crossweave-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cut the lineage: write the table to the shared folder and read it back."""
-    return settle(df, name)
+    return settle(df, name, options)
+
+
+@contextmanager
+def rows_alone(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside hand Python code one row at a time, for rows of some megabytes; otherwise a batch has up to 64 MB of
+    them, which Spark's memory for Arrow and the Python process both hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 
 
 def trim() -> None:

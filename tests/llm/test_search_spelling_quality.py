@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from crossweave.llm import lexical, quality, spelling
@@ -73,6 +75,29 @@ def test_search_in_several_passes_and_of_nothing(spark, texts, monkeypatch):
     assert empty.count() == 0 and empty.columns == ["item_id", "rank", "doc_id", "score"]
 
 
+def test_blocks_are_written_and_read_one_at_a_time(spark, monkeypatch):
+    """A task with many blocks has each in a row group of its own, and Python code gets one at a time, whatever their number."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(n, " ".join(f"w{rng.randrange(10**9)}" for _ in range(90_000))) for n in range(6)], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(docs, 1 << 19)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)] == [1] * index.count() == [1] * 3
+    index = index.coalesce(1)
+    sizes = []
+    save = lexical.save
+
+    def watched(df, name, options=None):
+        if name == "found":
+            sizes.extend(r["n"] for r in index.select("height").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect())
+        return save(df, name, options)
+
+    monkeypatch.setattr(lexical, "save", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    items = spark.createDataFrame([(1, docs.first()["text"][:200])], "item_id long, text string")
+    assert lexical.search(index, items, 1).first()["doc_id"] == 0
+    assert sizes == [1] * 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_treap_keeps_all_cells(spark):
     rng = np.random.default_rng(3)
     grid = np.where(rng.random((37, 90)) < 0.1, rng.integers(1, 10**6, (37, 90)), 0)
