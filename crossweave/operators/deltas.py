@@ -9,9 +9,10 @@ from crossweave.functions.components import settle
 from crossweave.operators import index as ix
 
 PARTS = 64
-#: Tables that add up, each with a count n: columns, and the column that a row's part is found by.
+#: Tables that add up, each with a count n: columns, and the column that a row's part is found by. Of `rows` an item's are
+#: a list, which a change replaces as a whole.
 TABLES = {
-    "rows": ("item_id long, keyword string, week string", "item_id"),
+    "rows": ("item_id long, week string, keywords array<string>", "item_id"),
     "kw_week": ("keyword string, week string", "week"),
     "kw_df": ("keyword string", "keyword"),
     "n_docs": ("index string", "index"),
@@ -31,10 +32,7 @@ def _part(name: str, parts: int) -> Column:
 
 def _write(rows: DataFrame, path: str, name: str, number: int, parts: int) -> None:
     """Parts of a version; those of other versions stay, and a version that is written again replaces its own."""
-    if "keywords" in rows.columns:  # lists go to their parts whole
-        dealt = ix.listed(rows.withColumn("part", _part(name, parts)).hint("rebalance", "part")).withColumn("n", F.lit(1))
-    else:
-        dealt = rows if "part" in rows.columns else rows.withColumn("part", _part(name, parts)).hint("rebalance", "part")
+    dealt = rows if "part" in rows.columns else rows.withColumn("part", _part(name, parts)).hint("rebalance", "part")
     dealt = dealt.select(*_keys(name), F.col("n").cast("long").alias("n"), "part", F.lit(number).alias("upto"))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "upto").parquet(f"{path}/{name}")
 
@@ -49,20 +47,31 @@ def read(spark: SparkSession, path: str, name: str, number: int, only: list[int]
     return chosen.where("n > 0").select(*_keys(name), "n")
 
 
-def counted(keywords: DataFrame, items: DataFrame, item_axes: DataFrame) -> dict[str, DataFrame]:
+def _lists(keywords: DataFrame) -> DataFrame:
+    """An index (item_id, keyword, week), or one of lists, as lists."""
+    if "keywords" in keywords.columns:
+        return keywords.select(*_keys("rows"))
+    return keywords.groupBy("item_id", "week").agg(F.collect_list("keyword").alias("keywords")).select(*_keys("rows"))
+
+
+def counted(keywords: DataFrame, items: DataFrame | None, item_axes: DataFrame | None) -> dict[str, DataFrame]:
     """The tables of an index (item_id, keyword, week), which has a keyword once for an item, or of its lists (item_id, week,
-    keywords), which stay lists in `rows`; items have id, kept and published_week."""
-    return {
-        "rows": keywords if "keywords" in keywords.columns else keywords.select("item_id", "keyword", "week", F.lit(1).alias("n")),
-        "kw_week": ix.kw_week(keywords, items),
-        "kw_df": ix.documents_of(keywords).withColumnRenamed("df", "n"),
-        "n_docs": ix.n_docs(keywords).select(F.lit("all").alias("index"), F.col("n_docs").alias("n")),
-        "kw_axis": ix.axis_hits(keywords, item_axes),
+    keywords); items have id, kept and published_week. Without items or axes there are no tables of what they tell."""
+    rows = _lists(keywords)
+    tables = {
+        "rows": rows.withColumn("n", F.lit(1)),
+        "kw_df": ix.documents_of(rows).withColumnRenamed("df", "n"),
+        "n_docs": ix.n_docs(rows).select(F.lit("all").alias("index"), F.col("n_docs").alias("n")),
     }
+    if items is not None:
+        tables["kw_week"] = ix.kw_week(rows, items)
+    if item_axes is not None:
+        tables["kw_axis"] = ix.axis_hits(rows, item_axes)
+    return tables
 
 
-def begin(path: str, keywords: DataFrame, items: DataFrame, item_axes: DataFrame, pairs: DataFrame | None = None, min_df: int = ix.MIN_DF, parts: int = PARTS) -> None:
-    """Version 0: the whole index; with `pairs` (a, b, n), those of keywords of min_df documents, also them."""
+def begin(path: str, keywords: DataFrame, items: DataFrame | None, item_axes: DataFrame | None, pairs: DataFrame | None = None, min_df: int = ix.MIN_DF, parts: int = PARTS) -> None:
+    """Version 0: the whole index (see `counted`); with `pairs` (a, b, n), those of keywords of min_df documents, also them."""
     tables = counted(keywords, items, item_axes)
     if pairs is not None:
         tables |= {"pairs": pairs, "counted": tables["kw_df"].where(F.col("n") >= min_df).select("keyword", F.lit(1).alias("n"))}
@@ -89,18 +98,34 @@ def _merge(spark: SparkSession, path: str, name: str, number: int, delta: DataFr
     _write(summed.withColumn("n", F.when(F.col("n") >= 0, F.col("n")).otherwise(below)), path, name, number, parts)
 
 
-def change(path: str, number: int, ids: DataFrame, keywords: DataFrame, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], pairs: bool = False, min_df: int = ix.MIN_DF, parts: int = PARTS) -> None:
+def _replace(spark: SparkSession, path: str, number: int, delta: DataFrame, new: DataFrame, parts: int) -> None:
+    """The parts of `rows` that a delta has items in, with these items' lists made anew. An item without rows has an empty list
+    with a count of 0 in this version, so that a part that loses all its rows has one."""
+    named = settle(delta.select("item_id").distinct(), "named")
+    touched = [r["part"] for r in named.select(_part("rows", parts).alias("part")).distinct().collect()]  # `parts` at most
+    if not touched:
+        return
+    stay = read(spark, path, "rows", number - 1, touched).join(named, "item_id", "left_anti")
+    come = new.join(named, "item_id", "left_semi").withColumn("n", F.lit(1))
+    gone = named.select("item_id", F.lit(None).cast("string").alias("week"), F.array().cast("array<string>").alias("keywords"), F.lit(0).alias("n"))
+    _write(stay.unionByName(come).unionByName(gone), path, "rows", number, parts)
+
+
+def change(path: str, number: int, ids: DataFrame, keywords: DataFrame, before: tuple[DataFrame | None, DataFrame | None], after: tuple[DataFrame | None, DataFrame | None], pairs: bool = False, min_df: int = ix.MIN_DF, parts: int = PARTS) -> None:
     """Version `number` of the index, from version number - 1 and the items (id) that changed, came or went.
 
-    `keywords` are those items' rows now, `before` and `after` their items and axes. Old rows count -1 and new ones +1;
+    `keywords` are those items' rows now, or lists of them, `before` and `after` their items and axes, or None and None for an
+    index that began without. Old rows count -1 and new ones +1;
     only parts with a count that changes are read and written. A change reads nothing but the versions before it and
     writes its own, so that one that broke off is run again with the same result. `parts` is that of `begin`."""
     spark = ids.sparkSession
     changed = settle(ids.select(F.col("id").alias("item_id")).distinct(), "changed")
     touched = [r["part"] for r in changed.select(_part("rows", parts).alias("part")).distinct().collect()]  # `parts` at most
     old = settle(read(spark, path, "rows", number - 1, touched).drop("n").join(changed, "item_id", "left_semi"), "old")
-    new = settle(keywords.select("item_id", "keyword", "week").join(changed, "item_id", "left_semi"), "new")
+    new = settle(_lists(keywords).join(changed, "item_id", "left_semi"), "new")
     was, now = counted(old, *before), counted(new, *after)
+    sides = (c.pop("rows").withColumn("keywords", F.sort_array("keywords")) for c in (was, now))
+    _replace(spark, path, number, signed(*sides, _keys("rows")), new, parts)
     for name in was:
         _merge(spark, path, name, number, signed(was[name], now[name], _keys(name)), parts)
     if pairs:
@@ -114,10 +139,10 @@ def _change_pairs(spark: SparkSession, path: str, number: int, old: DataFrame, n
     before = read(spark, path, "counted", number - 1).select("keyword")
     often = read(spark, path, "kw_df", number).where(F.col("n") >= min_df).select("keyword")
     risen = settle(often.join(before, "keyword", "left_anti"), "risen")
-    one = lambda rows: rows.join(before, "keyword", "left_semi").select("item_id", "keyword")
+    one = lambda rows: ix.listed(rows).join(before, "keyword", "left_semi").select("item_id", "keyword")
     sides = [ix.named_pairs(*ix.pair_counts(r, ix.kw_df(r), 1)) for r in (settle(one(old), "old_pairs"), settle(one(new), "new_pairs"))]
     delta = signed(*sides, ["a", "b"])
-    rows = read(spark, path, "rows", number).select("item_id", "keyword")
+    rows = ix.listed(read(spark, path, "rows", number)).select("item_id", "keyword")
     mine = rows.join(risen, "keyword", "left_semi").withColumnRenamed("keyword", "r")
     marked = before.select("keyword", F.lit(False).alias("new")).union(risen.select("keyword", F.lit(True)))
     held = rows.join(mine.select("item_id").distinct(), "item_id", "left_semi").join(marked, "keyword")
@@ -143,7 +168,7 @@ def kw_meta(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF
 def counted_pairs(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF) -> DataFrame:
     """(a, b, n), as pair_counts, of an index that keeps no pairs: counted from its rows where they are read, as a table of
     all pairs is many times as large as the rows."""
-    return ix.cooccurrence(read(spark, path, "rows", number), kw_df(spark, path, number), min_df)
+    return ix.cooccurrence(ix.listed(read(spark, path, "rows", number)), kw_df(spark, path, number), min_df)
 
 
 def pair_counts(spark: SparkSession, path: str, number: int, min_df: int = ix.MIN_DF) -> DataFrame:

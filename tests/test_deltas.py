@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 
 from crossweave.operators import deltas
+from crossweave.sources.adapter import Tables
 
 LEAST = 3
 
@@ -102,3 +103,26 @@ def test_an_index_begins_empty(spark, tmp_path):
     deltas.change(path, 1, spark.createDataFrame([(1,)], "id long"), keywords, (items, axes), tuple(now))
     assert [tuple(r) for r in deltas.kw_df(spark, path, 1).sort("keyword").collect()] == [("a", 1, 1), ("b", 1, 1)]
     assert deltas.read(spark, path, "kw_df", 0).count() == 0
+
+
+def test_an_index_of_rows_alone_keeps_a_list_for_each_item(spark, tmp_path):
+    """Without items and axes there are no tables of weeks and axes; an item's keywords are a list, which a change replaces."""
+    path = str(tmp_path / "index")
+    docs = {i: (["a", f"k{i % 3}", "b"][: 1 + i % 3], "2024-W01", True, []) for i in range(12)}
+    deltas.begin(path, tables(spark, docs)[0], None, None, parts=4)
+    later = {i: d for i, d in (docs | {4: (["a", "k1"], None, True, [])}).items() if i != 5}
+    deltas.change(path, 1, spark.createDataFrame([(4,), (5,), (6,)], "id long"), tables(spark, later)[0], (None, None), (None, None), parts=4)
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["kw_df", "n_docs", "rows"]
+    lists = deltas.read(spark, path, "rows", 1).collect()
+    assert {r["item_id"]: (sorted(r["keywords"]), r["week"]) for r in lists} == {i: (sorted(set(d[0])), d[1]) for i, d in later.items()} and len(lists) == len(later)
+    assert {r["keyword"]: r["df"] for r in deltas.kw_df(spark, path, 1).collect()} == rebuilt(later)[1]
+    assert {(r["a"], r["b"]): r["n"] for r in deltas.counted_pairs(spark, path, 1, LEAST).collect()} == rebuilt(later)[3]
+
+
+def test_pairs_after_a_change_read_no_scores(spark, sf_dir):
+    """pair_delta needs neither facts nor axes, so it makes neither."""
+    from crossweave.plans import words
+
+    t = Tables(spark, sf_dir)
+    assert words.pair_delta(t).count() > 0
+    assert not {"facts", "item_axes", "scored"} & set(vars(t))

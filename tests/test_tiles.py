@@ -45,6 +45,18 @@ def test_pairs_over_chunks_and_blocks(spark, monkeypatch, held, block):
     assert sorted(map(tuple, named.collect())) == sorted(map(tuple, got.collect())) != []
 
 
+def test_pairs_have_their_names_where_they_are_counted(spark, monkeypatch):
+    """Long runs copied, few pairs at a time, several groups: the counts of all pairs by name, which no join looks up."""
+    for name, value in (("LONG_RUNS", 0), ("TOLD", 7), ("DENSE", 900)):
+        monkeypatch.setattr(index, name, value)
+    docs, rows, df = _words(spark, 5)
+    counts = Counter(p for ws in docs.values() for p in combinations(sorted(ws), 2))
+    pairs = index.cooccurrence(rows, df, 1)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == counts
+    assert {(r["a"], r["b"]): r["n"] for r in index.cooccurrence(rows, df, 1, least=3).collect()} == {p: n for p, n in counts.items() if n >= 3}
+
+
 def test_first_of_many_ties():
     """Ties of one kind are cut by their codes, and those that hold the keyword do not use up the room."""
     names = ["ab"] * 50 + [f"n{k}" for k in range(100)]
